@@ -212,4 +212,13 @@ def oracle_sql() -> dict[str, str]:
         "SELECT signal_type, title, window_start, '<tr><td>' || signal_type || '</td><td>' || "
         "replace(replace(replace(display_title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td>' || "
         "display_metrics || '</td><td>' || display_window || '</td></tr>' AS html_row FROM disp")
+    closed = "window_end <= (SELECT max(event_time) FROM main)"
+    q["stream_trending"] = _with(_trending("tr", T_W, T_N, "main")) + f"SELECT {_SIGNAL_COLS} FROM tr WHERE {closed}"
+    q["stream_bot"] = _with(_bot("bo", B_W, B_R, B_V, "main")) + f"SELECT {_SIGNAL_COLS} FROM bo WHERE {closed}"
+    q["stream_detect"] = _with(*_DETECTED) + f"SELECT {_SIGNAL_COLS} FROM det WHERE {closed}"
+    q["stream_ingest"] = _with() + (
+        f'SELECT title AS key, {_EVENT_COLS}, "timestamp" AS record_seconds FROM main WHERE k NOT BETWEEN 95 AND 99')
+    q["stream_store"] = _with(*_DETECTED, f"""items AS ({_items('det')} WHERE {closed})""") + (
+        'SELECT pk, sk, "signalType", "windowStart", "windowEnd", title, "editCount", "botEditCount", '
+        '"totalEditCount", ratio FROM items')
     return q

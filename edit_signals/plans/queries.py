@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from .. import operators as O
 from ..functions import codec, display, keys
 from ..params import Arrival, BotParams, TrendingParams
-from ..session import prepare
+from ..session import prepare, scratch_path
 from ..sources import events_table as ET
+from ..sources.records import read_event_records
 from ..sources.sse import sse_payloads
 from .oracles import B_R, B_V, B_W, B_W_DAY, T_N, T_W
 
@@ -191,5 +192,60 @@ def q_signals_json(spark, sf_dir):
     return O.signals_json(O.recent_signals(_detected(spark, sf_dir)))
 
 
+# ---- streaming: replay the table as ordered files, run availableNow, read the sink ----
+
+def _event_records(spark, sf_dir) -> DataFrame:
+    """Main-namespace edits as event records, record time = event time, in event order."""
+    main = _main(spark, sf_dir)
+    return codec.encode_events(O.key_by_title(main)).select(
+        "key", "value", F.col("event_time").alias("timestamp"), F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"))
+
+
+def _stream_signals(spark, sf_dir, trending, bot) -> DataFrame:
+    from ..streaming.detect import run_detection
+    from .replay import land_in_order
+    src, out = scratch_path(spark, "records"), scratch_path(spark, "signals")
+    land_in_order(_event_records(spark, sf_dir), "offset", src)
+    run_detection(spark, src, out, scratch_path(spark, "chk-detect"), trending=trending, bot=bot,
+                  output_mode="append", max_files_per_trigger=1)
+    return codec.decode_signals(spark.read.parquet(out))
+
+
+def q_stream_trending(spark, sf_dir):
+    return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, None))
+
+
+def q_stream_bot(spark, sf_dir):
+    return _flat_signals(_stream_signals(spark, sf_dir, None, BOT_HOUR))
+
+
+def q_stream_detect(spark, sf_dir):
+    return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, BOT_HOUR))
+
+
+def q_stream_ingest(spark, sf_dir):
+    from ..streaming.ingest import run_ingest
+    from .replay import land_in_order
+    feed, recs, bad = (scratch_path(spark, n) for n in ("feed", "event-records", "quarantine"))
+    land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", feed, fmt="text",
+                  sort_cols=("event_id", "line_no"), columns=("value",))
+    run_ingest(spark, feed, recs, bad, scratch_path(spark, "chk-ingest"), max_files_per_trigger=1)
+    landed = codec.decode_events(read_event_records(spark, recs), payload="value", mode="strict")
+    return landed.selectExpr("key", *EVENT_OUT, "CAST(unix_seconds(record_ts) AS BIGINT) AS record_seconds")
+
+
+def q_stream_store(spark, sf_dir):
+    from ..streaming.detect import run_detection
+    from ..streaming.serve import run_serving, store_view
+    from .replay import land_in_order
+    src, sig, log, recent = (scratch_path(spark, n) for n in ("records", "signals", "store-log", "recent"))
+    land_in_order(_event_records(spark, sf_dir), "offset", src)
+    run_detection(spark, src, sig, scratch_path(spark, "chk-detect"), trending=TRENDING_DAY, bot=BOT_HOUR,
+                  output_mode="append", max_files_per_trigger=1)
+    run_serving(spark, sig, log, recent, scratch_path(spark, "chk-serve"))
+    return store_view(spark, log, key="window_title")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
