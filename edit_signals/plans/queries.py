@@ -14,7 +14,7 @@ from ..functions import codec, display, keys
 from ..params import Arrival, BotParams, TrendingParams
 from ..session import prepare, scratch_path
 from ..sources import events_table as ET
-from ..sources.records import read_event_records
+from ..sources.records import read_event_records, read_signal_records
 from ..sources.sse import sse_payloads
 from .oracles import B_R, B_V, B_W, B_W_DAY, T_N, T_W
 
@@ -209,7 +209,7 @@ def _stream_signals(spark, sf_dir, trending, bot) -> DataFrame:
     land_in_order(_event_records(spark, sf_dir), "offset", src)
     run_detection(spark, src, out, scratch_path(spark, "chk-detect"), trending=trending, bot=bot,
                   output_mode="append", max_files_per_trigger=1)
-    return codec.decode_signals(spark.read.parquet(out))
+    return codec.decode_signals(read_signal_records(spark, out))
 
 
 def q_stream_trending(spark, sf_dir):
