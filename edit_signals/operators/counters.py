@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+INGEST_METRICS = "ingest_counts"
 
-def ingest_counts(decoded: DataFrame) -> DataFrame:
-    """One row over the output of ``decode_events`` (permissive): ``published`` = decoded
-    main-namespace events, ``filtered`` = decoded other namespaces, ``failed`` = undecodable
-    payloads. One global aggregate (partial per partition, one tiny final merge)."""
+
+def ingest_count_columns() -> list[Column]:
+    """Over the output of ``decode_events`` (permissive): ``published`` = decoded
+    main-namespace events, ``filtered`` = decoded other namespaces, ``failed`` =
+    undecodable payloads."""
     ok = ~F.col("_malformed")
     main = F.coalesce(F.col("namespace"), F.lit(0)) == 0
-    return decoded.agg(
-        F.count_if(ok & main).alias("published"),
-        F.count_if(ok & ~main).alias("filtered"),
-        F.count_if(~ok).alias("failed"),
-    )
+    return [F.count_if(ok & main).alias("published"), F.count_if(ok & ~main).alias("filtered"),
+            F.count_if(~ok).alias("failed")]
+
+
+def ingest_counts(decoded: DataFrame) -> DataFrame:
+    """One row of counts: one global aggregate (partial per partition, tiny final merge)."""
+    return decoded.agg(*ingest_count_columns())
+
+
+def observe_ingest_counts(decoded: DataFrame, name: str = INGEST_METRICS) -> DataFrame:
+    """Same counts as named observed metrics: no extra job; in a stream they appear per
+    micro-batch in ``query.lastProgress["observedMetrics"][name]``."""
+    return decoded.observe(name, *ingest_count_columns())
+
+
+def progress_counts(query, name: str = INGEST_METRICS) -> dict[str, int]:
+    """Totals of the observed counters over the query's retained progress reports."""
+    tot = {"published": 0, "filtered": 0, "failed": 0}
+    for p in query.recentProgress:
+        m = (p.get("observedMetrics") or {}).get(name) if isinstance(p, dict) else None
+        if m is None and not isinstance(p, dict):
+            m = (p.observedMetrics or {}).get(name)
+        if m:
+            for k in tot:
+                tot[k] += int(m[k])
+    return tot

@@ -49,6 +49,10 @@ def read_signal_records(spark: SparkSession, path_or_topic: str, fmt: str = "par
 # order approximated by (record time, partition, offset) after the re-key of the bot branch.
 PARTITION_ARRIVAL = Arrival(order=("offset",), partitions=("partition",), bucket="offset_bucket")
 GLOBAL_ARRIVAL = Arrival(order=("record_ts", "partition", "offset"), partitions=(), bucket="time_bucket")
+# Topics landed as files by the ingest job: one folder per micro-batch, ``offset`` increasing
+# inside it; buckets = (batch, writing task) so one large batch is still split.
+FILE_ARRIVAL = Arrival(order=("batch_id", "offset"), partitions=(), bucket="file_bucket")
+_TASK_BITS = 33  # monotonically_increasing_id keeps the task index above bit 33
 
 
 def records_to_edits(records: DataFrame, mode: str = "strict", time_source: str = "record",
@@ -60,8 +64,12 @@ def records_to_edits(records: DataFrame, mode: str = "strict", time_source: str
     if mode == "permissive":
         dec = split_malformed(dec)[0]
     event_time = F.col("record_ts") if time_source == "record" else F.timestamp_seconds(F.col("timestamp"))
-    return dec.withColumns({
+    cols = {
         "event_time": event_time.cast("timestamp"),
         "offset_bucket": F.floor(F.col("offset") / F.lit(offsets_per_bucket)),
         "time_bucket": F.floor(F.unix_seconds(F.col("record_ts")) / F.lit(bucket_seconds)),
-    })
+    }
+    if "batch_id" in dec.columns:
+        cols["file_bucket"] = (F.col("batch_id").cast("bigint") * F.lit(1 << 20)
+                               + F.shiftright(F.col("offset"), _TASK_BITS))
+    return dec.withColumns(cols)

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import decode_events, encode_events, split_malformed
+from ..operators.counters import observe_ingest_counts
 from ..operators.filters import key_by_title, main_namespace
 from ..sources.sse import sse_payloads
 from .common import await_done, start, write_batch_partition
 
 
-def feed_to_records(payloads: DataFrame, time_source: str = "payload") -> tuple[DataFrame, DataFrame]:
+def records_from_decoded(decoded: DataFrame, time_source: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Decoded, main-namespace events as keyed records (key = title, value = event JSON,
     ``timestamp`` = record time) and the quarantined undecodable payloads.
 
     ``time_source="payload"`` stamps records with the event's own time (deterministic
-    replays); ``"ingest"`` stamps them with the processing time, as a live publisher does."""
-    good, bad = split_malformed(decode_events(payloads))
+    replays); ``"ingest"`` stamps them with the processing time, as a live publisher does.
+    ``offset`` orders records inside one landed batch."""
+    good, bad = split_malformed(decoded)
     recs = encode_events(key_by_title(main_namespace(good)))
     ts = F.timestamp_seconds(F.col("timestamp")) if time_source == "payload" else F.current_timestamp()
     recs = recs.select("key", "value", ts.alias("timestamp"), F.lit(0).alias("partition"),
@@ -25,29 +27,34 @@ def feed_to_records(payloads: DataFrame, time_source: str = "payload") -> tuple[
     return recs, bad.select("value", "payload")
 
 
-def ingest_batch(lines: DataFrame, batch_id: int, records_path: str, quarantine_path: str,
-                 time_source: str = "payload") -> None:
-    """One micro-batch (or one batch job): both outputs from one pass over the lines."""
-    payloads = sse_payloads(lines).persist()
+def feed_to_records(payloads: DataFrame, time_source: str = "payload") -> tuple[DataFrame, DataFrame]:
+    return records_from_decoded(decode_events(payloads), time_source)
+
+
+def write_decoded(decoded: DataFrame, batch_id: int, records_path: str, quarantine_path: str,
+                  time_source: str = "payload") -> None:
+    """One micro-batch (or one batch job): both outputs from one decode of the lines."""
+    decoded = decoded.persist()
     try:
-        recs, bad = feed_to_records(payloads, time_source)
+        recs, bad = records_from_decoded(decoded, time_source)
         write_batch_partition(recs, batch_id, records_path)
         write_batch_partition(bad, batch_id, quarantine_path)
     finally:
-        payloads.unpersist()
+        decoded.unpersist()
 
 
 def start_ingest(spark: SparkSession, feed_path: str, records_path: str, quarantine_path: str,
                  checkpoint: str, max_files_per_trigger: int | None = None, trigger: dict | None = None,
                  time_source: str = "payload", name: str | None = None):
     """Streaming ingest over a folder of captured feed files. Records land partitioned
-    by micro-batch; arrival order of the landed topic is (batch_id, offset)."""
+    by micro-batch; arrival order of the landed topic is (batch_id, offset). Counters
+    (published / filtered / failed) are observed metrics of each micro-batch."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(feed_path)
-    writer = (lines.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: ingest_batch(df, bid, records_path, quarantine_path, time_source)))
+    decoded = observe_ingest_counts(decode_events(sse_payloads(reader.text(feed_path))))
+    writer = (decoded.writeStream.option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda df, bid: write_decoded(df, bid, records_path, quarantine_path, time_source)))
     if name:
         writer = writer.queryName(name)
     return start(writer, trigger)
