@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Arrival, window_duration
+from .arrival import arrival_key, arrival_struct
 from .sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
 
 
-def _arrival_key(arrival: Arrival):
-    return F.struct(*[F.col(c) for c in arrival.order])
+def _arrival_key(df: DataFrame, arrival: Arrival):
+    """Packed scalar (hash aggregate) when possible, else the struct (sort aggregate)."""
+    key = arrival_key(df, arrival)
+    return arrival_struct(arrival) if key is None else key
 
 
 def closing_arrivals(edits: DataFrame, width: int | str, arrival: Arrival,
@@ -29,7 +32,7 @@ def closing_arrivals(edits: DataFrame, width: int | str, arrival: Arrival,
     """Per (scope, window_start): ``_closed_by`` = earliest arrival among records of later windows."""
     ws = F.window(F.col(time_col), window_duration(width)).start
     per_window = (edits.groupBy(*arrival.partitions, ws.alias("_ws"))
-                  .agg(F.min(_arrival_key(arrival)).alias("_first")))
+                  .agg(F.min(_arrival_key(edits, arrival)).alias("_first")))
     later = (Window.partitionBy(*arrival.partitions).orderBy(F.col("_ws").desc())
              .rowsBetween(Window.unboundedPreceding, -1))
     return per_window.select(*arrival.partitions, "_ws", F.min("_first").over(later).alias("_closed_by"))
@@ -41,7 +44,7 @@ def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(),
     closing = broadcast_if_small(closing_arrivals(edits, width, arrival, time_col), max_broadcast_rows)
     ws = F.window(F.col(time_col), window_duration(width)).start
     tagged = edits.withColumn("_ws", ws).join(closing, [*arrival.partitions, "_ws"], "left")
-    late = F.coalesce(F.col("_closed_by") <= _arrival_key(arrival), F.lit(False))
+    late = F.coalesce(F.col("_closed_by") <= _arrival_key(edits, arrival), F.lit(False))
     return tagged.withColumn("late", late).drop("_ws", "_closed_by")
 
 

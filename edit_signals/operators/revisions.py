@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Arrival, BotParams, TrendingParams
+from .arrival import arrival_key
 from .filters import drop_null_keys
 from .lateness import drop_late
 from .signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
@@ -91,11 +92,17 @@ def signal_revisions(edits: DataFrame, trending: TrendingParams = TrendingParams
         bot_revisions(edits, bot, arrival, late=late), allowMissingColumns=True)
 
 
-def first_crossing(revisions: DataFrame) -> DataFrame:
+def first_crossing(revisions: DataFrame, arrival: Arrival = Arrival()) -> DataFrame:
     """Earliest revision of each (signal type, window, title): when the alert is first raised.
-    ``min_by`` aggregates partially, so a busy window is reduced before the exchange."""
-    value_cols = [c for c in revisions.columns if c not in ("signal_type", "window_start", "window_end", "title")]
-    first = F.min_by(F.struct(*[F.col(c) for c in value_cols]), F.col("emitted")).alias("_first")
-    return (revisions.groupBy("signal_type", "window_start", "window_end", "title").agg(first)
-            .select("signal_type", "title", *[F.col(f"_first.{c}").alias(c) for c in value_cols],
-                    "window_start", "window_end"))
+    Every column is taken with ``min_by`` on the packed arrival key: a hash aggregate
+    with a partial step, so a busy window is reduced before the exchange."""
+    groups = ("signal_type", "window_start", "window_end", "title")
+    flat = revisions.select("*", *[F.col(f"emitted.{c}").alias(f"_em_{c}") for c in arrival.order])
+    key = arrival_key(flat, Arrival(order=tuple(f"_em_{c}" for c in arrival.order)))
+    if key is None:
+        key = F.col("emitted")
+    value_cols = [c for c in revisions.columns if c not in groups and c != "emitted"]
+    em_cols = [f"_em_{c}" for c in arrival.order]
+    out = flat.groupBy(*groups).agg(*[F.min_by(F.col(c), key).alias(c) for c in value_cols + em_cols])
+    return out.select("signal_type", "title", *value_cols, "window_start", "window_end",
+                      F.struct(*[F.col(f"_em_{c}").alias(c) for c in arrival.order]).alias("emitted"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams
+from .arrival import arrival_key, arrival_struct
 from .lateness import drop_late
 from .windows import tumbling_bot_counts, tumbling_edit_counts
 
@@ -55,11 +56,24 @@ def to_bot_signal(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _last_arrival(arrival: Arrival | None) -> dict[str, Column] | None:
-    """Arrival of the record that produced the final state = when the final signal is emitted."""
+def _last_arrival(edits: DataFrame, arrival: Arrival | None) -> dict[str, Column] | None:
+    """Arrival of the record that produced the final state = when the final signal is
+    emitted, as the struct ``emitted`` of the arrival columns. Each component is taken
+    with ``max_by`` on the packed key so the aggregate stays hash-based."""
     if arrival is None:
         return None
-    return {"emitted": F.max(F.struct(*[F.col(c) for c in arrival.order]))}
+    key = arrival_key(edits, arrival)
+    if key is None:
+        return {"emitted": F.max(arrival_struct(arrival))}
+    return {f"_em_{c}": F.max_by(F.col(c), key) for c in arrival.order}
+
+
+def _with_emitted(counts: DataFrame, arrival: Arrival | None) -> DataFrame:
+    if arrival is None or "emitted" in counts.columns:
+        return counts
+    parts = [f"_em_{c}" for c in arrival.order]
+    return counts.withColumn("emitted", F.struct(*[F.col(p).alias(c) for p, c in zip(parts, arrival.order)])) \
+                 .drop(*parts)
 
 
 def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams(), keys: Sequence[str] = ("title",),
@@ -70,9 +84,9 @@ def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams()
     (needs ``arrival``); ``arrival`` also adds ``emitted`` (last contributing arrival).
     """
     src = drop_late(edits, params.window, arrival) if late == "drop" else edits
-    extra = _last_arrival(arrival)
-    counts = tumbling_edit_counts(src, params.window, keys, extra=extra)
-    keep = [k for k in keys if k != "title"] + list(extra or {})
+    extra = _last_arrival(src, arrival)
+    counts = _with_emitted(tumbling_edit_counts(src, params.window, keys, extra=extra), arrival)
+    keep = [k for k in keys if k != "title"] + (["emitted"] if arrival is not None else [])
     return to_trending_signal(trending_filter(counts, params.threshold), keep)
 
 
@@ -80,9 +94,10 @@ def bot_anomaly_signals(edits: DataFrame, params: BotParams = BotParams(), arriv
                         late: str = "keep") -> DataFrame:
     """Final bot-anomaly signal per window: total >= min volume and bot ratio > threshold."""
     src = drop_late(edits, params.window, arrival) if late == "drop" else edits
-    extra = _last_arrival(arrival)
-    counts = tumbling_bot_counts(src, params.window, extra=extra)
-    return to_bot_signal(bot_anomaly_filter(counts, params.ratio_threshold, params.min_volume), list(extra or {}))
+    extra = _last_arrival(src, arrival)
+    counts = _with_emitted(tumbling_bot_counts(src, params.window, extra=extra), arrival)
+    keep = ["emitted"] if arrival is not None else []
+    return to_bot_signal(bot_anomaly_filter(counts, params.ratio_threshold, params.min_volume), keep)
 
 
 def detect_signals(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),

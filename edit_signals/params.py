@@ -63,8 +63,11 @@ class Arrival:
     ``partitions`` - columns that scope stream time (an input partition); empty = one global clock.
     ``bucket`` - a numeric column, non-decreasing along ``order`` within a partition, used to
     split one hot group into ordered sub-ranges so no single task holds it.
+    ``digits`` - optional decimal digits per ``order`` column for packing the order into one
+    exact ``decimal(38,0)`` key (see ``operators/arrival.py``); default by column type.
     """
 
     order: tuple[str, ...] = ("arrival_ts", "arrival_id")
     partitions: tuple[str, ...] = ()
     bucket: str = "arrival_bucket"
+    digits: tuple[int, ...] | None = None

@@ -155,7 +155,7 @@ def q_bot_revisions(spark, sf_dir):
 def q_first_crossing(spark, sf_dir):
     main = _main(spark, sf_dir)
     revs = O.signal_revisions(main, TRENDING_DAY, BOT_HOUR, ARRIVAL)
-    return _flat_emitted(O.first_crossing(revs))
+    return _flat_emitted(O.first_crossing(revs, ARRIVAL))
 
 
 # ---- wire form, store, report -------------------------------------------------

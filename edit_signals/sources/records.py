@@ -48,7 +48,8 @@ def read_signal_records(spark: SparkSession, path_or_topic: str, fmt: str = "par
 # Arrival order of record topics: per input partition for keyed (trending) state, a global
 # order approximated by (record time, partition, offset) after the re-key of the bot branch.
 PARTITION_ARRIVAL = Arrival(order=("offset",), partitions=("partition",), bucket="offset_bucket")
-GLOBAL_ARRIVAL = Arrival(order=("record_ts", "partition", "offset"), partitions=(), bucket="time_bucket")
+GLOBAL_ARRIVAL = Arrival(order=("record_ts", "partition", "offset"), partitions=(), bucket="time_bucket",
+                         digits=(16, 3, 19))  # packs exactly for topics with < 1000 partitions
 # Topics landed as files by the ingest job: one folder per micro-batch, ``offset`` increasing
 # inside it; buckets = (batch, writing task) so one large batch is still split.
 FILE_ARRIVAL = Arrival(order=("batch_id", "offset"), partitions=(), bucket="file_bucket")
