@@ -14,6 +14,18 @@ _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT, "al
 _FAILFAST = {"mode": "FAILFAST", "allowSingleQuotes": "false"}
 
 
+def parse_once(expr: Column) -> Column:
+    """Evaluate an expensive parse exactly once per row.
+
+    Catalyst pushes a filter through the projection that computed a column and inlines
+    the expression into the condition, so ``from_json`` would run again for every
+    predicate on its fields. A one-element ``explode`` is a Generate node, which filters
+    on its output cannot cross: the parse stays single. Use as
+    ``df.select("*", parse_once(e).alias(name))``; a NULL result still yields one row.
+    """
+    return F.explode(F.array(expr))
+
+
 def _zero_struct(c: str, fields: list[tuple[str, str]]) -> Column:
     """Struct kept NULL when absent; absent inner primitives become 0."""
     inner = F.struct(*[F.coalesce(F.col(c)[f], F.lit(0).cast(t)).alias(f) for f, t in fields])
@@ -39,13 +51,14 @@ def decode_events(df: DataFrame, payload: str = "payload", mode: str = "permissi
     """
     if mode == "strict":
         ev = F.from_json(F.col(payload), S.EVENT, _FAILFAST)
-        out = df.withColumn("_ev", ev).select("*", *[F.col("_ev")[f].alias(f) for f in S.EVENT_FIELDS]).drop("_ev")
+        out = (df.select("*", parse_once(ev).alias("_ev"))
+               .select("*", *[F.col("_ev")[f].alias(f) for f in S.EVENT_FIELDS]).drop("_ev"))
         return with_event_defaults(out)
     if mode != "permissive":
         raise ValueError(f"unknown decode mode {mode!r}")
     ev = F.from_json(F.col(payload), _PARSE_EVENT, _PERMISSIVE)
     out = (
-        df.withColumn("_ev", ev)
+        df.select("*", parse_once(ev).alias("_ev"))
         .select("*",
                 *[F.col("_ev")[f].alias(f) for f in S.EVENT_FIELDS],
                 (F.col("_ev").isNull() | F.col("_ev")[S.CORRUPT].isNotNull()).alias("_malformed"))
@@ -119,7 +132,7 @@ def decode_signals(df: DataFrame, value: str = "value") -> DataFrame:
     zero_i, zero_l, zero_d = F.lit(0), F.lit(0).cast("bigint"), F.lit(0.0)
     is_tr, is_bot = t == TRENDING, t == BOT_ANOMALY
     return (
-        df.withColumn("_sig", sig)
+        df.select("*", parse_once(sig).alias("_sig"))
         .filter(ok)
         .select(
             "*",

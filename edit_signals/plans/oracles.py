@@ -212,6 +212,17 @@ def oracle_sql() -> dict[str, str]:
         "SELECT signal_type, title, window_start, '<tr><td>' || signal_type || '</td><td>' || "
         "replace(replace(replace(display_title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td>' || "
         "display_metrics || '</td><td>' || display_window || '</td></tr>' AS html_row FROM disp")
+    wire = ("""CASE WHEN signal_type = 'TRENDING' THEN '{"signalType":"TRENDING","title":"' || title || """
+            """'","editCount":' || CAST(edit_count AS VARCHAR) ELSE '{"signalType":"BOT_ANOMALY","botEditCount":' """
+            """|| CAST(bot_edit_count AS VARCHAR) || ',"totalEditCount":' || CAST(total_edit_count AS VARCHAR) """
+            """|| ',"ratio":' || CAST(ratio AS VARCHAR) END || ',"windowStart":' """
+            """|| CAST(epoch_ms(window_start) AS VARCHAR) || ',"windowEnd":' || CAST(epoch_ms(window_end) AS VARCHAR) """
+            """|| '}'""")
+    q["signals_json"] = _with(*_DETECTED) + (
+        "SELECT '[' || coalesce(string_agg(js, ',' ORDER BY rn), '') || ']' AS signals_json FROM ("
+        "SELECT row_number() OVER (ORDER BY emitted DESC, window_end DESC, signal_type ASC, title ASC NULLS FIRST) "
+        f"AS rn, {wire} AS js FROM det "
+        "ORDER BY emitted DESC, window_end DESC, signal_type ASC, title ASC NULLS FIRST LIMIT 50)")
     closed = "window_end <= (SELECT max(event_time) FROM main)"
     q["stream_trending"] = _with(_trending("tr", T_W, T_N, "main")) + f"SELECT {_SIGNAL_COLS} FROM tr WHERE {closed}"
     q["stream_bot"] = _with(_bot("bo", B_W, B_R, B_V, "main")) + f"SELECT {_SIGNAL_COLS} FROM bo WHERE {closed}"

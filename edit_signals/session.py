@@ -20,6 +20,8 @@ _REQUIRED = {
 
 # Settings that only affect speed; applied when the session has no value yet.
 _TUNING = {
+    # no Python call-site capture on every DataFrame call (error context only)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

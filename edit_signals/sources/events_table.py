@@ -30,9 +30,10 @@ def _k() -> Column:
 
 def raw_edits(events: DataFrame) -> DataFrame:
     """Edit fields exactly as the feed would carry them (absent fields are NULL)."""
+    from ..functions.codec import parse_once
     k = F.col("_k")
     return (
-        events.withColumn("_k", _k())
+        events.select("*", parse_once(_k()).alias("_k"))
         .select(
             F.when(k == NULL_TITLE_K, F.lit(None).cast("string"))
             .otherwise(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("title"),
