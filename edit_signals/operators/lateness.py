@@ -27,21 +27,39 @@ def _arrival_key(df: DataFrame, arrival: Arrival):
     return arrival_struct(arrival) if key is None else key
 
 
+# Windows per block of the two-level suffix scan.
+FANOUT = 1024
+
+
 def closing_arrivals(edits: DataFrame, width: int | str, arrival: Arrival,
-                     time_col: str = "event_time") -> DataFrame:
-    """Per (scope, window_start): ``_closed_by`` = earliest arrival among records of later windows."""
-    ws = F.window(F.col(time_col), window_duration(width)).start
-    per_window = (edits.groupBy(*arrival.partitions, ws.alias("_ws"))
+                     time_col: str = "event_time", fanout: int = FANOUT) -> DataFrame:
+    """Per (scope, window_start): ``_closed_by`` = earliest arrival among records of later windows.
+
+    The suffix-min runs in two levels: inside blocks of ``fanout`` consecutive windows,
+    and over the blocks, so no task sees more than ``fanout`` windows or #windows / fanout
+    blocks of one scope."""
+    w = F.window(F.col(time_col), window_duration(width))
+    per_window = (edits.groupBy(*arrival.partitions, w.start.alias("_ws"), w.end.alias("_we"))
                   .agg(F.min(_arrival_key(edits, arrival)).alias("_first")))
-    later = (Window.partitionBy(*arrival.partitions).orderBy(F.col("_ws").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    return per_window.select(*arrival.partitions, "_ws", F.min("_first").over(later).alias("_closed_by"))
+    width_us = F.unix_micros("_we") - F.unix_micros("_ws")
+    per_window = per_window.withColumn("_blk", F.floor(F.unix_micros("_ws") / (width_us * F.lit(fanout))))
+
+    later_blocks = (Window.partitionBy(*arrival.partitions).orderBy(F.col("_blk").desc())
+                    .rowsBetween(Window.unboundedPreceding, -1))
+    blocks = (per_window.groupBy(*arrival.partitions, "_blk").agg(F.min("_first").alias("_bfirst"))
+              .select(*arrival.partitions, "_blk", F.min("_bfirst").over(later_blocks).alias("_bclosed")))
+    later_in_block = (Window.partitionBy(*arrival.partitions, "_blk").orderBy(F.col("_ws").desc())
+                      .rowsBetween(Window.unboundedPreceding, -1))
+    local = per_window.select(*arrival.partitions, "_ws", "_blk",
+                              F.min("_first").over(later_in_block).alias("_lclosed"))
+    return (local.join(blocks, [*arrival.partitions, "_blk"], "inner")
+            .select(*arrival.partitions, "_ws", F.least("_lclosed", "_bclosed").alias("_closed_by")))
 
 
 def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
-              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, fanout: int = FANOUT) -> DataFrame:
     """Adds boolean ``late``."""
-    closing = broadcast_if_small(closing_arrivals(edits, width, arrival, time_col), max_broadcast_rows)
+    closing = broadcast_if_small(closing_arrivals(edits, width, arrival, time_col, fanout), max_broadcast_rows)
     ws = F.window(F.col(time_col), window_duration(width)).start
     tagged = edits.withColumn("_ws", ws).join(closing, [*arrival.partitions, "_ws"], "left")
     late = F.coalesce(F.col("_closed_by") <= _arrival_key(edits, arrival), F.lit(False))

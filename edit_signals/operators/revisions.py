@@ -10,7 +10,8 @@ third of all events). Running totals are therefore computed in two parts:
 1. per (group, arrival bucket) totals - a partial aggregate - then an exclusive prefix
    over buckets inside the group (a window over the small bucket table);
 2. running totals inside each (group, bucket) - a window partitioned by the bucket too,
-   so a hot group is spread over its buckets;
+   so a hot group is spread over its buckets (the bucket prefix itself is a two-level
+   scan over blocks of buckets, so many buckets per group are fine too);
 
 and the two are added after an equi-join on (group, bucket).
 """
@@ -30,8 +31,35 @@ from .signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, tren
 from .windows import bot_ratio, is_bot, tumbling
 
 
+# Buckets per block of the second scan level.
+FANOUT = 1024
+
+
+def _bucket_prefix(per_bucket: DataFrame, group_cols: Sequence[str], b: str, names: list[str],
+                   levels: int, fanout: int) -> DataFrame:
+    """Per (group, bucket): sums of ``_s_<n>`` over the group's earlier buckets, as ``_b_<n>``.
+
+    One level is a window over the group's buckets. With more levels the buckets are cut
+    into blocks of ``fanout``: a window inside each (group, block) plus the prefix over
+    earlier blocks (recursively), so even a group with 10^9 buckets keeps every task small.
+    """
+    if levels <= 1:
+        before = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        return per_bucket.select(*group_cols, b, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0))
+                                                   .alias(f"_b_{n}") for n in names])
+    blk = f"_blk{levels}"
+    pb = per_bucket.withColumn(blk, F.floor(F.col(b) / F.lit(fanout)))
+    per_block = pb.groupBy(*group_cols, blk).agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names])
+    block_base = _bucket_prefix(per_block, group_cols, blk, names, levels - 1, fanout)
+    within = Window.partitionBy(*group_cols, blk).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    local = pb.select(*group_cols, b, blk, *[F.coalesce(F.sum(f"_s_{n}").over(within), F.lit(0))
+                                             .alias(f"_l_{n}") for n in names])
+    return (local.join(block_base, [*group_cols, blk], "inner")
+            .select(*group_cols, b, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(f"_b_{n}") for n in names]))
+
+
 def running_totals(df: DataFrame, group_cols: Sequence[str], arrival: Arrival,
-                   measures: dict[str, Column]) -> DataFrame:
+                   measures: dict[str, Column], levels: int = 2, fanout: int = FANOUT) -> DataFrame:
     """For every row, the sums of ``measures`` over the rows of its group that arrived
     at or before it (arrival order ``arrival.order``; ``arrival.bucket`` must be
     non-decreasing along it)."""
@@ -40,9 +68,7 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], arrival: Arrival,
     src = df.withColumns({f"_m_{n}": m.cast("bigint") for n, m in measures.items()})
 
     per_bucket = src.groupBy(*group_cols, b).agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names])
-    before = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    base = per_bucket.select(*group_cols, b,
-                             *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
+    base = _bucket_prefix(per_bucket, list(group_cols), b, names, levels, fanout)
 
     upto = (Window.partitionBy(*group_cols, b).orderBy(*[F.col(c) for c in arrival.order])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))

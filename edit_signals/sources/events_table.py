@@ -64,7 +64,7 @@ def with_arrival_bucket(df: DataFrame, bucket_seconds: int = 60, ts_col: str = "
     return df.withColumn("arrival_bucket", F.floor(F.unix_seconds(F.col(ts_col)) / F.lit(bucket_seconds)))
 
 
-def edits(events: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+def edits(events: DataFrame, bucket_seconds: int = 1) -> DataFrame:
     """Decoded edits with defaults applied, event time and arrival order.
 
     Columns: the event fields, ``event_id``, ``k``, ``event_time`` (record time),
@@ -74,7 +74,7 @@ def edits(events: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     return with_arrival_bucket(df, bucket_seconds)
 
 
-def read_edits(spark: SparkSession, sf_dir: str, bucket_seconds: int = 60) -> DataFrame:
+def read_edits(spark: SparkSession, sf_dir: str, bucket_seconds: int = 1) -> DataFrame:
     return edits(read_table(spark, sf_dir, "events"), bucket_seconds)
 
 

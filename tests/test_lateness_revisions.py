@@ -126,3 +126,24 @@ def test_drop_late_scoped_by_partition(spark):
     scoped = Arrival(partitions=("p",))
     assert drop_late(e, 5, scoped).count() == 2      # each partition has its own clock
     assert drop_late(e, 5, Arrival()).count() == 1
+
+
+def test_lateness_two_level_scan_and_shuffle_join(spark):
+    """Tiny blocks (fanout 2) and no broadcast: the two-level suffix scan and the
+    shuffle-join path give the same flags as the running max."""
+    rows = _random_rows(5, n=300, late_p=0.3)
+    got = [r.late for r in flag_late(make_edits(spark, rows), 1, fanout=2, max_broadcast_rows=0)
+           .orderBy("arrival_id").collect()]
+    assert got == _brute_late(rows, 1 * MIN)
+
+
+def test_running_totals_three_levels(spark):
+    from pyspark.sql import functions as F
+    rows = _random_rows(3, n=400, titles=2)
+    e = make_edits(spark, rows, bucket_ms=5_000).withColumn("g", F.lit(1))
+    out = running_totals(e, ["g", "title"], Arrival(), {"n": F.lit(1)}, levels=3, fanout=4)
+    got = {r.arrival_id: r.n for r in out.collect()}
+    seen = {}
+    for i, (title, *_rest) in enumerate(rows):
+        seen[title] = seen.get(title, 0) + 1
+        assert got[i] == seen[title]
