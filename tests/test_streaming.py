@@ -79,3 +79,12 @@ def test_serving_store_and_recent(spark):
     assert len(store) == 1 and store[0].title in ("A", "B")      # same window: one overwrites the other
     assert store_view(spark, log, key="window_title").count() == 2
     assert sorted(r.title for r in recent_view(spark, recent).collect()) == ["A", "B"]
+
+
+def test_update_mode_emits_revisions(spark):
+    """update output: each micro-batch emits the windows it changed that pass the predicate."""
+    src = scratch_path(spark, "src")
+    _land(spark, src, [[("A", False, i * 1000) for i in range(5)], [("A", False, 10_000)],
+                       [("A", False, 11_000), ("B", False, 12_000)]])
+    got = sorted(r.edit_count for r in _signals(spark, src, bot=None, mode="update").collect())
+    assert got == [5, 6, 7]
