@@ -39,27 +39,47 @@ def serve_batch(records: DataFrame, batch_id: int, store_log_path: str, recent_p
         if prev_path is not None:
             current = spark.read.parquet(prev_path).select(*cols).unionByName(current)
         recent_signals(current, n).write.mode("overwrite").parquet(f"{recent_path}/snapshot={batch_id:012d}")
+        _retain_snapshots(spark, recent_path, keep_from=_snapshot_ids(spark, recent_path, before=batch_id)[-1:])
     finally:
         signals.unpersist()
 
 
-def _latest_snapshot(spark: SparkSession, recent_path: str, before: int) -> str | None:
-    """Newest snapshot folder written by an earlier batch (snapshot folders are few and
-    small; listing them is a metadata call, no data goes through the driver)."""
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(recent_path)
-    fs = path.getFileSystem(conf)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _snapshot_ids(spark: SparkSession, recent_path: str, before: int) -> list[int]:
+    """Committed snapshot ids (folders with ``_SUCCESS``) below ``before``, ascending.
+    At most a couple exist (older ones are removed), so this is a tiny metadata call."""
+    jvm, path, fs = _fs(spark, recent_path)
     if not fs.exists(path):
-        return None
-    best = None
+        return []
+    ids = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
         if name.startswith("snapshot="):
             b = int(name.split("=", 1)[1])
             if b < before and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                best = max(best or -1, b)
-    return None if best is None else f"{recent_path}/snapshot={best:012d}"
+                ids.append(b)
+    return sorted(ids)
+
+
+def _retain_snapshots(spark: SparkSession, recent_path: str, keep_from: list[int]) -> None:
+    """Remove snapshots older than the previous one (the newest two stay, so a reader
+    never loses the committed view while the next one is written)."""
+    if not keep_from:
+        return
+    jvm, path, fs = _fs(spark, recent_path)
+    for b in _snapshot_ids(spark, recent_path, before=keep_from[0]):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"snapshot={b:012d}"), True)
+
+
+def _latest_snapshot(spark: SparkSession, recent_path: str, before: int) -> str | None:
+    """Newest committed snapshot folder written by an earlier batch."""
+    ids = _snapshot_ids(spark, recent_path, before)
+    return f"{recent_path}/snapshot={ids[-1]:012d}" if ids else None
 
 
 def start_serving(spark: SparkSession, signals_path: str, store_log_path: str, recent_path: str,

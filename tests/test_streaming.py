@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from edit_signals.functions.codec import decode_signals, encode_events
 from edit_signals.operators import detect_signals
 from edit_signals.params import BotParams, TrendingParams
@@ -88,3 +90,22 @@ def test_update_mode_emits_revisions(spark):
                        [("A", False, 11_000), ("B", False, 12_000)]])
     got = sorted(r.edit_count for r in _signals(spark, src, bot=None, mode="update").collect())
     assert got == [5, 6, 7]
+
+
+def test_recent_snapshots_are_retained_and_merged(spark):
+    """Serving over several batches: the newest-N view merges batches, old snapshots go."""
+    import os
+    from edit_signals.session import local_path
+    from edit_signals.streaming.serve import serve_batch
+    from edit_signals.functions.codec import encode_signals
+    sig_ddl = ("signal_type string, title string, edit_count int, bot_edit_count int, total_edit_count int, "
+               "ratio double, window_start timestamp, window_end timestamp")
+    log, recent = scratch_path(spark, "log"), scratch_path(spark, "recent")
+    for b in range(4):
+        rows = [("TRENDING", f"T{b}-{i}", 5, None, None, None, at(0), at(5 * MIN)) for i in range(2)]
+        recs = encode_signals(spark.createDataFrame(rows, sig_ddl)).select("value")
+        serve_batch(recs, b, log, recent, n=3)
+    titles = [r.title for r in recent_view(spark, recent).orderBy(F.col("emitted").desc()).collect()]
+    assert titles[0].startswith("T3") and len(titles) == 3 and titles[2].startswith("T2")
+    snaps = [d for d in os.listdir(local_path(recent)) if d.startswith("snapshot=")]
+    assert len(snaps) <= 2
