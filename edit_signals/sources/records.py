@@ -57,7 +57,7 @@ _TASK_BITS = 33  # monotonically_increasing_id keeps the task index above bit 33
 
 
 def records_to_edits(records: DataFrame, mode: str = "strict", time_source: str = "record",
-                     offsets_per_bucket: int = 1_000_000, bucket_seconds: int = 60) -> DataFrame:
+                     offsets_per_bucket: int = 1_000_000, bucket_seconds: int = 1) -> DataFrame:
     """Decode record values (``strict``: a bad value fails the job, as the detector does;
     ``permissive``: bad values are dropped) and add ``event_time`` plus the arrival
     columns used by :data:`PARTITION_ARRIVAL` / :data:`GLOBAL_ARRIVAL`."""
