@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as O
-from ..functions import codec, display, keys
+from ..functions import codec, display
 from ..params import Arrival, BotParams, TrendingParams
 from ..session import prepare, scratch_path
 from ..sources import events_table as ET

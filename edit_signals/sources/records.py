@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.codec import decode_events, split_malformed
+from ..operators.filters import with_event_time
 from ..params import Arrival
 
 
@@ -64,9 +65,8 @@ def records_to_edits(records: DataFrame, mode: str = "strict", time_source: str
     dec = decode_events(records, payload="value", mode=mode)
     if mode == "permissive":
         dec = split_malformed(dec)[0]
-    event_time = F.col("record_ts") if time_source == "record" else F.timestamp_seconds(F.col("timestamp"))
+    dec = with_event_time(dec, time_source, record_col="record_ts")
     cols = {
-        "event_time": event_time.cast("timestamp"),
         "offset_bucket": F.floor(F.col("offset") / F.lit(offsets_per_bucket)),
         "time_bucket": F.floor(F.unix_seconds(F.col("record_ts")) / F.lit(bucket_seconds)),
     }

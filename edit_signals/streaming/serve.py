@@ -15,7 +15,6 @@ from ..functions.codec import decode_signals
 from ..operators.report import recent_signals
 from ..operators.store import ITEM_COLUMNS, signal_items, upsert_signals
 from ..params import RECENT_SIGNALS
-from ..session import exists
 from ..sources.records import read_signal_records
 from .common import await_done, start, write_batch_partition
 
@@ -114,4 +113,4 @@ def recent_view(spark: SparkSession, recent_path: str) -> DataFrame | None:
     return None if latest is None else spark.read.parquet(latest)
 
 
-__all__ = ["serve_batch", "start_serving", "run_serving", "store_view", "recent_view", "exists"]
+__all__ = ["serve_batch", "start_serving", "run_serving", "store_view", "recent_view"]

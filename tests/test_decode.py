@@ -1,6 +1,5 @@
 """Feed lines and event JSON (cases of the reference's SSE, event and publisher tests)."""
 
-from pyspark.sql import functions as F
 
 from edit_signals.functions.codec import decode_events, encode_events, split_malformed
 from edit_signals.operators import ingest_counts, key_by_title, main_namespace

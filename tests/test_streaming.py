@@ -1,7 +1,5 @@
 """Streaming queries equal the batch operators (multi-file sources, availableNow)."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from edit_signals.functions.codec import decode_signals, encode_events
