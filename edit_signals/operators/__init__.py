@@ -2,7 +2,7 @@
 
 from .counters import ingest_counts
 from .filters import drop_null_keys, key_by_title, main_namespace, with_event_time
-from .lateness import closing_arrivals, drop_late, flag_late, late_rows
+from .lateness import closing_arrivals, drop_late, first_arrivals, flag_late, late_rows
 from .report import recent_signals, signals_json
 from .revisions import bot_revisions, first_crossing, running_totals, signal_revisions, trending_revisions
 from .signals import (bot_anomaly_filter, bot_anomaly_signals, detect_signals, final_signals, to_bot_signal,

@@ -15,9 +15,11 @@ def land_in_order(df: DataFrame, order_col: str, path: str, fmt: str = "parquet"
                   sort_cols: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> int:
     """Write ``df`` under ``path`` as N files, file i holding the i-th range of
     ``order_col``; returns N. ``sort_cols`` orders rows inside a file (text feeds); ``columns`` are the ones written."""
+    df = df.persist()  # the range writes below each read it
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     if not stats["n"]:
         df.limit(0).write.mode("append").format(fmt).save(path)
+        df.unpersist()
         return 0
     n_files = max(MIN_FILES, min(MAX_FILES, -(-stats["n"] // ROWS_PER_FILE)))
     lo, hi = stats["lo"], stats["hi"]
@@ -33,4 +35,5 @@ def land_in_order(df: DataFrame, order_col: str, path: str, fmt: str = "parquet"
         if columns:
             part = part.select(*columns)
         part.write.mode("append").format(fmt).save(path)
+    df.unpersist()
     return n_files

@@ -132,8 +132,8 @@ def test_lateness_two_level_scan_and_shuffle_join(spark):
     """Tiny blocks (fanout 2) and no broadcast: the two-level suffix scan and the
     shuffle-join path give the same flags as the running max."""
     rows = _random_rows(5, n=300, late_p=0.3)
-    got = [r.late for r in flag_late(make_edits(spark, rows), 1, fanout=2, max_broadcast_rows=0)
-           .orderBy("arrival_id").collect()]
+    got = [r.late for r in flag_late(make_edits(spark, rows), 1, fanout=2, max_broadcast_rows=0,
+                                     max_single_scan_windows=0).orderBy("arrival_id").collect()]
     assert got == _brute_late(rows, 1 * MIN)
 
 
