@@ -227,6 +227,22 @@ def oracle_sql() -> dict[str, str]:
     q["stream_trending"] = _with(_trending("tr", T_W, T_N, "main")) + f"SELECT {_SIGNAL_COLS} FROM tr WHERE {closed}"
     q["stream_bot"] = _with(_bot("bo", B_W, B_R, B_V, "main")) + f"SELECT {_SIGNAL_COLS} FROM bo WHERE {closed}"
     q["stream_detect"] = _with(*_DETECTED) + f"SELECT {_SIGNAL_COLS} FROM det WHERE {closed}"
+    # update mode over the replayed files: file i holds offsets in [lo + step*i, lo + step*(i+1)),
+    # step = (hi - lo) / 4 (four files at this size, see plans/replay.py), one file per micro-batch.
+    q["stream_trending_updates"] = _with(f"""bounds AS (SELECT min(event_id) AS lo, max(event_id) AS hi,
+         greatest(4, CAST(ceil(count(*) / 250000.0) AS BIGINT)) AS n FROM main)""", f"""batched AS (
+  SELECT m.*, (SELECT count(*) FROM generate_series(1, b.n - 1) g(i)
+                WHERE m.event_id >= b.lo + (b.hi - b.lo) / b.n * g.i) AS batch
+  FROM main m, bounds b)""", f"""per_batch AS (
+  SELECT title, {_bucket(T_W)} AS window_start, batch, count(*) AS n FROM batched
+  WHERE title IS NOT NULL GROUP BY title, {_bucket(T_W)}, batch)""", """states AS (
+  SELECT title, window_start, batch,
+         sum(n) OVER (PARTITION BY title, window_start ORDER BY batch) AS total FROM per_batch)""") + (
+        f"SELECT 'TRENDING' AS signal_type, title, CAST(total AS INTEGER) AS edit_count, "
+        "CAST(NULL AS INTEGER) AS bot_edit_count, CAST(NULL AS INTEGER) AS total_edit_count, "
+        f"CAST(NULL AS DOUBLE) AS ratio, window_start, window_start + INTERVAL '{T_W}' AS window_end "
+        f"FROM states WHERE total >= {T_N}")
+    q["stream_ingest_counts"] = q["ingest_counts"]
     q["stream_ingest"] = _with() + (
         f'SELECT title AS key, {_EVENT_COLS}, "timestamp" AS record_seconds FROM main WHERE k NOT BETWEEN 95 AND 99')
     q["stream_store"] = _with(*_DETECTED, f"""items AS ({_items('det')} WHERE {closed})""") + (

@@ -202,13 +202,13 @@ def _event_records(spark, sf_dir) -> DataFrame:
         F.col("event_id").alias("offset"))
 
 
-def _stream_signals(spark, sf_dir, trending, bot) -> DataFrame:
+def _stream_signals(spark, sf_dir, trending, bot, output_mode="append") -> DataFrame:
     from ..streaming.detect import run_detection
     from .replay import land_in_order
     src, out = scratch_path(spark, "records"), scratch_path(spark, "signals")
     land_in_order(_event_records(spark, sf_dir), "offset", src)
     run_detection(spark, src, out, scratch_path(spark, "chk-detect"), trending=trending, bot=bot,
-                  output_mode="append", max_files_per_trigger=1)
+                  output_mode=output_mode, max_files_per_trigger=1)
     return codec.decode_signals(read_signal_records(spark, out))
 
 
@@ -224,13 +224,32 @@ def q_stream_detect(spark, sf_dir):
     return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, BOT_HOUR))
 
 
-def q_stream_ingest(spark, sf_dir):
+def q_stream_trending_updates(spark, sf_dir):
+    """update mode: one row per micro-batch for each window it changed that passes."""
+    return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, None, output_mode="update"))
+
+
+def _stream_ingest(spark, sf_dir):
     from ..streaming.ingest import run_ingest
     from .replay import land_in_order
     feed, recs, bad = (scratch_path(spark, n) for n in ("feed", "event-records", "quarantine"))
     land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", feed, fmt="text",
                   sort_cols=("event_id", "line_no"), columns=("value",))
-    run_ingest(spark, feed, recs, bad, scratch_path(spark, "chk-ingest"), max_files_per_trigger=1)
+    q = run_ingest(spark, feed, recs, bad, scratch_path(spark, "chk-ingest"), max_files_per_trigger=1)
+    return q, recs
+
+
+def q_stream_ingest_counts(spark, sf_dir):
+    """Counters observed on the streaming ingest (summed over its micro-batches)."""
+    from ..operators.counters import progress_counts
+    q, _ = _stream_ingest(spark, sf_dir)
+    c = progress_counts(q)
+    return spark.createDataFrame([(c["published"], c["filtered"], c["failed"])],
+                                 "published bigint, filtered bigint, failed bigint")
+
+
+def q_stream_ingest(spark, sf_dir):
+    _, recs = _stream_ingest(spark, sf_dir)
     landed = codec.decode_events(read_event_records(spark, recs), payload="value", mode="strict")
     return landed.selectExpr("key", *EVENT_OUT, "CAST(unix_seconds(record_ts) AS BIGINT) AS record_seconds")
 
