@@ -20,19 +20,20 @@ from ..operators.store import upsert_signals
 from ..params import RECENT_SIGNALS, BotParams, TrendingParams
 from ..session import prepare
 from ..sinks import write_records
-from ..sources.records import GLOBAL_ARRIVAL, read_event_records, read_signal_records, records_to_edits
+from ..sources.records import (GLOBAL_ARRIVAL, read_event_records, read_landed_edits, read_signal_records,
+                               records_to_edits)
 from ..sources.sse import read_sse_lines
 from ..streaming.detect import signal_records
 from ..streaming.ingest import write_decoded
 
 
 def ingest_feed(spark: SparkSession, feed_path: str, records_path: str, quarantine_path: str,
-                time_source: str = "payload", batch_id: int = 0) -> dict[str, int]:
+                time_source: str = "payload", batch_id: int = 0, edits_path: str | None = None) -> dict[str, int]:
     """Batch ingest; returns the counters (observed while writing, no extra pass)."""
     prepare(spark)
     obs = Observation("ingest_counts")
     decoded = decode_events(read_sse_lines(spark, feed_path)).observe(obs, *ingest_count_columns())
-    write_decoded(decoded, batch_id, records_path, quarantine_path, time_source)
+    write_decoded(decoded, batch_id, records_path, quarantine_path, time_source, edits_path)
     return {k: int(v) for k, v in obs.get.items()}
 
 
@@ -43,7 +44,10 @@ def detect_from_records(spark: SparkSession, records_path: str, trending: Trendi
     lateness in arrival order; ``revisions=True`` emits every update instead of the
     final state of each window."""
     prepare(spark)
-    edits = records_to_edits(read_event_records(spark, records_path, fmt=source_format), mode="strict")
+    if source_format == "edits":
+        edits = read_landed_edits(spark, records_path)
+    else:
+        edits = records_to_edits(read_event_records(spark, records_path, fmt=source_format), mode="strict")
     if revisions:
         return signal_revisions(edits, trending, bot, arrival, late=late)
     return detect_signals(edits, trending, bot, arrival=arrival, late=late)

@@ -243,6 +243,13 @@ def oracle_sql() -> dict[str, str]:
         f"CAST(NULL AS DOUBLE) AS ratio, window_start, window_start + INTERVAL '{T_W}' AS window_end "
         f"FROM states WHERE total >= {T_N}")
     q["stream_ingest_counts"] = q["ingest_counts"]
+    # Through the feed: broken lines (k 95..99) never reach detection; record time = payload
+    # time (whole seconds).
+    fed = ("fed AS (SELECT * REPLACE (date_trunc('second', event_time) AS event_time) FROM main "
+           "WHERE k NOT BETWEEN 95 AND 99)")
+    q["stream_feed_to_signals"] = _with(fed, _trending("tr", T_W, T_N, "fed"), _bot("bo", B_W, B_R, B_V, "fed")) + (
+        f"SELECT {_SIGNAL_COLS} FROM tr WHERE window_end <= (SELECT max(event_time) FROM fed) "
+        f"UNION ALL SELECT {_SIGNAL_COLS} FROM bo WHERE window_end <= (SELECT max(event_time) FROM fed)")
     q["stream_ingest"] = _with() + (
         f'SELECT title AS key, {_EVENT_COLS}, "timestamp" AS record_seconds FROM main WHERE k NOT BETWEEN 95 AND 99')
     q["stream_store"] = _with(*_DETECTED, f"""items AS ({_items('det')} WHERE {closed})""") + (

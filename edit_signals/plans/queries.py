@@ -239,6 +239,21 @@ def _stream_ingest(spark, sf_dir):
     return q, recs
 
 
+def q_stream_feed_to_signals(spark, sf_dir):
+    """Feed files -> streaming ingest (landing decoded edits) -> streaming detection
+    reading those edits (no JSON parsing in detection) -> signal records."""
+    from ..streaming.detect import run_detection
+    from ..streaming.ingest import run_ingest
+    from .replay import land_in_order
+    feed, recs, bad, edits, out = (scratch_path(spark, n) for n in ("feed", "records", "bad", "edits", "signals"))
+    land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", feed, fmt="text",
+                  sort_cols=("event_id", "line_no"), columns=("value",))
+    run_ingest(spark, feed, recs, bad, scratch_path(spark, "chk-ingest"), max_files_per_trigger=1, edits_path=edits)
+    run_detection(spark, edits, out, scratch_path(spark, "chk-detect"), trending=TRENDING_DAY, bot=BOT_HOUR,
+                  source_format="edits", max_files_per_trigger=1)
+    return _flat_signals(codec.decode_signals(read_signal_records(spark, out)))
+
+
 def q_stream_ingest_counts(spark, sf_dir):
     """Counters observed on the streaming ingest (summed over its micro-batches)."""
     from ..operators.counters import progress_counts

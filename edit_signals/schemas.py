@@ -41,6 +41,15 @@ EVENT_RECORD = T.StructType([
     T.StructField("offset", T.LongType()),
 ])
 
+# Landed, already decoded edits: event fields plus the record's key / time / position.
+# Detection over this table reads only the columns it needs and parses no JSON.
+EDIT_TABLE = T.StructType(EVENT.fields + [
+    T.StructField("key", T.StringType()),
+    T.StructField("record_ts", T.TimestampType()),
+    T.StructField("partition", T.IntegerType()),
+    T.StructField("offset", T.LongType()),
+])
+
 # Signal, wire form: camelCase names, window bounds in epoch millis.
 SIGNAL_WIRE = T.StructType([
     T.StructField("signalType", T.StringType()),

@@ -61,10 +61,24 @@ def records_to_edits(records: DataFrame, mode: str = "strict", time_source: str
                      offsets_per_bucket: int = 1_000_000, bucket_seconds: int = 1) -> DataFrame:
     """Decode record values (``strict``: a bad value fails the job, as the detector does;
     ``permissive``: bad values are dropped) and add ``event_time`` plus the arrival
-    columns used by :data:`PARTITION_ARRIVAL` / :data:`GLOBAL_ARRIVAL`."""
+    columns used by :data:`PARTITION_ARRIVAL` / :data:`GLOBAL_ARRIVAL` / :data:`FILE_ARRIVAL`."""
     dec = decode_events(records, payload="value", mode=mode)
     if mode == "permissive":
         dec = split_malformed(dec)[0]
+    return with_arrival_columns(dec, time_source, offsets_per_bucket, bucket_seconds)
+
+
+def read_landed_edits(spark: SparkSession, path: str, streaming: bool = False, time_source: str = "record",
+                      offsets_per_bucket: int = 1_000_000, bucket_seconds: int = 1, **options) -> DataFrame:
+    """Edits landed by the ingest (``edits_path``): decoded columns, no JSON to parse, so
+    a detection query reads only title / bot / record time / position."""
+    reader = spark.readStream if streaming else spark.read
+    df = reader.format("parquet").schema(S.EDIT_TABLE).options(**options).load(path)
+    return with_arrival_columns(df, time_source, offsets_per_bucket, bucket_seconds)
+
+
+def with_arrival_columns(dec: DataFrame, time_source: str = "record", offsets_per_bucket: int = 1_000_000,
+                         bucket_seconds: int = 1) -> DataFrame:
     dec = with_event_time(dec, time_source, record_col="record_ts")
     cols = {
         "offset_bucket": F.floor(F.col("offset") / F.lit(offsets_per_bucket)),

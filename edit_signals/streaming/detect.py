@@ -19,7 +19,7 @@ from ..functions.codec import encode_signals
 from ..operators.signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
 from ..operators.windows import tumbling_bot_counts, tumbling_edit_counts
 from ..params import BotParams, TrendingParams
-from ..sources.records import read_event_records, records_to_edits
+from ..sources.records import read_event_records, read_landed_edits, records_to_edits
 from .common import DETECTION_CONFS, await_done, session_confs, start, state_confs, write_batch_partition
 
 
@@ -51,11 +51,17 @@ def start_detection(spark: SparkSession, records_path: str, signals_path: str, c
                     max_files_per_trigger: int | None = None, state_store: str | None = "rocksdb",
                     time_source: str = "record", name: str | None = None, **source_options):
     """Start the detection query: event records in, signal records out (one partition
-    folder per micro-batch, so a replayed batch overwrites itself)."""
+    folder per micro-batch, so a replayed batch overwrites itself).
+    ``source_format="edits"`` reads the decoded edits landed by the ingest instead of
+    the JSON records: column pruning, no JSON parsing."""
     if max_files_per_trigger:
         source_options["maxFilesPerTrigger"] = max_files_per_trigger
-    records = read_event_records(spark, records_path, fmt=source_format, streaming=True, **source_options)
-    signals = detection_stream(records_to_edits(records, mode="strict", time_source=time_source), trending, bot)
+    if source_format == "edits":
+        edits = read_landed_edits(spark, records_path, streaming=True, time_source=time_source, **source_options)
+    else:
+        records = read_event_records(spark, records_path, fmt=source_format, streaming=True, **source_options)
+        edits = records_to_edits(records, mode="strict", time_source=time_source)
+    signals = detection_stream(edits, trending, bot)
     out = signal_records(signals)
     writer = (out.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, bid: write_batch_partition(df, bid, signals_path)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.codec import decode_events, encode_events, split_malformed
 from ..operators.counters import observe_ingest_counts
 from ..operators.filters import key_by_title, main_namespace
@@ -12,18 +13,25 @@ from ..sources.sse import sse_payloads
 from .common import await_done, start, write_batch_partition
 
 
+def landed_edits(decoded: DataFrame, time_source: str = "payload") -> DataFrame:
+    """Decoded main-namespace events with their record key, time and position
+    (``offset`` orders records inside one landed batch)."""
+    good, _ = split_malformed(decoded)
+    ts = F.timestamp_seconds(F.col("timestamp")) if time_source == "payload" else F.current_timestamp()
+    return key_by_title(main_namespace(good)).select(
+        *S.EVENT_FIELDS, "key", ts.alias("record_ts"), F.lit(0).alias("partition"),
+        F.monotonically_increasing_id().alias("offset"))
+
+
 def records_from_decoded(decoded: DataFrame, time_source: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Decoded, main-namespace events as keyed records (key = title, value = event JSON,
     ``timestamp`` = record time) and the quarantined undecodable payloads.
 
     ``time_source="payload"`` stamps records with the event's own time (deterministic
-    replays); ``"ingest"`` stamps them with the processing time, as a live publisher does.
-    ``offset`` orders records inside one landed batch."""
-    good, bad = split_malformed(decoded)
-    recs = encode_events(key_by_title(main_namespace(good)))
-    ts = F.timestamp_seconds(F.col("timestamp")) if time_source == "payload" else F.current_timestamp()
-    recs = recs.select("key", "value", ts.alias("timestamp"), F.lit(0).alias("partition"),
-                       F.monotonically_increasing_id().alias("offset"))
+    replays); ``"ingest"`` stamps them with the processing time, as a live publisher does."""
+    _, bad = split_malformed(decoded)
+    recs = encode_events(landed_edits(decoded, time_source)).select(
+        "key", "value", F.col("record_ts").alias("timestamp"), "partition", "offset")
     return recs, bad.select("value", "payload")
 
 
@@ -32,20 +40,23 @@ def feed_to_records(payloads: DataFrame, time_source: str = "payload") -> tuple[
 
 
 def write_decoded(decoded: DataFrame, batch_id: int, records_path: str, quarantine_path: str,
-                  time_source: str = "payload") -> None:
-    """One micro-batch (or one batch job): both outputs from one decode of the lines."""
+                  time_source: str = "payload", edits_path: str | None = None) -> None:
+    """One micro-batch (or one batch job): all outputs from one decode of the lines.
+    ``edits_path`` also lands the decoded edits (columnar) for detection."""
     decoded = decoded.persist()
     try:
         recs, bad = records_from_decoded(decoded, time_source)
         write_batch_partition(recs, batch_id, records_path)
         write_batch_partition(bad, batch_id, quarantine_path)
+        if edits_path:
+            write_batch_partition(landed_edits(decoded, time_source), batch_id, edits_path)
     finally:
         decoded.unpersist()
 
 
 def start_ingest(spark: SparkSession, feed_path: str, records_path: str, quarantine_path: str,
                  checkpoint: str, max_files_per_trigger: int | None = None, trigger: dict | None = None,
-                 time_source: str = "payload", name: str | None = None):
+                 time_source: str = "payload", name: str | None = None, edits_path: str | None = None):
     """Streaming ingest over a folder of captured feed files. Records land partitioned
     by micro-batch; arrival order of the landed topic is (batch_id, offset). Counters
     (published / filtered / failed) are observed metrics of each micro-batch."""
@@ -54,7 +65,8 @@ def start_ingest(spark: SparkSession, feed_path: str, records_path: str, quarant
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     decoded = observe_ingest_counts(decode_events(sse_payloads(reader.text(feed_path))))
     writer = (decoded.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: write_decoded(df, bid, records_path, quarantine_path, time_source)))
+              .foreachBatch(lambda df, bid: write_decoded(df, bid, records_path, quarantine_path, time_source,
+                                                          edits_path)))
     if name:
         writer = writer.queryName(name)
     return start(writer, trigger)

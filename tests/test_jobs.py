@@ -31,13 +31,19 @@ def test_batch_stages(spark):
     lines += [_line("Talk:Hot", T0 + 5, ns=1), "data: {broken", ""]
     feed = _feed(spark, lines)
     recs, bad = scratch_path(spark, "recs"), scratch_path(spark, "bad")
-    counts = ingest_feed(spark, feed, recs, bad)
+    edits = scratch_path(spark, "edits")
+    counts = ingest_feed(spark, feed, recs, bad, edits_path=edits)
     assert counts == {"published": 11, "filtered": 1, "failed": 1}
     assert spark.read.parquet(bad).count() == 1
 
+    want = [("BOT_ANOMALY", None, None, 11, 11), ("TRENDING", "Hot", 6, None, None)]
+    for src, fmt in [(recs, "parquet"), (edits, "edits")]:
+        sig = detect_from_records(spark, src, TrendingParams(), BotParams(), late="drop", arrival=FILE_ARRIVAL,
+                                  source_format=fmt)
+        got = sorted((r.signal_type, r.title, r.edit_count, r.bot_edit_count, r.total_edit_count)
+                     for r in sig.collect())
+        assert got == want
     sig = detect_from_records(spark, recs, TrendingParams(), BotParams(), late="drop", arrival=FILE_ARRIVAL)
-    got = sorted((r.signal_type, r.title, r.edit_count, r.bot_edit_count, r.total_edit_count) for r in sig.collect())
-    assert got == [("BOT_ANOMALY", None, None, 11, 11), ("TRENDING", "Hot", 6, None, None)]
 
     revs = detect_from_records(spark, recs, TrendingParams(), BotParams(), revisions=True, arrival=FILE_ARRIVAL)
     assert sorted(r.edit_count for r in revs.filter("signal_type = 'TRENDING'").collect()) == [5, 6]
