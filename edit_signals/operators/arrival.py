@@ -45,14 +45,17 @@ def arrival_key(df: DataFrame, arrival: Arrival) -> Column | None:
         parts = [(v, min(d, dflt)) for (v, dflt), d in zip(parts, arrival.digits)]
     if sum(d for _, d in parts) > 38:
         return None
-    key, ok = None, F.lit(True)
+    key, ok, missing = None, F.lit(True), F.lit(False)
     for v, d in parts:
+        missing = missing | v.isNull()
         # every non-negative bigint has at most 19 digits
         ok = ok & ((v >= 0) if d >= 19 else v.between(0, 10 ** d - 1))
         dv = v.cast(_DEC)
         key = dv if key is None else (key * F.lit(Decimal(10 ** d)).cast(_DEC) + dv).cast(_DEC)
     msg = f"arrival order {tuple(cols)} out of range for exact packing"
-    return F.when(ok, key).otherwise(F.raise_error(F.lit(msg)).cast(_DEC))
+    # a NULL component gives a NULL key (ignored by min/max, never compares as earlier)
+    return (F.when(missing, F.lit(None).cast(_DEC)).when(ok, key)
+            .otherwise(F.raise_error(F.lit(msg)).cast(_DEC)))
 
 
 def arrival_struct(arrival: Arrival) -> Column:

@@ -147,3 +147,20 @@ def test_running_totals_three_levels(spark):
     for i, (title, *_rest) in enumerate(rows):
         seen[title] = seen.get(title, 0) + 1
         assert got[i] == seen[title]
+
+
+def test_packed_arrival_key_orders_like_the_struct(spark):
+    from pyspark.sql import functions as F
+    from edit_signals.operators.arrival import arrival_key
+    import pytest
+    rows = [(at_, i) for i, at_ in enumerate([3, 1, 1, 2, 0])]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "s bigint, i bigint").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    a = Arrival(order=("ts", "i"))
+    keyed = df.select("s", "i", arrival_key(df, a).alias("k")).orderBy("k").collect()
+    assert [(r.s, r.i) for r in keyed] == sorted((r[0], r[1]) for r in rows)
+    nulls = spark.createDataFrame([(None, 1)], "ts timestamp, i bigint")
+    assert nulls.select(arrival_key(nulls, a).alias("k")).first().k is None
+    neg = spark.createDataFrame([(1, -5)], "s bigint, i bigint").withColumn("ts", F.timestamp_seconds("s"))
+    with pytest.raises(Exception):
+        neg.select(arrival_key(neg, a)).collect()
