@@ -113,9 +113,10 @@ def bot_revisions(edits: DataFrame, params: BotParams = BotParams(), arrival: Ar
 
 
 def signal_revisions(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),
-                     arrival: Arrival = Arrival(), late: str = "drop") -> DataFrame:
+                     arrival: Arrival = Arrival(), late: str = "drop", bot_arrival: Arrival | None = None) -> DataFrame:
+    """Revisions of both detectors (UNION ALL); ``bot_arrival`` as in ``detect_signals``."""
     return trending_revisions(edits, trending, arrival, late=late).unionByName(
-        bot_revisions(edits, bot, arrival, late=late), allowMissingColumns=True)
+        bot_revisions(edits, bot, bot_arrival or arrival, late=late), allowMissingColumns=True)
 
 
 def first_crossing(revisions: DataFrame, arrival: Arrival = Arrival()) -> DataFrame:

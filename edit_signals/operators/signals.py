@@ -68,6 +68,16 @@ def _last_arrival(edits: DataFrame, arrival: Arrival | None) -> dict[str, Column
     return {f"_em_{c}": F.max_by(F.col(c), key) for c in arrival.order}
 
 
+def _late_source(edits: DataFrame, width, arrival: Arrival | None, late: str) -> DataFrame:
+    if late == "keep":
+        return edits
+    if late != "drop":
+        raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
+    if arrival is None:
+        raise ValueError("late='drop' needs the arrival order (arrival=Arrival(...))")
+    return drop_late(edits, width, arrival)
+
+
 def _with_emitted(counts: DataFrame, arrival: Arrival | None) -> DataFrame:
     if arrival is None or "emitted" in counts.columns:
         return counts
@@ -83,7 +93,7 @@ def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams()
     ``late="drop"`` first removes the records a zero-grace window would reject
     (needs ``arrival``); ``arrival`` also adds ``emitted`` (last contributing arrival).
     """
-    src = drop_late(edits, params.window, arrival) if late == "drop" else edits
+    src = _late_source(edits, params.window, arrival, late)
     extra = _last_arrival(src, arrival)
     counts = _with_emitted(tumbling_edit_counts(src, params.window, keys, extra=extra), arrival)
     keep = [k for k in keys if k != "title"] + (["emitted"] if arrival is not None else [])
@@ -93,7 +103,7 @@ def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams()
 def bot_anomaly_signals(edits: DataFrame, params: BotParams = BotParams(), arrival: Arrival | None = None,
                         late: str = "keep") -> DataFrame:
     """Final bot-anomaly signal per window: total >= min volume and bot ratio > threshold."""
-    src = drop_late(edits, params.window, arrival) if late == "drop" else edits
+    src = _late_source(edits, params.window, arrival, late)
     extra = _last_arrival(src, arrival)
     counts = _with_emitted(tumbling_bot_counts(src, params.window, extra=extra), arrival)
     keep = ["emitted"] if arrival is not None else []
@@ -101,10 +111,15 @@ def bot_anomaly_signals(edits: DataFrame, params: BotParams = BotParams(), arriv
 
 
 def detect_signals(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),
-                   arrival: Arrival | None = None, late: str = "keep") -> DataFrame:
-    """Both detectors over the same edits, concatenated (UNION ALL, duplicates kept)."""
+                   arrival: Arrival | None = None, late: str = "keep",
+                   bot_arrival: Arrival | None = None) -> DataFrame:
+    """Both detectors over the same edits, concatenated (UNION ALL, duplicates kept).
+
+    ``bot_arrival`` (default ``arrival``) is the order seen by the bot branch: keyed
+    topics keep one clock per input partition for trending, while the bot branch's
+    re-key funnels everything through one clock (see ``sources.records``)."""
     t = trending_signals(edits, trending, arrival=arrival, late=late)
-    b = bot_anomaly_signals(edits, bot, arrival=arrival, late=late)
+    b = bot_anomaly_signals(edits, bot, arrival=bot_arrival or arrival, late=late)
     return t.unionByName(b, allowMissingColumns=True)
 
 

@@ -39,18 +39,19 @@ def ingest_feed(spark: SparkSession, feed_path: str, records_path: str, quaranti
 
 def detect_from_records(spark: SparkSession, records_path: str, trending: TrendingParams = TrendingParams(),
                         bot: BotParams = BotParams(), late: str = "drop", revisions: bool = False,
-                        arrival=GLOBAL_ARRIVAL, source_format: str = "parquet") -> DataFrame:
+                        arrival=GLOBAL_ARRIVAL, source_format: str = "parquet", bot_arrival=None) -> DataFrame:
     """Signals from landed event records. ``late="drop"`` applies the exact zero-grace
     lateness in arrival order; ``revisions=True`` emits every update instead of the
-    final state of each window."""
+    final state of each window. For Kafka topics pass ``arrival=PARTITION_ARRIVAL,
+    bot_arrival=GLOBAL_ARRIVAL`` (per-partition clocks for the keyed branch)."""
     prepare(spark)
     if source_format == "edits":
         edits = read_landed_edits(spark, records_path)
     else:
         edits = records_to_edits(read_event_records(spark, records_path, fmt=source_format), mode="strict")
     if revisions:
-        return signal_revisions(edits, trending, bot, arrival, late=late)
-    return detect_signals(edits, trending, bot, arrival=arrival, late=late)
+        return signal_revisions(edits, trending, bot, arrival, late=late, bot_arrival=bot_arrival)
+    return detect_signals(edits, trending, bot, arrival=arrival, late=late, bot_arrival=bot_arrival)
 
 
 def publish_signals(signals: DataFrame, signals_path: str, fmt: str = "parquet") -> None:

@@ -101,3 +101,25 @@ def test_bad_params():
         TrendingParams(window=0)
     with pytest.raises(ValueError):
         BotParams(ratio_threshold=None)
+
+
+def test_late_drop_needs_arrival(spark):
+    import pytest
+    e = make_edits(spark, [("A", False, 0)])
+    with pytest.raises(ValueError):
+        trending_signals(e, TP, late="drop")
+    with pytest.raises(ValueError):
+        trending_signals(e, TP, late="sometimes")
+
+
+def test_branch_specific_arrival(spark):
+    """Keyed branch with per-partition clocks, bot branch with one global clock."""
+    from pyspark.sql import functions as F
+    from edit_signals.params import Arrival
+    # partition 1 sees window 1 first; partition 0's window-0 edits arrive after that
+    rows = [("B", True, 6 * MIN, 0)] + [("A", True, i * 1000, 1000 + i) for i in range(10)]
+    e = make_edits(spark, rows).withColumn("p", F.when(F.col("title") == "B", 1).otherwise(0))
+    per_part = Arrival(partitions=("p",))
+    out = detect_signals(e, TP, BotParams(min_volume=5), arrival=per_part, late="drop", bot_arrival=Arrival())
+    kinds = sorted(r.signal_type for r in out.collect())
+    assert kinds == ["TRENDING"]   # A's edits are on time for their partition, late for the global clock
