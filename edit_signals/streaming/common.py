@@ -58,9 +58,7 @@ def await_done(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQu
 
 
 def write_batch_partition(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
-    """Idempotent micro-batch write: rows land in ``batch_id=<id>``; a replayed batch
-    overwrites its own partition instead of duplicating rows."""
-    from pyspark.sql import functions as F
-    (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write
-     .mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").format(fmt).save(path))
+    """Idempotent micro-batch write: rows land in the partition folder ``batch_id=<id>``
+    (read back through partition discovery); a replayed batch overwrites its own folder
+    instead of duplicating rows."""
+    df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
