@@ -94,3 +94,23 @@ def test_strict_mode_fails_on_bad_json(spark):
     df = spark.createDataFrame([("{broken",)], "value string")
     with pytest.raises(Exception):
         decode_events(df, payload="value", mode="strict").collect()
+
+
+def test_kafka_paths_are_gated(spark):
+    import pytest
+    from edit_signals import read_event_records, write_event_records
+    from edit_signals.sources.records import kafka_available
+    if kafka_available(spark):
+        pytest.skip("Kafka connector present")
+    with pytest.raises(RuntimeError):
+        read_event_records(spark, "wikipedia.recentchanges", fmt="kafka")
+    with pytest.raises(RuntimeError):
+        write_event_records(spark.createDataFrame([("k", "v")], "key string, value string"), "t", fmt="kafka")
+
+
+def test_event_time_from_record_or_payload(spark):
+    import datetime as dt
+    from edit_signals import with_event_time
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 5), 1704067200)], "record_ts timestamp, timestamp bigint")
+    assert with_event_time(df).first().event_time == dt.datetime(2024, 1, 1, 0, 5)
+    assert with_event_time(df, "payload").first().event_time == dt.datetime(2024, 1, 1, 0, 0)
