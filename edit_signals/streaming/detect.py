@@ -19,6 +19,7 @@ from ..functions.codec import encode_signals
 from ..operators.signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
 from ..operators.windows import tumbling_bot_counts, tumbling_edit_counts
 from ..params import BotParams, TrendingParams
+from ..sinks import stream_records
 from ..sources.records import read_event_records, read_landed_edits, records_to_edits
 from .common import DETECTION_CONFS, await_done, session_confs, start, state_confs, write_batch_partition
 
@@ -50,8 +51,9 @@ def start_detection(spark: SparkSession, records_path: str, signals_path: str, c
                     output_mode: str = "append", source_format: str = "parquet", trigger: dict | None = None,
                     max_files_per_trigger: int | None = None, state_store: str | None = "rocksdb",
                     time_source: str = "record", name: str | None = None, **source_options):
-    """Start the detection query: event records in, signal records out (one partition
-    folder per micro-batch, so a replayed batch overwrites itself).
+    """Start the detection query: event records in, signal records out. Append mode
+    writes through the exactly-once file sink; update mode writes one folder per
+    micro-batch (a replayed batch overwrites itself).
     ``source_format="edits"`` reads the decoded edits landed by the ingest instead of
     the JSON records: column pruning, no JSON parsing."""
     if max_files_per_trigger:
@@ -63,8 +65,13 @@ def start_detection(spark: SparkSession, records_path: str, signals_path: str, c
         edits = records_to_edits(records, mode="strict", time_source=time_source)
     signals = detection_stream(edits, trending, bot)
     out = signal_records(signals)
-    writer = (out.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: write_batch_partition(df, bid, signals_path)))
+    if output_mode == "append":
+        # the file sink is exactly-once through its own metadata log (no per-batch folders)
+        writer = stream_records(out, signals_path, checkpoint, fmt="parquet", output_mode="append")
+    else:
+        # update mode: the file sink cannot take it; each micro-batch overwrites its own folder
+        writer = (out.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+                  .foreachBatch(lambda df, bid: write_batch_partition(df, bid, signals_path)))
     if name:
         writer = writer.queryName(name)
     with session_confs(spark, {**DETECTION_CONFS, **state_confs(state_store)}):
