@@ -1,9 +1,11 @@
 """Serving: signal records -> keyed store (last write wins) and the newest-N report.
 
-Each micro-batch appends its decoded items to a store log (partitioned by batch id,
+Each micro-batch appends its decoded items to a store log (one folder per batch id,
 idempotent on replay) and rewrites the small recent-signals snapshot: the previous
-snapshot (<= N rows) plus this batch, newest N kept. The store's current view is the
-log reduced to the latest write per key (``store_view``), computed when read.
+snapshot (<= N rows) plus this batch, newest N kept. Every ``compact_every`` batches
+the log is folded into a compacted view and the folded folders are dropped, so the
+number of folders stays bounded. The store's current view (``store_view``) is the
+compacted view plus the newer log, reduced to the latest write per key.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import decode_signals
 from ..operators.report import recent_signals
-from ..operators.store import ITEM_COLUMNS, signal_items, upsert_signals
+from ..operators.store import ITEM_COLUMNS, signal_items
 from ..params import RECENT_SIGNALS
 from ..sources.records import read_signal_records
 from .common import await_done, start, write_batch_partition
@@ -25,8 +27,12 @@ def _arrival(df: DataFrame, batch_id: int) -> DataFrame:
                                              F.monotonically_increasing_id().alias("seq")))
 
 
+# Fold the store log into a compacted view every this many micro-batches.
+COMPACT_EVERY = 100
+
+
 def serve_batch(records: DataFrame, batch_id: int, store_log_path: str, recent_path: str,
-                n: int = RECENT_SIGNALS) -> None:
+                n: int = RECENT_SIGNALS, compact_every: int | None = COMPACT_EVERY) -> None:
     spark = records.sparkSession
     signals = _arrival(decode_signals(records, "value"), batch_id).persist()
     try:
@@ -38,10 +44,14 @@ def serve_batch(records: DataFrame, batch_id: int, store_log_path: str, recent_p
         if prev_path is not None:
             current = spark.read.parquet(prev_path).select(*cols).unionByName(current)
         recent_signals(current, n).write.mode("overwrite").parquet(f"{recent_path}/snapshot={batch_id:012d}")
-        _retain_snapshots(spark, recent_path, keep_from=_snapshot_ids(spark, recent_path, before=batch_id)[-1:])
+        _retain(spark, recent_path, "snapshot", keep_from=_versions(spark, recent_path, "snapshot", batch_id)[-1:])
     finally:
         signals.unpersist()
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact_store(spark, store_log_path, batch_id)
+
 
+# ---- versioned folders (<name>=<id> with _SUCCESS) -----------------------------------
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -49,44 +59,102 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _snapshot_ids(spark: SparkSession, recent_path: str, before: int) -> list[int]:
-    """Committed snapshot ids (folders with ``_SUCCESS``) below ``before``, ascending.
-    At most a couple exist (older ones are removed), so this is a tiny metadata call."""
-    jvm, path, fs = _fs(spark, recent_path)
+def _versions(spark: SparkSession, root: str, name: str, before: int, committed: bool = True) -> list[int]:
+    """Ids of ``root/<name>=<id>`` folders below ``before``, ascending (metadata only).
+    Old versions are removed as new ones commit, so the listing stays short."""
+    jvm, path, fs = _fs(spark, root)
     if not fs.exists(path):
         return []
     ids = []
     for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("snapshot="):
-            b = int(name.split("=", 1)[1])
-            if b < before and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        folder = st.getPath().getName()
+        if folder.startswith(f"{name}="):
+            b = int(folder.split("=", 1)[1])
+            if b < before and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
                 ids.append(b)
     return sorted(ids)
 
 
-def _retain_snapshots(spark: SparkSession, recent_path: str, keep_from: list[int]) -> None:
-    """Remove snapshots older than the previous one (the newest two stay, so a reader
-    never loses the committed view while the next one is written)."""
-    if not keep_from:
-        return
-    jvm, path, fs = _fs(spark, recent_path)
-    for b in _snapshot_ids(spark, recent_path, before=keep_from[0]):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"snapshot={b:012d}"), True)
+def _delete(spark: SparkSession, root: str, name: str, ids: list[int], width: int = 12) -> None:
+    jvm, path, fs = _fs(spark, root)
+    for b in ids:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"{name}={b:0{width}d}" if width else f"{name}={b}"), True)
+
+
+def _retain(spark: SparkSession, root: str, name: str, keep_from: list[int]) -> None:
+    """Remove versions older than ``keep_from[0]`` (the newest two stay, so a reader never
+    loses the committed version while the next one is written)."""
+    if keep_from:
+        _delete(spark, root, name, _versions(spark, root, name, before=keep_from[0], committed=False))
 
 
 def _latest_snapshot(spark: SparkSession, recent_path: str, before: int) -> str | None:
     """Newest committed snapshot folder written by an earlier batch."""
-    ids = _snapshot_ids(spark, recent_path, before)
+    ids = _versions(spark, recent_path, "snapshot", before)
     return f"{recent_path}/snapshot={ids[-1]:012d}" if ids else None
 
 
+# ---- store: log + compacted view ---------------------------------------------------------
+
+_STORE_COLS = ITEM_COLUMNS + ["emitted"]
+
+
+def _view_root(store_log_path: str) -> str:
+    return f"{store_log_path.rstrip('/')}_view"
+
+
+def _latest_items(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest write per key (greatest arrival, then title); partial + final aggregate."""
+    latest = F.max_by(F.struct(*[F.col(c) for c in _STORE_COLS]), F.struct("emitted", "title")).alias("_i")
+    return items.groupBy(*keys).agg(latest).select(*[F.col(f"_i.{c}").alias(c) for c in _STORE_COLS])
+
+
+def _store_items(spark: SparkSession, store_log_path: str, upto: int | None = None,
+                 view_before: int | None = None) -> DataFrame | None:
+    """Items of the newest committed view (below ``view_before``) plus log batches after it
+    (up to ``upto``). Only the log folders after the view are read (partition pruning)."""
+    views = _versions(spark, _view_root(store_log_path), "upto", before=view_before if view_before is not None
+                      else 2 ** 62)
+    parts, after = [], -1
+    if views:
+        after = views[-1]
+        parts.append(spark.read.parquet(f"{_view_root(store_log_path)}/upto={after:012d}").select(*_STORE_COLS))
+    batches = [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62)
+               if b > after and (upto is None or b <= upto)]
+    if batches:
+        log = spark.read.parquet(store_log_path).filter(F.col("batch_id").between(batches[0], batches[-1]))
+        parts.append(log.select(*_STORE_COLS))
+    if not parts:
+        return None
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def compact_store(spark: SparkSession, store_log_path: str, upto: int) -> None:
+    """Fold the log up to batch ``upto`` into the view ``upto=<id>`` (latest item per
+    (pk, sk, title), so both key modes can still be derived), then drop the folded log
+    folders and older views. Crash-safe: the view commits before anything is deleted,
+    and an existing view is never rewritten."""
+    root = _view_root(store_log_path)
+    if upto not in _versions(spark, root, "upto", before=upto + 1):
+        items = _store_items(spark, store_log_path, upto=upto, view_before=upto)
+        if items is None:
+            return
+        _latest_items(items, ["pk", "sk", "title"]).write.mode("overwrite").parquet(f"{root}/upto={upto:012d}")
+    folded = [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62, committed=False) if b <= upto]
+    _delete(spark, store_log_path, "batch_id", folded, width=0)
+    _retain(spark, root, "upto", keep_from=_versions(spark, root, "upto", before=upto)[-1:])
+
+
 def start_serving(spark: SparkSession, signals_path: str, store_log_path: str, recent_path: str,
                   checkpoint: str, source_format: str = "parquet", trigger: dict | None = None,
-                  n: int = RECENT_SIGNALS, name: str | None = None, **source_options):
+                  n: int = RECENT_SIGNALS, name: str | None = None, compact_every: int | None = COMPACT_EVERY,
+                  **source_options):
     records = read_signal_records(spark, signals_path, fmt=source_format, streaming=True, **source_options)
     writer = (records.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: serve_batch(df, bid, store_log_path, recent_path, n)))
+              .foreachBatch(lambda df, bid: serve_batch(df, bid, store_log_path, recent_path, n, compact_every)))
     if name:
         writer = writer.queryName(name)
     return start(writer, trigger)
@@ -97,15 +165,20 @@ def run_serving(spark: SparkSession, *args, timeout_s: float | None = None, **kw
 
 
 def store_view(spark: SparkSession, store_log_path: str, key: str = "window") -> DataFrame:
-    """Current store contents: the latest write per key over the whole log."""
-    log = spark.read.parquet(store_log_path)
-    signals = log.select(
-        F.col("signalType").alias("signal_type"), "title",
-        F.col("editCount").alias("edit_count"), F.col("botEditCount").alias("bot_edit_count"),
-        F.col("totalEditCount").alias("total_edit_count"), "ratio",
-        F.timestamp_millis("windowStart").alias("window_start"),
-        F.timestamp_millis("windowEnd").alias("window_end"), "emitted")
-    return upsert_signals(signals, order=("emitted",), key=key).select(*ITEM_COLUMNS)
+    """Current store contents: the latest write per key over the compacted view and the
+    log written after it."""
+    if key not in ("window", "window_title"):
+        raise ValueError(f"unknown store key mode {key!r}")
+    items = _store_items(spark, store_log_path)
+    if items is None:
+        return spark.createDataFrame([], signal_items_schema())
+    keys = ["pk", "sk"] + (["title"] if key == "window_title" else [])
+    return _latest_items(items, keys).select(*ITEM_COLUMNS)
+
+
+def signal_items_schema() -> str:
+    return ("pk string, sk string, signalType string, windowStart bigint, windowEnd bigint, title string, "
+            "editCount int, botEditCount int, totalEditCount int, ratio double")
 
 
 def recent_view(spark: SparkSession, recent_path: str) -> DataFrame | None:
@@ -113,4 +186,4 @@ def recent_view(spark: SparkSession, recent_path: str) -> DataFrame | None:
     return None if latest is None else spark.read.parquet(latest)
 
 
-__all__ = ["serve_batch", "start_serving", "run_serving", "store_view", "recent_view"]
+__all__ = ["serve_batch", "start_serving", "run_serving", "store_view", "recent_view", "compact_store"]

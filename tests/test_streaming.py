@@ -147,3 +147,27 @@ def test_replayed_batch_write_is_idempotent(spark):
         write_batch_partition(df, 7, out)
     write_batch_partition(df.limit(1), 8, out)
     assert spark.read.parquet(out).count() == 3
+
+
+def test_store_compaction_keeps_latest_and_bounds_folders(spark):
+    import os
+    from edit_signals.session import local_path
+    from edit_signals.streaming.serve import serve_batch
+    from edit_signals.functions.codec import encode_signals
+    sig_ddl = ("signal_type string, title string, edit_count int, bot_edit_count int, total_edit_count int, "
+               "ratio double, window_start timestamp, window_end timestamp")
+    log, recent = scratch_path(spark, "log"), scratch_path(spark, "recent")
+    for b in range(5):
+        rows = [("TRENDING", "A", 5 + b, None, None, None, at(0), at(5 * MIN)),
+                ("TRENDING", f"T{b}", 5, None, None, None, at(5 * MIN * b), at(5 * MIN * (b + 1)))]
+        recs = encode_signals(spark.createDataFrame(rows, sig_ddl)).select("value")
+        serve_batch(recs, b, log, recent, n=3, compact_every=2)
+    by_title = {(r.sk, r.title): r.editCount for r in store_view(spark, log, key="window_title").collect()}
+    import datetime as _dt
+    sk0 = str(int((at(5 * MIN) - _dt.datetime(1970, 1, 1)).total_seconds() * 1000))
+    assert by_title[(sk0, "A")] == 9 and len(by_title) == 6
+    by_window = {r.sk: (r.title, r.editCount) for r in store_view(spark, log).collect()}
+    assert len(by_window) == 5
+    logs = [d for d in os.listdir(local_path(log)) if d.startswith("batch_id=")]
+    views = [d for d in os.listdir(local_path(log) + "_view") if d.startswith("upto=")]
+    assert logs == ["batch_id=4"] and len(views) <= 2
