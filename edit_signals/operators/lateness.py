@@ -91,6 +91,17 @@ def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(),
     return tagged.withColumn("late", late).drop("_ws", "_closed_by")
 
 
+def apply_late(edits: DataFrame, width: int | str, arrival: Arrival | None, late: str = "keep") -> DataFrame:
+    """``late="keep"``: all records; ``late="drop"``: only those a zero-grace window accepts."""
+    if late == "keep":
+        return edits
+    if late != "drop":
+        raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
+    if arrival is None:
+        raise ValueError("late='drop' needs the arrival order (arrival=Arrival(...))")
+    return drop_late(edits, width, arrival)
+
+
 def drop_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Records that a zero-grace tumbling window of ``width`` would still accept."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..params import Arrival, BotParams, TrendingParams
 from .arrival import arrival_key
 from .filters import drop_null_keys
-from .lateness import drop_late
+from .lateness import apply_late
 from .signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
 from .windows import bot_ratio, is_bot, tumbling
 
@@ -87,8 +87,7 @@ def trending_revisions(edits: DataFrame, params: TrendingParams = TrendingParams
                        keys: Sequence[str] = ("title",), late: str = "drop") -> DataFrame:
     """One signal row per accepted record whose window count reaches the threshold.
     ``emitted`` = arrival of that record."""
-    src = drop_late(edits, params.window, arrival) if late == "drop" else edits
-    src = tumbling(drop_null_keys(src, keys), params.window)
+    src = tumbling(drop_null_keys(apply_late(edits, params.window, arrival, late), keys), params.window)
     counted = running_totals(src, ["window_start", "window_end", *keys], arrival, {"edit_count": F.lit(1)})
     counted = counted.withColumn("edit_count", F.col("edit_count").cast("int")).select(
         *keys, "window_start", "window_end", "edit_count", _emitted(arrival))
@@ -99,8 +98,7 @@ def trending_revisions(edits: DataFrame, params: TrendingParams = TrendingParams
 def bot_revisions(edits: DataFrame, params: BotParams = BotParams(), arrival: Arrival = Arrival(),
                   late: str = "drop") -> DataFrame:
     """One signal row per accepted record after which its window passes volume and ratio."""
-    src = drop_late(edits, params.window, arrival) if late == "drop" else edits
-    src = tumbling(src, params.window)
+    src = tumbling(apply_late(edits, params.window, arrival, late), params.window)
     counted = running_totals(src, ["window_start", "window_end"], arrival,
                              {"total_edit_count": F.lit(1), "bot_edit_count": is_bot().cast("int")})
     counted = counted.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams
 from .arrival import arrival_key, arrival_struct
-from .lateness import drop_late
+from .lateness import apply_late
 from .windows import tumbling_bot_counts, tumbling_edit_counts
 
 
@@ -68,16 +68,6 @@ def _last_arrival(edits: DataFrame, arrival: Arrival | None) -> dict[str, Column
     return {f"_em_{c}": F.max_by(F.col(c), key) for c in arrival.order}
 
 
-def _late_source(edits: DataFrame, width, arrival: Arrival | None, late: str) -> DataFrame:
-    if late == "keep":
-        return edits
-    if late != "drop":
-        raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
-    if arrival is None:
-        raise ValueError("late='drop' needs the arrival order (arrival=Arrival(...))")
-    return drop_late(edits, width, arrival)
-
-
 def _with_emitted(counts: DataFrame, arrival: Arrival | None) -> DataFrame:
     if arrival is None or "emitted" in counts.columns:
         return counts
@@ -93,7 +83,7 @@ def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams()
     ``late="drop"`` first removes the records a zero-grace window would reject
     (needs ``arrival``); ``arrival`` also adds ``emitted`` (last contributing arrival).
     """
-    src = _late_source(edits, params.window, arrival, late)
+    src = apply_late(edits, params.window, arrival, late)
     extra = _last_arrival(src, arrival)
     counts = _with_emitted(tumbling_edit_counts(src, params.window, keys, extra=extra), arrival)
     keep = [k for k in keys if k != "title"] + (["emitted"] if arrival is not None else [])
@@ -103,7 +93,7 @@ def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams()
 def bot_anomaly_signals(edits: DataFrame, params: BotParams = BotParams(), arrival: Arrival | None = None,
                         late: str = "keep") -> DataFrame:
     """Final bot-anomaly signal per window: total >= min volume and bot ratio > threshold."""
-    src = _late_source(edits, params.window, arrival, late)
+    src = apply_late(edits, params.window, arrival, late)
     extra = _last_arrival(src, arrival)
     counts = _with_emitted(tumbling_bot_counts(src, params.window, extra=extra), arrival)
     keep = ["emitted"] if arrival is not None else []
