@@ -65,12 +65,6 @@ def closing_from_first(per_window: DataFrame, arrival: Arrival, two_level: bool
             .select(*arrival.partitions, "_ws", F.least("_lclosed", "_bclosed").alias("_closed_by")))
 
 
-def closing_arrivals(edits: DataFrame, width: int | str, arrival: Arrival, time_col: str = "event_time",
-                     fanout: int = FANOUT) -> DataFrame:
-    """Lazy form (always two-level) of the closing table used by :func:`flag_late`."""
-    return closing_from_first(first_arrivals(edits, width, arrival, time_col), arrival, True, fanout)
-
-
 def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, fanout: int = FANOUT,
               max_single_scan_windows: int = MAX_SINGLE_SCAN_WINDOWS) -> DataFrame:

@@ -1,24 +1,7 @@
-"""Broadcast only what is proven small."""
+"""Size bounds for derived tables that may be broadcast."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Upper bound on rows of a derived table we are willing to broadcast.
+# Upper bound on rows of a derived table we are willing to broadcast (checked by counting
+# the table first; beyond it the join is a shuffle join).
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Count ``df`` (cached, it is reused by the caller's join) and hint a broadcast only
-    when the count is within ``max_rows``; otherwise return it for a shuffle join.
-
-    Meant for derived tables whose size depends on the number of windows / partitions,
-    not on the number of events.
-    """
-    cached = df.cache()
-    n = cached.count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df

@@ -35,10 +35,6 @@ def records_from_decoded(decoded: DataFrame, time_source: str = "payload") -> tu
     return recs, bad.select("value", "payload")
 
 
-def feed_to_records(payloads: DataFrame, time_source: str = "payload") -> tuple[DataFrame, DataFrame]:
-    return records_from_decoded(decode_events(payloads), time_source)
-
-
 def write_decoded(decoded: DataFrame, batch_id: int, records_path: str, quarantine_path: str,
                   time_source: str = "payload", edits_path: str | None = None) -> None:
     """One micro-batch (or one batch job): all outputs from one decode of the lines.
