@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams
+from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams, window_duration
 from .arrival import arrival_key, arrival_struct
 from .lateness import apply_late
-from .windows import tumbling_bot_counts, tumbling_edit_counts
+from .windows import bot_ratio, tumbling_bot_counts, tumbling_edit_counts
 
 
 def _null_int():
@@ -107,11 +107,58 @@ def detect_signals(edits: DataFrame, trending: TrendingParams = TrendingParams()
 
     ``bot_arrival`` (default ``arrival``) is the order seen by the bot branch: keyed
     topics keep one clock per input partition for trending, while the bot branch's
-    re-key funnels everything through one clock (see ``sources.records``)."""
+    re-key funnels everything through one clock (see ``sources.records``).
+
+    Without lateness both detectors share one scan and one aggregate (see
+    :func:`shared_detect`); with ``late="drop"`` each branch first applies its own
+    width's lateness, so the branches are planned separately."""
+    if late == "keep" and (bot_arrival is None or bot_arrival == arrival):
+        return shared_detect(edits, trending, bot, arrival)
     t = trending_signals(edits, trending, arrival=arrival, late=late)
     b = bot_anomaly_signals(edits, bot, arrival=bot_arrival or arrival, late=late)
     return t.unionByName(b, allowMissingColumns=True)
 
 
+def shared_detect(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),
+                  arrival: Arrival | None = None) -> DataFrame:
+    """Both detectors from one scan: every edit is tagged into its trending window (keyed
+    by title) and its bot window (no key), one hash aggregate counts both, and one
+    projection emits the wide signal row of either kind. Halves the scan I/O of running
+    the two branches separately; a busy window is still pre-aggregated map-side."""
+    cols = ["title", "bot", *(arrival.order if arrival else ())]
+    tagged = (edits
+              .withColumn("_wt", F.window("event_time", window_duration(trending.window)))
+              .withColumn("_wb", F.window("event_time", window_duration(bot.window)))
+              .select(F.explode(F.array(
+                  F.struct(F.lit(TRENDING).alias("signal_type"), F.col("_wt").alias("_w"),
+                           *[F.col(c) for c in cols]),
+                  F.struct(F.lit(BOT_ANOMALY).alias("signal_type"), F.col("_wb").alias("_w"),
+                           F.lit(None).cast("string").alias("title"), *[F.col(c) for c in cols[1:]]),
+              )).alias("_r"))
+              .select("_r.*"))
+    is_tr = F.col("signal_type") == TRENDING
+    tagged = tagged.filter(~is_tr | F.col("title").isNotNull())   # NULL titles never trend
+    extra = _last_arrival(tagged, arrival) or {}
+    counts = (tagged.groupBy("signal_type", "_w", "title")
+              .agg(F.count(F.lit(1)).cast("int").alias("_n"),
+                   F.count_if(F.coalesce(F.col("bot"), F.lit(False))).cast("int").alias("_nb"),
+                   *[c.alias(n) for n, c in extra.items()]))
+    counts = _with_emitted(counts, arrival)
+    ratio = bot_ratio(F.col("_nb"), F.col("_n"))
+    keep = (is_tr & (F.col("_n") >= F.lit(trending.threshold))) | (
+        ~is_tr & (F.col("_n") >= F.lit(bot.min_volume)) & (ratio > F.lit(float(bot.ratio_threshold))))
+    return counts.filter(keep).select(
+        "signal_type",
+        F.col("title"),
+        F.when(is_tr, F.col("_n")).alias("edit_count"),
+        F.when(~is_tr, F.col("_nb")).alias("bot_edit_count"),
+        F.when(~is_tr, F.col("_n")).alias("total_edit_count"),
+        F.when(~is_tr, ratio).alias("ratio"),
+        F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
+        F.when(is_tr, F.col("title")).otherwise(F.lit(GLOBAL_KEY)).alias("key"),
+        *(["emitted"] if arrival is not None else []),
+    )
+
+
 # The batch final state of each window is the reference's last emitted revision.
 final_signals = detect_signals

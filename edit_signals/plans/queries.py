@@ -62,9 +62,7 @@ def _flat_emitted(df: DataFrame) -> DataFrame:
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    main = _main(spark, sf_dir)
-    return (O.trending_signals(main, TRENDING_DAY, arrival=ARRIVAL)
-            .unionByName(O.bot_anomaly_signals(main, BOT_HOUR, arrival=ARRIVAL), allowMissingColumns=True))
+    return O.detect_signals(_main(spark, sf_dir), TRENDING_DAY, BOT_HOUR, arrival=ARRIVAL)
 
 
 # ---- ingest ---------------------------------------------------------------
