@@ -23,10 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import Arrival, BotParams, TrendingParams
+from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams, window_duration
 from .arrival import arrival_key
 from .filters import drop_null_keys
-from .lateness import apply_late
+from .lateness import apply_late, flag_late
 from .signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
 from .windows import bot_ratio, is_bot, tumbling
 
@@ -112,9 +112,49 @@ def bot_revisions(edits: DataFrame, params: BotParams = BotParams(), arrival: Ar
 
 def signal_revisions(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),
                      arrival: Arrival = Arrival(), late: str = "drop", bot_arrival: Arrival | None = None) -> DataFrame:
-    """Revisions of both detectors (UNION ALL); ``bot_arrival`` as in ``detect_signals``."""
-    return trending_revisions(edits, trending, arrival, late=late).unionByName(
-        bot_revisions(edits, bot, bot_arrival or arrival, late=late), allowMissingColumns=True)
+    """Revisions of both detectors (UNION ALL); ``bot_arrival`` as in ``detect_signals``.
+
+    With one arrival order both detectors run as one pipeline over one scan: each
+    branch's lateness is a broadcast join on the same rows, every row is tagged into its
+    trending and its bot window, and one running-totals pass covers both."""
+    if bot_arrival is not None and bot_arrival != arrival:
+        return trending_revisions(edits, trending, arrival, late=late).unionByName(
+            bot_revisions(edits, bot, bot_arrival, late=late), allowMissingColumns=True)
+    if late == "drop":
+        e = flag_late(edits, trending.window, arrival).withColumnRenamed("late", "_late_t")
+        e = flag_late(e, bot.window, arrival).withColumnRenamed("late", "_late_b")
+    elif late == "keep":
+        e = edits.withColumns({"_late_t": F.lit(False), "_late_b": F.lit(False)})
+    else:
+        raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
+    carry = ["bot", *arrival.order, arrival.bucket]
+    tagged = (e.withColumn("_wt", F.window("event_time", window_duration(trending.window)))
+              .withColumn("_wb", F.window("event_time", window_duration(bot.window)))
+              .select(F.explode(F.array(
+                  F.struct(F.lit(TRENDING).alias("signal_type"), F.col("_wt").alias("_w"), F.col("title"),
+                           F.col("_late_t").alias("_late"), *[F.col(c) for c in carry]),
+                  F.struct(F.lit(BOT_ANOMALY).alias("signal_type"), F.col("_wb").alias("_w"),
+                           F.lit(None).cast("string").alias("title"), F.col("_late_b").alias("_late"),
+                           *[F.col(c) for c in carry]),
+              )).alias("_r")).select("_r.*"))
+    is_tr = F.col("signal_type") == TRENDING
+    tagged = (tagged.filter(~F.col("_late") & (~is_tr | F.col("title").isNotNull()))
+              .select("*", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
+                      F.coalesce(F.col("title"), F.lit("")).alias("_g")))   # equi-join key (type is in it too)
+    counted = running_totals(tagged, ["signal_type", "window_start", "window_end", "_g"], arrival,
+                             {"_n": F.lit(1), "_nb": is_bot().cast("int")})
+    ratio = bot_ratio(F.col("_nb"), F.col("_n"))
+    keep = (is_tr & (F.col("_n") >= F.lit(trending.threshold))) | (
+        ~is_tr & (F.col("_n") >= F.lit(bot.min_volume)) & (ratio > F.lit(float(bot.ratio_threshold))))
+    return counted.filter(keep).select(
+        "signal_type", "title",
+        F.when(is_tr, F.col("_n").cast("int")).alias("edit_count"),
+        F.when(~is_tr, F.col("_nb").cast("int")).alias("bot_edit_count"),
+        F.when(~is_tr, F.col("_n").cast("int")).alias("total_edit_count"),
+        F.when(~is_tr, ratio).alias("ratio"),
+        "window_start", "window_end",
+        F.when(is_tr, F.col("title")).otherwise(F.lit(GLOBAL_KEY)).alias("key"),
+        _emitted(arrival))
 
 
 def first_crossing(revisions: DataFrame, arrival: Arrival = Arrival()) -> DataFrame:

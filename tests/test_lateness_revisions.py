@@ -164,3 +164,16 @@ def test_packed_arrival_key_orders_like_the_struct(spark):
     neg = spark.createDataFrame([(1, -5)], "s bigint, i bigint").withColumn("ts", F.timestamp_seconds("s"))
     with pytest.raises(Exception):
         neg.select(arrival_key(neg, a)).collect()
+
+
+def test_shared_revisions_equal_separate_pipelines(spark):
+    from edit_signals.operators import signal_revisions
+    rows = _random_rows(21, n=500, titles=3, late_p=0.25)
+    e = make_edits(spark, rows, bucket_ms=10_000)
+    tp, bp = TrendingParams(window=5, threshold=4), BotParams(window=10, ratio_threshold=0.7, min_volume=6)
+    cols = ["signal_type", "title", "edit_count", "bot_edit_count", "total_edit_count", "ratio", "window_start",
+            "emitted"]
+    shared = sorted(tuple(r) for r in signal_revisions(e, tp, bp, Arrival()).select(*cols).collect())
+    separate = trending_revisions(e, tp, Arrival()).unionByName(bot_revisions(e, bp, Arrival()),
+                                                                allowMissingColumns=True)
+    assert shared == sorted(tuple(r) for r in separate.select(*cols).collect()) and len(shared) > 20
