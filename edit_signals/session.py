@@ -58,14 +58,18 @@ def work_dir(spark: SparkSession) -> str:
     dir). Only when neither is set - local tests - a fresh temporary folder is
     registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext access (remote session)
+        sc = None
+    if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="edit-signals-")
-        sc.setCheckpointDir(base)
-    elif sc.getCheckpointDir() is None:
+        if sc is not None:
+            sc.setCheckpointDir(base)
+    elif sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 

@@ -28,10 +28,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over the cores when the input has fewer partitions than that
     (a small table stored as one row group is read by one task). Inputs with enough
     splits are returned unchanged, so at scale this adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the plan as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def _k() -> Column:
