@@ -177,3 +177,17 @@ def test_shared_revisions_equal_separate_pipelines(spark):
     separate = trending_revisions(e, tp, Arrival()).unionByName(bot_revisions(e, bp, Arrival()),
                                                                 allowMissingColumns=True)
     assert shared == sorted(tuple(r) for r in separate.select(*cols).collect()) and len(shared) > 20
+
+
+def test_last_trending_revision_equals_final_signal(spark):
+    """Seeded random events: per window, the latest trending revision is the final signal
+    (the count only grows, so the last emitted state is the final one)."""
+    rows = _random_rows(33, n=600, titles=4, late_p=0.2)
+    e = make_edits(spark, rows, bucket_ms=7_000)
+    tp = TrendingParams(window=5, threshold=4)
+    from pyspark.sql import functions as F
+    last = {(r.title, r.window_start): r.n for r in trending_revisions(e, tp, Arrival())
+            .groupBy("title", "window_start").agg(F.max("edit_count").alias("n")).collect()}
+    final = {(r.title, r.window_start): r.edit_count
+             for r in trending_signals(e, tp, arrival=Arrival(), late="drop").collect()}
+    assert last == final and len(final) > 5
