@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams, window_duration
 from .arrival import arrival_key, arrival_struct
-from .lateness import apply_late
+from .lateness import apply_late, flag_late
 from .windows import bot_ratio, tumbling_bot_counts, tumbling_edit_counts
 
 
@@ -109,35 +109,47 @@ def detect_signals(edits: DataFrame, trending: TrendingParams = TrendingParams()
     topics keep one clock per input partition for trending, while the bot branch's
     re-key funnels everything through one clock (see ``sources.records``).
 
-    Without lateness both detectors share one scan and one aggregate (see
-    :func:`shared_detect`); with ``late="drop"`` each branch first applies its own
-    width's lateness, so the branches are planned separately."""
-    if late == "keep" and (bot_arrival is None or bot_arrival == arrival):
-        return shared_detect(edits, trending, bot, arrival)
+    With one arrival order both detectors share one scan and one aggregate (see
+    :func:`shared_detect`); with different orders per branch they are planned separately."""
+    if bot_arrival is None or bot_arrival == arrival:
+        return shared_detect(edits, trending, bot, arrival, late)
     t = trending_signals(edits, trending, arrival=arrival, late=late)
     b = bot_anomaly_signals(edits, bot, arrival=bot_arrival or arrival, late=late)
     return t.unionByName(b, allowMissingColumns=True)
 
 
 def shared_detect(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),
-                  arrival: Arrival | None = None) -> DataFrame:
+                  arrival: Arrival | None = None, late: str = "keep") -> DataFrame:
     """Both detectors from one scan: every edit is tagged into its trending window (keyed
     by title) and its bot window (no key), one hash aggregate counts both, and one
     projection emits the wide signal row of either kind. Halves the scan I/O of running
-    the two branches separately; a busy window is still pre-aggregated map-side."""
+    the two branches separately; a busy window is still pre-aggregated map-side.
+    ``late="drop"``: each branch's zero-grace lateness (its own width) is a broadcast
+    join on the same scan, and a row is dropped only from the branch that rejects it."""
+    if late == "drop":
+        if arrival is None:
+            raise ValueError("late='drop' needs the arrival order (arrival=Arrival(...))")
+        edits = flag_late(edits, trending.window, arrival).withColumnRenamed("late", "_late_t")
+        edits = flag_late(edits, bot.window, arrival).withColumnRenamed("late", "_late_b")
+    elif late == "keep":
+        edits = edits.withColumns({"_late_t": F.lit(False), "_late_b": F.lit(False)})
+    else:
+        raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
     cols = ["title", "bot", *(arrival.order if arrival else ())]
     tagged = (edits
               .withColumn("_wt", F.window("event_time", window_duration(trending.window)))
               .withColumn("_wb", F.window("event_time", window_duration(bot.window)))
               .select(F.explode(F.array(
                   F.struct(F.lit(TRENDING).alias("signal_type"), F.col("_wt").alias("_w"),
-                           *[F.col(c) for c in cols]),
+                           F.col("_late_t").alias("_late"), *[F.col(c) for c in cols]),
                   F.struct(F.lit(BOT_ANOMALY).alias("signal_type"), F.col("_wb").alias("_w"),
-                           F.lit(None).cast("string").alias("title"), *[F.col(c) for c in cols[1:]]),
+                           F.col("_late_b").alias("_late"), F.lit(None).cast("string").alias("title"),
+                           *[F.col(c) for c in cols[1:]]),
               )).alias("_r"))
               .select("_r.*"))
     is_tr = F.col("signal_type") == TRENDING
-    tagged = tagged.filter(~is_tr | F.col("title").isNotNull())   # NULL titles never trend
+    # NULL titles never trend; late rows leave only the branch that rejects them
+    tagged = tagged.filter(~F.col("_late") & (~is_tr | F.col("title").isNotNull()))
     extra = _last_arrival(tagged, arrival) or {}
     counts = (tagged.groupBy("signal_type", "_w", "title")
               .agg(F.count(F.lit(1)).cast("int").alias("_n"),

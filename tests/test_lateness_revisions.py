@@ -191,3 +191,16 @@ def test_last_trending_revision_equals_final_signal(spark):
     final = {(r.title, r.window_start): r.edit_count
              for r in trending_signals(e, tp, arrival=Arrival(), late="drop").collect()}
     assert last == final and len(final) > 5
+
+
+def test_shared_detect_with_lateness_equals_separate_branches(spark):
+    from edit_signals.operators import bot_anomaly_signals, detect_signals
+    rows = _random_rows(41, n=500, titles=3, late_p=0.3)
+    e = make_edits(spark, rows, bucket_ms=10_000)
+    tp, bp = TrendingParams(window=5, threshold=4), BotParams(window=10, ratio_threshold=0.7, min_volume=6)
+    cols = ["signal_type", "title", "edit_count", "bot_edit_count", "total_edit_count", "ratio", "window_start",
+            "emitted"]
+    shared = sorted(tuple(r) for r in detect_signals(e, tp, bp, Arrival(), late="drop").select(*cols).collect())
+    separate = trending_signals(e, tp, arrival=Arrival(), late="drop").unionByName(
+        bot_anomaly_signals(e, bp, arrival=Arrival(), late="drop"), allowMissingColumns=True)
+    assert shared == sorted(tuple(r) for r in separate.select(*cols).collect()) and len(shared) > 5
