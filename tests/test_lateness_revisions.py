@@ -204,3 +204,22 @@ def test_shared_detect_with_lateness_equals_separate_branches(spark):
     separate = trending_signals(e, tp, arrival=Arrival(), late="drop").unionByName(
         bot_anomaly_signals(e, bp, arrival=Arrival(), late="drop"), allowMissingColumns=True)
     assert shared == sorted(tuple(r) for r in separate.select(*cols).collect()) and len(shared) > 5
+
+
+def test_global_record_order_packs_exactly(spark):
+    """(record time, partition, offset) with declared digit widths: packed order equals the
+    struct order; a partition beyond its 3 digits fails loudly."""
+    import datetime as dt
+    import pytest
+    from pyspark.sql import functions as F
+    from edit_signals.operators.arrival import arrival_key
+    from edit_signals.sources.records import GLOBAL_ARRIVAL
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t, 2, 5), (t, 1, 9), (t + dt.timedelta(microseconds=1), 0, 0), (t, 1, 10), (t, 999, 2 ** 62)]
+    df = spark.createDataFrame(rows, "record_ts timestamp, partition int, offset bigint")
+    got = [(r.partition, r.offset) for r in df.orderBy(arrival_key(df, GLOBAL_ARRIVAL)).collect()]
+    want = [(p, o) for _, p, o in sorted(rows)]
+    assert got == want
+    bad = spark.createDataFrame([(t, 1000, 1)], "record_ts timestamp, partition int, offset bigint")
+    with pytest.raises(Exception):
+        bad.select(arrival_key(bad, GLOBAL_ARRIVAL).alias("k")).collect()
