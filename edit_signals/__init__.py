@@ -14,7 +14,7 @@ from .operators import (bot_anomaly_filter, bot_anomaly_signals, bot_ratio, bot_
 from .params import Arrival, BotParams, TrendingParams
 from .session import build_session, prepare
 from .sinks import stream_records, write_event_records, write_records, write_signal_records
-from .sources import (FILE_ARRIVAL, GLOBAL_ARRIVAL, PARTITION_ARRIVAL, read_event_records, read_signal_records,
+from .sources import (FILE_ARRIVAL, MERGED_ARRIVAL, PARTITION_ARRIVAL, read_event_records, read_signal_records,
                       read_sse_lines, records_to_edits, sse_payloads)
 from .sources.records import read_landed_edits
 

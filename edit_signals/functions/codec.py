@@ -47,10 +47,13 @@ def decode_events(df: DataFrame, payload: str = "payload", mode: str = "permissi
     """Parse ``payload`` JSON into the event columns (unknown fields ignored).
 
     ``permissive``: adds ``_malformed`` (bool) - the row could not be decoded; use
-    :func:`split_malformed`. ``strict``: a malformed payload fails the job (FAILFAST).
+    :func:`split_malformed`. ``strict``: a malformed or blank payload fails the job (FAILFAST);
+    records without a value (null) are skipped, as the aggregations skip them.
     """
     if mode == "strict":
-        ev = F.from_json(F.col(payload), S.EVENT, _FAILFAST)
+        df = df.filter(F.col(payload).isNotNull())
+        blank = F.raise_error(F.lit("blank event payload")).cast(S.EVENT)
+        ev = F.when(F.trim(F.col(payload)) == "", blank).otherwise(F.from_json(F.col(payload), S.EVENT, _FAILFAST))
         out = (df.select("*", parse_once(ev).alias("_ev"))
                .select("*", *[F.col("_ev")[f].alias(f) for f in S.EVENT_FIELDS]).drop("_ev"))
         return with_event_defaults(out)
@@ -74,7 +77,7 @@ def split_malformed(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def event_struct(df: DataFrame | None = None) -> Column:
+def event_struct() -> Column:
     return F.struct(*[F.col(f) for f in S.EVENT_FIELDS])
 
 
@@ -95,13 +98,19 @@ def encode_feed_json(df: DataFrame) -> Column:
 
 # ---- signals ---------------------------------------------------------------
 
+def _wire_count(name: str) -> Column:
+    """A count in the 32-bit field of the wire form; a larger one is an error, never a wrong number."""
+    too_big = F.raise_error(F.concat(F.lit(f"{name} does not fit the signal's 32-bit field: "), F.col(name).cast("string")))
+    return F.when(F.col(name) > F.lit(2 ** 31 - 1), too_big.cast("int")).otherwise(F.col(name).cast("int"))
+
+
 def signal_wire_struct() -> Column:
     return F.struct(
         F.col("signal_type").alias("signalType"),
         F.col("title").alias("title"),
-        F.col("edit_count").alias("editCount"),
-        F.col("bot_edit_count").alias("botEditCount"),
-        F.col("total_edit_count").alias("totalEditCount"),
+        _wire_count("edit_count").alias("editCount"),
+        _wire_count("bot_edit_count").alias("botEditCount"),
+        _wire_count("total_edit_count").alias("totalEditCount"),
         F.col("ratio").alias("ratio"),
         F.unix_millis(F.col("window_start")).alias("windowStart"),
         F.unix_millis(F.col("window_end")).alias("windowEnd"),
@@ -129,7 +138,7 @@ def decode_signals(df: DataFrame, value: str = "value") -> DataFrame:
                .when(t == BOT_ANOMALY, F.array(*[F.lit(x) for x in S.SIGNAL_KEYS[BOT_ANOMALY]])))
     ok = (F.col("_sig").isNotNull() & F.col(f"_sig.{S.CORRUPT}").isNull() & t.isin(TRENDING, BOT_ANOMALY)
           & keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0))
-    zero_i, zero_l, zero_d = F.lit(0), F.lit(0).cast("bigint"), F.lit(0.0)
+    zero_l, zero_d = F.lit(0).cast("bigint"), F.lit(0.0)
     is_tr, is_bot = t == TRENDING, t == BOT_ANOMALY
     return (
         df.select("*", parse_once(sig).alias("_sig"))
@@ -138,9 +147,9 @@ def decode_signals(df: DataFrame, value: str = "value") -> DataFrame:
             "*",
             t.alias("signal_type"),
             F.when(is_tr, F.col("_sig.title")).alias("title"),
-            F.when(is_tr, F.coalesce(F.col("_sig.editCount"), zero_i)).alias("edit_count"),
-            F.when(is_bot, F.coalesce(F.col("_sig.botEditCount"), zero_i)).alias("bot_edit_count"),
-            F.when(is_bot, F.coalesce(F.col("_sig.totalEditCount"), zero_i)).alias("total_edit_count"),
+            F.when(is_tr, F.coalesce(F.col("_sig.editCount"), zero_l)).alias("edit_count"),
+            F.when(is_bot, F.coalesce(F.col("_sig.botEditCount"), zero_l)).alias("bot_edit_count"),
+            F.when(is_bot, F.coalesce(F.col("_sig.totalEditCount"), zero_l)).alias("total_edit_count"),
             F.when(is_bot, F.coalesce(F.col("_sig.ratio"), zero_d)).alias("ratio"),
             F.timestamp_millis(F.coalesce(F.col("_sig.windowStart"), zero_l)).alias("window_start"),
             F.timestamp_millis(F.coalesce(F.col("_sig.windowEnd"), zero_l)).alias("window_end"),

@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from ..params import Arrival
 
 _DEC = "decimal(38,0)"
-# Digits per component type: timestamps as epoch microseconds in [0, 1e16) (1970..2286).
-_DIGITS = {T.TimestampType: 16, T.TimestampNTZType: 16, T.LongType: 19, T.IntegerType: 10,
+# Digits per component type. Timestamps are epoch microseconds shifted by 1e17, which makes every
+# time of the years 1 to 9999 a non-negative number of 18 digits (times before 1970 too).
+_DIGITS = {T.TimestampType: 18, T.TimestampNTZType: 18, T.LongType: 19, T.IntegerType: 10,
            T.ShortType: 5, T.ByteType: 3}
+_TIME_SHIFT = 10 ** 17
 
 
 def _component(df: DataFrame, c: str) -> tuple[Column, int]:
@@ -29,8 +31,9 @@ def _component(df: DataFrame, c: str) -> tuple[Column, int]:
     digits = _DIGITS.get(type(dt))
     if digits is None:
         raise TypeError(f"arrival column {c} has unsupported type {dt.simpleString()}")
-    v = F.unix_micros(F.col(c).cast("timestamp")) if digits == 16 else F.col(c).cast("bigint")
-    return v, digits
+    if digits == 18:
+        return F.unix_micros(F.col(c).cast("timestamp")) + F.lit(_TIME_SHIFT), digits
+    return F.col(c).cast("bigint"), digits
 
 
 def arrival_key(df: DataFrame, arrival: Arrival) -> Column | None:
@@ -60,3 +63,14 @@ def arrival_key(df: DataFrame, arrival: Arrival) -> Column | None:
 
 def arrival_struct(arrival: Arrival) -> Column:
     return F.struct(*[F.col(c) for c in arrival.order])
+
+
+def split_key(df: DataFrame, arrival: Arrival) -> tuple[Column | None, list[str]]:
+    """(packed key of the order without ``arrival.split``, those columns); (None, []) if the order
+    needs no split or does not pack even so. Within one value of the split columns the packed key
+    orders like the whole order."""
+    rest = [c for c in arrival.order if c not in arrival.split]
+    if not arrival.split or arrival_key(df, arrival) is not None:
+        return None, []
+    key = arrival_key(df, Arrival(order=tuple(rest)))
+    return (None, []) if key is None else (key, rest)

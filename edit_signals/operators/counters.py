@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INGEST_METRICS = "ingest_counts"
@@ -29,14 +29,12 @@ def observe_ingest_counts(decoded: DataFrame, name: str = INGEST_METRICS) -> Dat
     return decoded.observe(name, *ingest_count_columns())
 
 
-def progress_counts(query, name: str = INGEST_METRICS) -> dict[str, int]:
-    """Totals of the observed counters over the query's retained progress reports."""
-    tot = {"published": 0, "filtered": 0, "failed": 0}
-    for p in query.recentProgress:
-        m = (p.get("observedMetrics") or {}).get(name) if isinstance(p, dict) else None
-        if m is None and not isinstance(p, dict):
-            m = (p.observedMetrics or {}).get(name)
-        if m:
-            for k in tot:
-                tot[k] += int(m[k])
-    return tot
+def counts_path(records_path: str) -> str:
+    """Where an ingest lands its counters: one row per micro-batch beside the records."""
+    return f"{records_path.rstrip('/')}_counts"
+
+
+def landed_counts(spark: SparkSession, records_path: str) -> DataFrame:
+    """One row: the counters of an ingest since it began, over all its micro-batches and restarts."""
+    rows = spark.read.schema("published bigint, filtered bigint, failed bigint").parquet(counts_path(records_path))
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("published", "filtered", "failed")])

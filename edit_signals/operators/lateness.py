@@ -6,9 +6,9 @@ arrival order (within its stream-time scope, ``Arrival.partitions``).
 Equivalently: a record r is late iff some record s in a *later* window of the same scope
 arrived before r. So per (scope, window) we only need the first arrival of any record in
 a later window - a suffix-min over the small per-window table - and one comparison per
-row. Work: one partial aggregate over the events (no ordering, no hot task), a suffix
-scan over #windows rows (two-level when there are many), and a size-checked broadcast
-join back. No global sort and no single-task running max over all events.
+row. Work: one partial aggregate over the events (no ordering, no hot task), a two-level
+suffix scan over #windows rows, and a join back whose kind AQE chooses. No cache, no job at
+plan-build time, no global sort and no single-task running max over all events.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Arrival, window_duration
-from .arrival import arrival_key, arrival_struct
-from .sizing import DEFAULT_MAX_BROADCAST_ROWS
+from .arrival import arrival_key, arrival_struct, split_key
 
 
 def _arrival_key(df: DataFrame, arrival: Arrival):
@@ -29,28 +28,29 @@ def _arrival_key(df: DataFrame, arrival: Arrival):
 
 # Windows per block of the two-level suffix scan.
 FANOUT = 1024
-# Up to this many (scope, window) rows the suffix-min is one window pass in one task.
-MAX_SINGLE_SCAN_WINDOWS = 1_000_000
 
 
 def first_arrivals(edits: DataFrame, width: int | str, arrival: Arrival, time_col: str = "event_time") -> DataFrame:
-    """Per (scope, window): ``_first`` = earliest arrival of its records (partial hash aggregate)."""
+    """Per (scope, window): ``_first`` = earliest arrival of its records.
+
+    A hash aggregate with a partial step. An order too wide to pack is reduced in two steps:
+    per (scope, window, ``arrival.split``) on the columns that do pack, then over that small table.
+    """
     w = F.window(F.col(time_col), window_duration(width))
-    return (edits.groupBy(*arrival.partitions, w.start.alias("_ws"), w.end.alias("_we"))
-            .agg(F.min(_arrival_key(edits, arrival)).alias("_first")))
+    window = [w.start.alias("_ws"), w.end.alias("_we")]
+    packed, rest = split_key(edits, arrival)
+    if packed is None or not rest:
+        return edits.groupBy(*arrival.partitions, *window).agg(F.min(_arrival_key(edits, arrival)).alias("_first"))
+    firsts = edits.groupBy(*arrival.partitions, *window, *arrival.split).agg(
+        *[F.min_by(F.col(c), packed).alias(c) for c in rest])
+    return firsts.groupBy(*arrival.partitions, "_ws", "_we").agg(F.min(arrival_struct(arrival)).alias("_first"))
 
 
-def closing_from_first(per_window: DataFrame, arrival: Arrival, two_level: bool = True,
-                       fanout: int = FANOUT) -> DataFrame:
+def closing_from_first(per_window: DataFrame, arrival: Arrival, fanout: int = FANOUT) -> DataFrame:
     """Per (scope, window_start): ``_closed_by`` = earliest arrival among later windows.
 
-    One level: a window over the scope's windows. Two levels: inside blocks of ``fanout``
-    consecutive windows, and over the blocks, so no task sees more than ``fanout``
-    windows or #windows / fanout blocks of one scope."""
-    if not two_level:
-        later = (Window.partitionBy(*arrival.partitions).orderBy(F.col("_ws").desc())
-                 .rowsBetween(Window.unboundedPreceding, -1))
-        return per_window.select(*arrival.partitions, "_ws", F.min("_first").over(later).alias("_closed_by"))
+    Two levels: inside blocks of ``fanout`` consecutive windows, and over the blocks, so no
+    task sees more than ``fanout`` windows or #windows / fanout blocks of one scope."""
     width_us = F.unix_micros("_we") - F.unix_micros("_ws")
     per_window = per_window.withColumn("_blk", F.floor(F.unix_micros("_ws") / (width_us * F.lit(fanout))))
     later_blocks = (Window.partitionBy(*arrival.partitions).orderBy(F.col("_blk").desc())
@@ -66,19 +66,12 @@ def closing_from_first(per_window: DataFrame, arrival: Arrival, two_level: bool
 
 
 def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
-              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, fanout: int = FANOUT,
-              max_single_scan_windows: int = MAX_SINGLE_SCAN_WINDOWS) -> DataFrame:
-    """Adds boolean ``late``.
-
-    The per-window table is computed once (cached) and counted: its measured size picks
-    the suffix scan (one pass up to ``max_single_scan_windows`` rows, two levels above)
-    and whether the closing table is broadcast (up to ``max_broadcast_rows`` rows) or
-    shuffle-joined."""
-    per_window = first_arrivals(edits, width, arrival, time_col).cache()
-    n = per_window.count()
-    closing = closing_from_first(per_window, arrival, two_level=n > max_single_scan_windows, fanout=fanout)
-    if n <= max_broadcast_rows:
-        closing = F.broadcast(closing)
+              fanout: int = FANOUT) -> DataFrame:
+    """Adds boolean ``late``. Lazy: nothing is cached and no job runs here; AQE picks the join
+    back from the size the per-window table turns out to have."""
+    if arrival.order[0] == time_col:
+        raise ValueError(f"arrival order {arrival.order} starts with the event time: nothing could be late")
+    closing = closing_from_first(first_arrivals(edits, width, arrival, time_col), arrival, fanout=fanout)
     ws = F.window(F.col(time_col), window_duration(width)).start
     tagged = edits.withColumn("_ws", ws).join(closing, [*arrival.partitions, "_ws"], "left")
     late = F.coalesce(F.col("_closed_by") <= _arrival_key(edits, arrival), F.lit(False))
@@ -96,13 +89,11 @@ def apply_late(edits: DataFrame, width: int | str, arrival: Arrival | None, late
     return drop_late(edits, width, arrival)
 
 
-def drop_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
-              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def drop_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time") -> DataFrame:
     """Records that a zero-grace tumbling window of ``width`` would still accept."""
-    return flag_late(edits, width, arrival, time_col, max_broadcast_rows).filter(~F.col("late")).drop("late")
+    return flag_late(edits, width, arrival, time_col).filter(~F.col("late")).drop("late")
 
 
-def late_rows(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
-              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def late_rows(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time") -> DataFrame:
     """The records a zero-grace window of ``width`` drops."""
-    return flag_late(edits, width, arrival, time_col, max_broadcast_rows).filter(F.col("late")).drop("late")
+    return flag_late(edits, width, arrival, time_col).filter(F.col("late")).drop("late")

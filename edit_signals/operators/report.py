@@ -25,11 +25,11 @@ def recent_signals(signals: DataFrame, n: int = RECENT_SIGNALS, order: Sequence[
     return signals.orderBy(*order).limit(n)
 
 
-def signals_json(recent: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """One row, ``signals_json``: the tagged JSON array of ``recent`` in report order
-    (``[]`` when empty). Input must be bounded (the output of :func:`recent_signals`)."""
-    order = list(order) if order is not None else newest_first(recent)
+def signals_json(signals: DataFrame, n: int = RECENT_SIGNALS, order: Sequence[Column] | None = None) -> DataFrame:
+    """One row, ``signals_json``: the tagged JSON array of the newest ``n`` signals in report order
+    (``[]`` when empty)."""
+    order = list(order) if order is not None else newest_first(signals)
     from pyspark.sql import Window
-    ranked = recent.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = recent_signals(signals, n, order).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     entries = F.array_sort(F.collect_list(F.struct(F.col("_rank"), signal_wire_struct().alias("s"))))
     return ranked.agg(F.to_json(F.transform(entries, lambda e: e["s"])).alias("signals_json"))

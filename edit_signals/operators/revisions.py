@@ -13,12 +13,14 @@ third of all events). Running totals are therefore computed in two parts:
    so a hot group is spread over its buckets (the bucket prefix itself is a two-level
    scan over blocks of buckets, so many buckets per group are fine too);
 
-and the two are added after an equi-join on (group, bucket).
+and the two are added after an equi-join on (group, bucket). The join comes before the row-level
+window and keeps only buckets that end at or above the threshold (or volume), so titles that
+never trend cost one aggregate and no sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, Tren
 from .arrival import arrival_key
 from .filters import drop_null_keys
 from .lateness import apply_late, flag_late
-from .signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
+from .signals import bot_anomaly_filter, bots_dominate, to_bot_signal, to_trending_signal, trending_filter, trends
 from .windows import bot_ratio, is_bot, tumbling
 
 
@@ -37,7 +39,7 @@ FANOUT = 1024
 
 def _bucket_prefix(per_bucket: DataFrame, group_cols: Sequence[str], b: str, names: list[str],
                    levels: int, fanout: int) -> DataFrame:
-    """Per (group, bucket): sums of ``_s_<n>`` over the group's earlier buckets, as ``_b_<n>``.
+    """Per (group, bucket): its sums ``_s_<n>`` and those of the group's earlier buckets, ``_b_<n>``.
 
     One level is a window over the group's buckets. With more levels the buckets are cut
     into blocks of ``fanout``: a window inside each (group, block) plus the prefix over
@@ -45,42 +47,53 @@ def _bucket_prefix(per_bucket: DataFrame, group_cols: Sequence[str], b: str, nam
     """
     if levels <= 1:
         before = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        return per_bucket.select(*group_cols, b, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0))
-                                                   .alias(f"_b_{n}") for n in names])
+        return per_bucket.select(*group_cols, b, *[f"_s_{n}" for n in names], *[
+            F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
     blk = f"_blk{levels}"
     pb = per_bucket.withColumn(blk, F.floor(F.col(b) / F.lit(fanout)))
     per_block = pb.groupBy(*group_cols, blk).agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in names])
     block_base = _bucket_prefix(per_block, group_cols, blk, names, levels - 1, fanout)
     within = Window.partitionBy(*group_cols, blk).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    local = pb.select(*group_cols, b, blk, *[F.coalesce(F.sum(f"_s_{n}").over(within), F.lit(0))
-                                             .alias(f"_l_{n}") for n in names])
-    return (local.join(block_base, [*group_cols, blk], "inner")
-            .select(*group_cols, b, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(f"_b_{n}") for n in names]))
+    local = pb.select(*group_cols, b, blk, *[f"_s_{n}" for n in names], *[
+        F.coalesce(F.sum(f"_s_{n}").over(within), F.lit(0)).alias(f"_l_{n}") for n in names])
+    return (local.join(block_base.drop(*[f"_s_{n}" for n in names]), [*group_cols, blk], "inner")
+            .select(*group_cols, b, *[f"_s_{n}" for n in names], *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(f"_b_{n}") for n in names]))
 
 
-def running_totals(df: DataFrame, group_cols: Sequence[str], arrival: Arrival,
-                   measures: dict[str, Column], levels: int = 2, fanout: int = FANOUT) -> DataFrame:
+def running_totals(df: DataFrame, group_cols: Sequence[str], arrival: Arrival, measures: dict[str, Column],
+                   levels: int = 2, fanout: int = FANOUT,
+                   reach: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame:
     """For every row, the sums of ``measures`` over the rows of its group that arrived
     at or before it (arrival order ``arrival.order``; ``arrival.bucket`` must be
-    non-decreasing along it)."""
+    non-decreasing along it).
+
+    ``reach(before, after)`` prunes: given the totals of a measure before and after a bucket, it
+    says whether a row of the bucket can matter. Other buckets leave in the join, before
+    the row-level window, so rows of groups that never get there are not sorted."""
     b = arrival.bucket
     names = list(measures)
     src = df.withColumns({f"_m_{n}": m.cast("bigint") for n, m in measures.items()})
 
     per_bucket = src.groupBy(*group_cols, b).agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names])
     base = _bucket_prefix(per_bucket, list(group_cols), b, names, levels, fanout)
+    if reach is not None:
+        base = base.filter(reach(lambda n: F.col(f"_b_{n}"), lambda n: F.col(f"_b_{n}") + F.col(f"_s_{n}")))
+    base = base.drop(*[f"_s_{n}" for n in names])
 
     upto = (Window.partitionBy(*group_cols, b).orderBy(*[F.col(c) for c in arrival.order])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = src.withColumns({f"_r_{n}": F.sum(f"_m_{n}").over(upto) for n in names})
-
-    out = local.join(base, [*group_cols, b], "inner")
-    return (out.withColumns({n: F.col(f"_b_{n}") + F.col(f"_r_{n}") for n in names})
-            .drop(*[f"_{p}_{n}" for p in "mbr" for n in names]))
+    out = src.join(base, [*group_cols, b], "inner")
+    return (out.withColumns({n: F.col(f"_b_{n}") + F.sum(f"_m_{n}").over(upto) for n in names})
+            .drop(*[f"_{p}_{n}" for p in "mb" for n in names]))
 
 
 def _emitted(arrival: Arrival) -> Column:
-    return F.struct(*[F.col(c) for c in arrival.order]).alias("emitted")
+    return F.struct(*[F.col(c) for c in arrival.emitted_columns]).alias("emitted")
+
+
+def _one_clock(arrival: Arrival) -> None:
+    if arrival.partitions:
+        raise ValueError("bot windows span the input partitions: their arrival order needs one clock")
 
 
 def trending_revisions(edits: DataFrame, params: TrendingParams = TrendingParams(), arrival: Arrival = Arrival(),
@@ -88,9 +101,9 @@ def trending_revisions(edits: DataFrame, params: TrendingParams = TrendingParams
     """One signal row per accepted record whose window count reaches the threshold.
     ``emitted`` = arrival of that record."""
     src = tumbling(drop_null_keys(apply_late(edits, params.window, arrival, late), keys), params.window)
-    counted = running_totals(src, ["window_start", "window_end", *keys], arrival, {"edit_count": F.lit(1)})
-    counted = counted.withColumn("edit_count", F.col("edit_count").cast("int")).select(
-        *keys, "window_start", "window_end", "edit_count", _emitted(arrival))
+    counted = running_totals(src, ["window_start", "window_end", *keys], arrival, {"edit_count": F.lit(1)},
+                             reach=lambda before, after: trends(after("edit_count"), params.threshold))
+    counted = counted.select(*keys, "window_start", "window_end", "edit_count", _emitted(arrival))
     return to_trending_signal(trending_filter(counted, params.threshold),
                               [k for k in keys if k != "title"] + ["emitted"])
 
@@ -98,28 +111,33 @@ def trending_revisions(edits: DataFrame, params: TrendingParams = TrendingParams
 def bot_revisions(edits: DataFrame, params: BotParams = BotParams(), arrival: Arrival = Arrival(),
                   late: str = "drop") -> DataFrame:
     """One signal row per accepted record after which its window passes volume and ratio."""
+    _one_clock(arrival)
     src = tumbling(apply_late(edits, params.window, arrival, late), params.window)
     counted = running_totals(src, ["window_start", "window_end"], arrival,
-                             {"total_edit_count": F.lit(1), "bot_edit_count": is_bot().cast("int")})
+                             {"total_edit_count": F.lit(1), "bot_edit_count": is_bot().cast("int")},
+                             reach=lambda before, after: after("total_edit_count") >= params.min_volume)
     counted = counted.select(
-        "window_start", "window_end",
-        F.col("total_edit_count").cast("int").alias("total_edit_count"),
-        F.col("bot_edit_count").cast("int").alias("bot_edit_count"),
+        "window_start", "window_end", "total_edit_count", "bot_edit_count",
         bot_ratio(F.col("bot_edit_count"), F.col("total_edit_count")).alias("ratio"),
         _emitted(arrival))
     return to_bot_signal(bot_anomaly_filter(counted, params.ratio_threshold, params.min_volume), ["emitted"])
 
 
 def signal_revisions(edits: DataFrame, trending: TrendingParams = TrendingParams(), bot: BotParams = BotParams(),
-                     arrival: Arrival = Arrival(), late: str = "drop", bot_arrival: Arrival | None = None) -> DataFrame:
+                     arrival: Arrival = Arrival(), late: str = "drop", bot_arrival: Arrival | None = None,
+                     first: bool = False) -> DataFrame:
     """Revisions of both detectors (UNION ALL); ``bot_arrival`` as in ``detect_signals``.
 
-    With one arrival order both detectors run as one pipeline over one scan: each
-    branch's lateness is a broadcast join on the same rows, every row is tagged into its
-    trending and its bot window, and one running-totals pass covers both."""
+    With one arrival order both detectors run as one pipeline over one scan: every row is
+    tagged into its trending and its bot window, and one running-totals pass covers both.
+    ``first=True`` is for :func:`first_crossing`: of a trending window only the bucket in
+    which it crosses the threshold is worked on, later revisions may be missing."""
     if bot_arrival is not None and bot_arrival != arrival:
+        if arrival.emitted_columns != bot_arrival.emitted_columns:
+            raise ValueError("both branches need the same emitted columns, or their signals cannot be ordered")
         return trending_revisions(edits, trending, arrival, late=late).unionByName(
             bot_revisions(edits, bot, bot_arrival, late=late), allowMissingColumns=True)
+    _one_clock(arrival)
     if late == "drop":
         e = flag_late(edits, trending.window, arrival).withColumnRenamed("late", "_late_t")
         e = flag_late(e, bot.window, arrival).withColumnRenamed("late", "_late_b")
@@ -127,7 +145,7 @@ def signal_revisions(edits: DataFrame, trending: TrendingParams = TrendingParams
         e = edits.withColumns({"_late_t": F.lit(False), "_late_b": F.lit(False)})
     else:
         raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
-    carry = ["bot", *arrival.order, arrival.bucket]
+    carry = ["bot", *dict.fromkeys((*arrival.order, *arrival.emitted_columns, arrival.bucket))]
     tagged = (e.withColumn("_wt", F.window("event_time", window_duration(trending.window)))
               .withColumn("_wb", F.window("event_time", window_duration(bot.window)))
               .select(F.explode(F.array(
@@ -141,33 +159,41 @@ def signal_revisions(edits: DataFrame, trending: TrendingParams = TrendingParams
     tagged = (tagged.filter(~F.col("_late") & (~is_tr | F.col("title").isNotNull()))
               .select("*", F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                       F.coalesce(F.col("title"), F.lit("")).alias("_g")))   # equi-join key (type is in it too)
+
+    def reach(before, after):  # noqa: ANN001, ANN202 - totals by measure name
+        up = trends(after("_n"), trending.threshold)
+        if first:
+            up = up & ~trends(before("_n"), trending.threshold)
+        return (is_tr & up) | (~is_tr & (after("_n") >= bot.min_volume))
+
     counted = running_totals(tagged, ["signal_type", "window_start", "window_end", "_g"], arrival,
-                             {"_n": F.lit(1), "_nb": is_bot().cast("int")})
+                             {"_n": F.lit(1), "_nb": is_bot().cast("int")}, reach=reach)
     ratio = bot_ratio(F.col("_nb"), F.col("_n"))
-    keep = (is_tr & (F.col("_n") >= F.lit(trending.threshold))) | (
-        ~is_tr & (F.col("_n") >= F.lit(bot.min_volume)) & (ratio > F.lit(float(bot.ratio_threshold))))
+    keep = (is_tr & trends(F.col("_n"), trending.threshold)) | (
+        ~is_tr & bots_dominate(F.col("_n"), ratio, bot.ratio_threshold, bot.min_volume))
     return counted.filter(keep).select(
         "signal_type", "title",
-        F.when(is_tr, F.col("_n").cast("int")).alias("edit_count"),
-        F.when(~is_tr, F.col("_nb").cast("int")).alias("bot_edit_count"),
-        F.when(~is_tr, F.col("_n").cast("int")).alias("total_edit_count"),
+        F.when(is_tr, F.col("_n")).alias("edit_count"),
+        F.when(~is_tr, F.col("_nb")).alias("bot_edit_count"),
+        F.when(~is_tr, F.col("_n")).alias("total_edit_count"),
         F.when(~is_tr, ratio).alias("ratio"),
         "window_start", "window_end",
         F.when(is_tr, F.col("title")).otherwise(F.lit(GLOBAL_KEY)).alias("key"),
         _emitted(arrival))
 
 
-def first_crossing(revisions: DataFrame, arrival: Arrival = Arrival()) -> DataFrame:
-    """Earliest revision of each (signal type, window, title): when the alert is first raised.
+def first_crossing(revisions: DataFrame) -> DataFrame:
+    """Earliest revision (by ``emitted``) of each (signal type, window, title): when the alert is first raised.
     Every column is taken with ``min_by`` on the packed arrival key: a hash aggregate
     with a partial step, so a busy window is reduced before the exchange."""
     groups = ("signal_type", "window_start", "window_end", "title")
-    flat = revisions.select("*", *[F.col(f"emitted.{c}").alias(f"_em_{c}") for c in arrival.order])
-    key = arrival_key(flat, Arrival(order=tuple(f"_em_{c}" for c in arrival.order)))
+    parts = revisions.schema["emitted"].dataType.names
+    flat = revisions.select("*", *[F.col(f"emitted.{c}").alias(f"_em_{c}") for c in parts])
+    key = arrival_key(flat, Arrival(order=tuple(f"_em_{c}" for c in parts)))
     if key is None:
         key = F.col("emitted")
     value_cols = [c for c in revisions.columns if c not in groups and c != "emitted"]
-    em_cols = [f"_em_{c}" for c in arrival.order]
+    em_cols = [f"_em_{c}" for c in parts]
     out = flat.groupBy(*groups).agg(*[F.min_by(F.col(c), key).alias(c) for c in value_cols + em_cols])
     return out.select("signal_type", "title", *value_cols, "window_start", "window_end",
-                      F.struct(*[F.col(f"_em_{c}").alias(c) for c in arrival.order]).alias("emitted"))
+                      F.struct(*[F.col(f"_em_{c}").alias(c) for c in parts]).alias("emitted"))

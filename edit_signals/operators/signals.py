@@ -8,33 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams, window_duration
-from .arrival import arrival_key, arrival_struct
+from .arrival import arrival_key, arrival_struct, split_key
 from .lateness import apply_late, flag_late
-from .windows import bot_ratio, tumbling_bot_counts, tumbling_edit_counts
+from .windows import bot_ratio, is_bot, tumbling_bot_counts, tumbling_edit_counts
 
 
-def _null_int():
-    return F.lit(None).cast("int")
+def _null_count():
+    return F.lit(None).cast("bigint")
 
 
-def trending_filter(counts: DataFrame, threshold: int) -> DataFrame:
+def trends(edits: Column, threshold: int) -> Column:
     """Inclusive: a window with exactly ``threshold`` edits trends."""
-    return counts.filter(F.col("edit_count") >= F.lit(threshold))
+    return edits >= F.lit(threshold)
 
 
-def bot_anomaly_filter(counts: DataFrame, ratio_threshold: float, min_volume: int) -> DataFrame:
+def bots_dominate(total: Column, ratio: Column, ratio_threshold: float, min_volume: int) -> Column:
     """Volume inclusive, ratio strict: 8/10 does not exceed 0.8."""
-    return counts.filter((F.col("total_edit_count") >= F.lit(min_volume))
-                         & (F.col("ratio") > F.lit(float(ratio_threshold))))
+    return (total >= F.lit(min_volume)) & (ratio > F.lit(float(ratio_threshold)))
+
+
+def trending_filter(counts: DataFrame, threshold: int) -> DataFrame:
+    return counts.filter(trends(F.col("edit_count"), threshold))
+
+
+def bot_anomaly_filter(counts: DataFrame, ratio_threshold: float, min_volume: int) -> DataFrame:
+    return counts.filter(bots_dominate(F.col("total_edit_count"), F.col("ratio"), ratio_threshold, min_volume))
 
 
 def to_trending_signal(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return counts.select(
         F.lit(TRENDING).alias("signal_type"),
         F.col("title"),
-        F.col("edit_count").cast("int").alias("edit_count"),
-        _null_int().alias("bot_edit_count"),
-        _null_int().alias("total_edit_count"),
+        F.col("edit_count").cast("bigint").alias("edit_count"),
+        _null_count().alias("bot_edit_count"),
+        _null_count().alias("total_edit_count"),
         F.lit(None).cast("double").alias("ratio"),
         "window_start", "window_end",
         F.col("title").alias("key"),
@@ -46,9 +53,9 @@ def to_bot_signal(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return counts.select(
         F.lit(BOT_ANOMALY).alias("signal_type"),
         F.lit(None).cast("string").alias("title"),
-        _null_int().alias("edit_count"),
-        F.col("bot_edit_count").cast("int").alias("bot_edit_count"),
-        F.col("total_edit_count").cast("int").alias("total_edit_count"),
+        _null_count().alias("edit_count"),
+        F.col("bot_edit_count").cast("bigint").alias("bot_edit_count"),
+        F.col("total_edit_count").cast("bigint").alias("total_edit_count"),
         F.col("ratio").cast("double").alias("ratio"),
         "window_start", "window_end",
         F.lit(GLOBAL_KEY).alias("key"),
@@ -57,23 +64,43 @@ def to_bot_signal(counts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def _last_arrival(edits: DataFrame, arrival: Arrival | None) -> dict[str, Column] | None:
-    """Arrival of the record that produced the final state = when the final signal is
-    emitted, as the struct ``emitted`` of the arrival columns. Each component is taken
-    with ``max_by`` on the packed key so the aggregate stays hash-based."""
+    """The struct ``emitted`` of the record that produced the final state = when the final
+    signal is emitted. Each component is taken with ``max_by`` on the packed key so the
+    aggregate stays hash-based."""
     if arrival is None:
         return None
     key = arrival_key(edits, arrival)
     if key is None:
-        return {"emitted": F.max(arrival_struct(arrival))}
-    return {f"_em_{c}": F.max_by(F.col(c), key) for c in arrival.order}
+        return {"emitted": F.max_by(_emitted_struct(arrival), arrival_struct(arrival))}
+    return {f"_em_{c}": F.max_by(F.col(c), key) for c in arrival.emitted_columns}
+
+
+def _emitted_struct(arrival: Arrival) -> Column:
+    return F.struct(*[F.col(c) for c in arrival.emitted_columns])
 
 
 def _with_emitted(counts: DataFrame, arrival: Arrival | None) -> DataFrame:
     if arrival is None or "emitted" in counts.columns:
         return counts
-    parts = [f"_em_{c}" for c in arrival.order]
-    return counts.withColumn("emitted", F.struct(*[F.col(p).alias(c) for p, c in zip(parts, arrival.order)])) \
-                 .drop(*parts)
+    parts = {c: f"_em_{c}" for c in arrival.emitted_columns}
+    return counts.withColumn("emitted", F.struct(*[F.col(p).alias(c) for c, p in parts.items()])).drop(*parts.values())
+
+
+def _bot_counts(edits: DataFrame, width: int | str, arrival: Arrival | None) -> DataFrame:
+    """Bot counts with ``emitted``. An order too wide to pack is reduced per (window, split columns)
+    first, so the data-sized aggregate stays hash-based and only that small table is sorted."""
+    packed, _ = (None, []) if arrival is None else split_key(edits, arrival)
+    if packed is None:
+        return _with_emitted(tumbling_bot_counts(edits, width, extra=_last_arrival(edits, arrival)), arrival)
+    cols = [c for c in dict.fromkeys((*arrival.order, *arrival.emitted_columns)) if c not in arrival.split]
+    per = (edits.groupBy(F.window("event_time", window_duration(width)).alias("_w"), *arrival.split)
+           .agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_bot()).alias("_nb"),
+                *[F.max_by(F.col(c), packed).alias(c) for c in cols]))
+    total, bots = F.col("total_edit_count"), F.col("bot_edit_count")
+    return (per.groupBy("_w").agg(F.sum("_n").alias("total_edit_count"), F.sum("_nb").alias("bot_edit_count"),
+                                  F.max_by(_emitted_struct(arrival), arrival_struct(arrival)).alias("emitted"))
+            .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
+                    "total_edit_count", "bot_edit_count", bot_ratio(bots, total).alias("ratio"), "emitted"))
 
 
 def trending_signals(edits: DataFrame, params: TrendingParams = TrendingParams(), keys: Sequence[str] = ("title",),
@@ -94,8 +121,7 @@ def bot_anomaly_signals(edits: DataFrame, params: BotParams = BotParams(), arriv
                         late: str = "keep") -> DataFrame:
     """Final bot-anomaly signal per window: total >= min volume and bot ratio > threshold."""
     src = apply_late(edits, params.window, arrival, late)
-    extra = _last_arrival(src, arrival)
-    counts = _with_emitted(tumbling_bot_counts(src, params.window, extra=extra), arrival)
+    counts = _bot_counts(src, params.window, arrival)
     keep = ["emitted"] if arrival is not None else []
     return to_bot_signal(bot_anomaly_filter(counts, params.ratio_threshold, params.min_volume), keep)
 
@@ -113,8 +139,10 @@ def detect_signals(edits: DataFrame, trending: TrendingParams = TrendingParams()
     :func:`shared_detect`); with different orders per branch they are planned separately."""
     if bot_arrival is None or bot_arrival == arrival:
         return shared_detect(edits, trending, bot, arrival, late)
+    if arrival is not None and arrival.emitted_columns != bot_arrival.emitted_columns:
+        raise ValueError("both branches need the same emitted columns, or their signals cannot be ordered")
     t = trending_signals(edits, trending, arrival=arrival, late=late)
-    b = bot_anomaly_signals(edits, bot, arrival=bot_arrival or arrival, late=late)
+    b = bot_anomaly_signals(edits, bot, arrival=bot_arrival, late=late)
     return t.unionByName(b, allowMissingColumns=True)
 
 
@@ -124,8 +152,8 @@ def shared_detect(edits: DataFrame, trending: TrendingParams = TrendingParams(),
     by title) and its bot window (no key), one hash aggregate counts both, and one
     projection emits the wide signal row of either kind. Halves the scan I/O of running
     the two branches separately; a busy window is still pre-aggregated map-side.
-    ``late="drop"``: each branch's zero-grace lateness (its own width) is a broadcast
-    join on the same scan, and a row is dropped only from the branch that rejects it."""
+    ``late="drop"``: each branch's zero-grace lateness (its own width) is a join with a
+    small table on the same scan, and a row is dropped only from the branch that rejects it."""
     if late == "drop":
         if arrival is None:
             raise ValueError("late='drop' needs the arrival order (arrival=Arrival(...))")
@@ -135,7 +163,7 @@ def shared_detect(edits: DataFrame, trending: TrendingParams = TrendingParams(),
         edits = edits.withColumns({"_late_t": F.lit(False), "_late_b": F.lit(False)})
     else:
         raise ValueError(f"late must be 'keep' or 'drop', got {late!r}")
-    cols = ["title", "bot", *(arrival.order if arrival else ())]
+    cols = ["title", "bot", *(dict.fromkeys((*arrival.order, *arrival.emitted_columns)) if arrival else ())]
     tagged = (edits
               .withColumn("_wt", F.window("event_time", window_duration(trending.window)))
               .withColumn("_wb", F.window("event_time", window_duration(bot.window)))
@@ -152,13 +180,13 @@ def shared_detect(edits: DataFrame, trending: TrendingParams = TrendingParams(),
     tagged = tagged.filter(~F.col("_late") & (~is_tr | F.col("title").isNotNull()))
     extra = _last_arrival(tagged, arrival) or {}
     counts = (tagged.groupBy("signal_type", "_w", "title")
-              .agg(F.count(F.lit(1)).cast("int").alias("_n"),
-                   F.count_if(F.coalesce(F.col("bot"), F.lit(False))).cast("int").alias("_nb"),
+              .agg(F.count(F.lit(1)).alias("_n"),
+                   F.count_if(F.coalesce(F.col("bot"), F.lit(False))).alias("_nb"),
                    *[c.alias(n) for n, c in extra.items()]))
     counts = _with_emitted(counts, arrival)
     ratio = bot_ratio(F.col("_nb"), F.col("_n"))
-    keep = (is_tr & (F.col("_n") >= F.lit(trending.threshold))) | (
-        ~is_tr & (F.col("_n") >= F.lit(bot.min_volume)) & (ratio > F.lit(float(bot.ratio_threshold))))
+    keep = (is_tr & trends(F.col("_n"), trending.threshold)) | (
+        ~is_tr & bots_dominate(F.col("_n"), ratio, bot.ratio_threshold, bot.min_volume))
     return counts.filter(keep).select(
         "signal_type",
         F.col("title"),

@@ -35,7 +35,7 @@ def tumbling_edit_counts(edits: DataFrame, width: int | str, keys: Sequence[str]
     return (
         drop_null_keys(edits, keys)
         .groupBy(*[F.col(k) for k in keys], w.alias("_w"))
-        .agg(F.count(F.lit(1)).cast("int").alias("edit_count"), *_aggs(extra))
+        .agg(F.count(F.lit(1)).alias("edit_count"), *_aggs(extra))
         .select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                 "edit_count", *(extra or {}))
     )
@@ -52,8 +52,8 @@ def tumbling_bot_counts(edits: DataFrame, width: int | str, time_col: str = "eve
     w = F.window(F.col(time_col), window_duration(width))
     return (
         edits.groupBy(w.alias("_w"))
-        .agg(F.count(F.lit(1)).cast("int").alias("total_edit_count"),
-             F.count_if(is_bot()).cast("int").alias("bot_edit_count"), *_aggs(extra))
+        .agg(F.count(F.lit(1)).alias("total_edit_count"),
+             F.count_if(is_bot()).alias("bot_edit_count"), *_aggs(extra))
         .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                 "total_edit_count", "bot_edit_count",
                 bot_ratio(F.col("bot_edit_count"), F.col("total_edit_count")).alias("ratio"),

@@ -14,9 +14,6 @@ RECENT_SIGNALS = 50
 TRENDING = "TRENDING"
 BOT_ANOMALY = "BOT_ANOMALY"
 GLOBAL_KEY = "global"
-EVENTS_TOPIC = "wikipedia.recentchanges"
-SIGNALS_TOPIC = "wikipedia.signals"
-STORE_TABLE = "wikipedia-signals"
 
 
 def window_duration(width: int | str) -> str:
@@ -65,9 +62,17 @@ class Arrival:
     split one hot group into ordered sub-ranges so no single task holds it.
     ``digits`` - optional decimal digits per ``order`` column for packing the order into one
     exact ``decimal(38,0)`` key (see ``operators/arrival.py``); default by column type.
+    ``split`` - order columns that an order too wide to pack is reduced by first.
+    ``emitted`` - columns of a signal's ``emitted`` struct; default ``order``.
     """
 
     order: tuple[str, ...] = ("arrival_ts", "arrival_id")
     partitions: tuple[str, ...] = ()
     bucket: str = "arrival_bucket"
     digits: tuple[int, ...] | None = None
+    split: tuple[str, ...] = ()
+    emitted: tuple[str, ...] = ()
+
+    @property
+    def emitted_columns(self) -> tuple[str, ...]:
+        return self.emitted or self.order

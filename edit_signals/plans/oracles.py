@@ -51,6 +51,13 @@ def _windowed(name: str, width: str, source: str = "main") -> str:
             f"{_bucket(width)} + INTERVAL '{width}' AS window_end FROM {source})")
 
 
+def _batched(order: str) -> str:
+    """Main rows with the micro-batch of their range: four equal integer ranges of ``order``."""
+    return f"""batched AS (
+  SELECT *, (({order} - lo) * 4) // (hi - lo + 1) AS batch
+  FROM main, (SELECT min({order}) AS lo, max({order}) AS hi FROM main))"""
+
+
 def _kept(name: str, width: str) -> str:
     """Rows a zero-grace window of ``width`` accepts: window end > running max event time."""
     return f"""{name} AS (
@@ -63,8 +70,8 @@ def _kept(name: str, width: str) -> str:
 
 def _trending(name: str, width: str, threshold: int, source: str) -> str:
     return f"""{name} AS (
-  SELECT 'TRENDING' AS signal_type, title, CAST(count(*) AS INTEGER) AS edit_count,
-         CAST(NULL AS INTEGER) AS bot_edit_count, CAST(NULL AS INTEGER) AS total_edit_count,
+  SELECT 'TRENDING' AS signal_type, title, CAST(count(*) AS BIGINT) AS edit_count,
+         CAST(NULL AS BIGINT) AS bot_edit_count, CAST(NULL AS BIGINT) AS total_edit_count,
          CAST(NULL AS DOUBLE) AS ratio,
          {_bucket(width)} AS window_start, {_bucket(width)} + INTERVAL '{width}' AS window_end,
          max({{'arrival_ts': arrival_ts, 'arrival_id': event_id}}) AS emitted
@@ -75,9 +82,9 @@ def _trending(name: str, width: str, threshold: int, source: str) -> str:
 
 def _bot(name: str, width: str, ratio: float, volume: int, source: str) -> str:
     return f"""{name} AS (
-  SELECT 'BOT_ANOMALY' AS signal_type, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS INTEGER) AS edit_count,
-         CAST(count(*) FILTER (WHERE bot) AS INTEGER) AS bot_edit_count,
-         CAST(count(*) AS INTEGER) AS total_edit_count,
+  SELECT 'BOT_ANOMALY' AS signal_type, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS edit_count,
+         CAST(count(*) FILTER (WHERE bot) AS BIGINT) AS bot_edit_count,
+         CAST(count(*) AS BIGINT) AS total_edit_count,
          CAST(count(*) FILTER (WHERE bot) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS ratio,
          {_bucket(width)} AS window_start, {_bucket(width)} + INTERVAL '{width}' AS window_end,
          max({{'arrival_ts': arrival_ts, 'arrival_id': event_id}}) AS emitted
@@ -103,24 +110,24 @@ def _revisions() -> list[str]:
         f"""trc AS (
   SELECT title, {_bucket(T_W)} AS window_start, {_bucket(T_W)} + INTERVAL '{T_W}' AS window_end,
          CAST(count(*) OVER (PARTITION BY title, {_bucket(T_W)} ORDER BY arrival_ts, event_id
-              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS edit_count,
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS edit_count,
          arrival_ts AS emitted_ts, event_id AS emitted_id
   FROM kt WHERE title IS NOT NULL)""",
         f"""trev AS (
-  SELECT 'TRENDING' AS signal_type, title, edit_count, CAST(NULL AS INTEGER) AS bot_edit_count,
-         CAST(NULL AS INTEGER) AS total_edit_count, CAST(NULL AS DOUBLE) AS ratio,
+  SELECT 'TRENDING' AS signal_type, title, edit_count, CAST(NULL AS BIGINT) AS bot_edit_count,
+         CAST(NULL AS BIGINT) AS total_edit_count, CAST(NULL AS DOUBLE) AS ratio,
          window_start, window_end, emitted_ts, emitted_id
   FROM trc WHERE edit_count >= {T_N})""",
         f"""brc AS (
   SELECT {_bucket(B_W)} AS window_start, {_bucket(B_W)} + INTERVAL '{B_W}' AS window_end,
-         CAST(count(*) OVER w AS INTEGER) AS total_edit_count,
-         CAST(count(*) FILTER (WHERE bot) OVER w AS INTEGER) AS bot_edit_count,
+         CAST(count(*) OVER w AS BIGINT) AS total_edit_count,
+         CAST(count(*) FILTER (WHERE bot) OVER w AS BIGINT) AS bot_edit_count,
          arrival_ts AS emitted_ts, event_id AS emitted_id
   FROM kb
   WINDOW w AS (PARTITION BY {_bucket(B_W)} ORDER BY arrival_ts, event_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
         f"""brev AS (
-  SELECT 'BOT_ANOMALY' AS signal_type, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS INTEGER) AS edit_count,
+  SELECT 'BOT_ANOMALY' AS signal_type, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS edit_count,
          bot_edit_count, total_edit_count,
          CAST(bot_edit_count AS DOUBLE) / CAST(total_edit_count AS DOUBLE) AS ratio,
          window_start, window_end, emitted_ts, emitted_id
@@ -161,14 +168,14 @@ def oracle_sql() -> dict[str, str]:
         "count(*) FILTER (WHERE k NOT BETWEEN 95 AND 99 AND namespace <> 0) AS filtered, "
         "count(*) FILTER (WHERE k BETWEEN 95 AND 99) AS failed FROM edits")
     q["tumbling_edit_counts"] = _with(_windowed("w", T_W)) + (
-        "SELECT title, window_start, window_end, CAST(count(*) AS INTEGER) AS edit_count "
+        "SELECT title, window_start, window_end, CAST(count(*) AS BIGINT) AS edit_count "
         "FROM w WHERE title IS NOT NULL GROUP BY title, window_start, window_end")
     q["tumbling_edit_counts_by_wiki"] = _with(_windowed("w", T_W)) + (
-        "SELECT wiki, title, window_start, window_end, CAST(count(*) AS INTEGER) AS edit_count "
+        "SELECT wiki, title, window_start, window_end, CAST(count(*) AS BIGINT) AS edit_count "
         "FROM w WHERE title IS NOT NULL AND wiki IS NOT NULL GROUP BY wiki, title, window_start, window_end")
     q["tumbling_bot_counts"] = _with(_windowed("w", B_W)) + (
-        "SELECT window_start, window_end, CAST(count(*) AS INTEGER) AS total_edit_count, "
-        "CAST(count(*) FILTER (WHERE bot) AS INTEGER) AS bot_edit_count, "
+        "SELECT window_start, window_end, CAST(count(*) AS BIGINT) AS total_edit_count, "
+        "CAST(count(*) FILTER (WHERE bot) AS BIGINT) AS bot_edit_count, "
         "CAST(count(*) FILTER (WHERE bot) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS ratio "
         "FROM w GROUP BY window_start, window_end")
     q["trending_signals"] = _with(_trending("tr", T_W, T_N, "main")) + f"SELECT {_SIGNAL_COLS} FROM tr"
@@ -227,21 +234,52 @@ def oracle_sql() -> dict[str, str]:
     q["stream_trending"] = _with(_trending("tr", T_W, T_N, "main")) + f"SELECT {_SIGNAL_COLS} FROM tr WHERE {closed}"
     q["stream_bot"] = _with(_bot("bo", B_W, B_R, B_V, "main")) + f"SELECT {_SIGNAL_COLS} FROM bo WHERE {closed}"
     q["stream_detect"] = _with(*_DETECTED) + f"SELECT {_SIGNAL_COLS} FROM det WHERE {closed}"
-    # update mode over the replayed files: file i holds offsets in [lo + step*i, lo + step*(i+1)),
-    # step = (hi - lo) / 4 (four files at this size, see plans/replay.py), one file per micro-batch.
-    q["stream_trending_updates"] = _with(f"""bounds AS (SELECT min(event_id) AS lo, max(event_id) AS hi,
-         greatest(4, CAST(ceil(count(*) / 250000.0) AS BIGINT)) AS n FROM main)""", f"""batched AS (
-  SELECT m.*, (SELECT count(*) FROM generate_series(1, b.n - 1) g(i)
-                WHERE m.event_id >= b.lo + (b.hi - b.lo) / b.n * g.i) AS batch
-  FROM main m, bounds b)""", f"""per_batch AS (
-  SELECT title, {_bucket(T_W)} AS window_start, batch, count(*) AS n FROM batched
-  WHERE title IS NOT NULL GROUP BY title, {_bucket(T_W)}, batch)""", """states AS (
-  SELECT title, window_start, batch,
-         sum(n) OVER (PARTITION BY title, window_start ORDER BY batch) AS total FROM per_batch)""") + (
-        f"SELECT 'TRENDING' AS signal_type, title, CAST(total AS INTEGER) AS edit_count, "
-        "CAST(NULL AS INTEGER) AS bot_edit_count, CAST(NULL AS INTEGER) AS total_edit_count, "
-        f"CAST(NULL AS DOUBLE) AS ratio, window_start, window_start + INTERVAL '{T_W}' AS window_end "
-        f"FROM states WHERE total >= {T_N}")
+    q["stream_resume"] = q["stream_detect"]
+    # the replay lands four ranges of the ordering column, one micro-batch each (plans/replay.py)
+    batched = _batched("event_id")
+    states = f"""states AS (
+  SELECT title, window_start, batch, sum(n) OVER w AS total, max(ts) OVER w AS emitted_ts, max(id) OVER w AS emitted_id
+  FROM (SELECT title, {_bucket(T_W)} AS window_start, batch, count(*) AS n, max(event_time) AS ts, max(event_id) AS id
+        FROM batched WHERE title IS NOT NULL GROUP BY title, {_bucket(T_W)}, batch)
+  WINDOW w AS (PARTITION BY title, window_start ORDER BY batch))"""
+    updates = f"""upd AS (
+  SELECT 'TRENDING' AS signal_type, title, CAST(total AS BIGINT) AS edit_count, CAST(NULL AS BIGINT) AS bot_edit_count,
+         CAST(NULL AS BIGINT) AS total_edit_count, CAST(NULL AS DOUBLE) AS ratio, window_start,
+         window_start + INTERVAL '{T_W}' AS window_end, emitted_ts, emitted_id
+  FROM states WHERE total >= {T_N})"""
+    q["stream_trending_updates"] = _with(batched, states, updates) + f"SELECT {_SIGNAL_COLS} FROM upd"
+    q["stream_recent"] = _with(batched, states, updates) + (
+        f"SELECT {_SIGNAL_COLS}, emitted_ts, emitted_id FROM upd ORDER BY emitted_ts DESC, emitted_id DESC LIMIT 50")
+    q["stream_store_window"] = _with(batched, states, updates, f"items AS ({_items('upd', 'emitted_ts, emitted_id, ')})") + (
+        'SELECT pk, sk, "signalType", "windowStart", "windowEnd", title, "editCount", "botEditCount", '
+        '"totalEditCount", ratio FROM (SELECT *, row_number() OVER (PARTITION BY pk, sk '
+        "ORDER BY emitted_ts DESC, emitted_id DESC) AS rn FROM items) WHERE rn = 1")
+    # in arrival order: a row is dropped if its window ended by the latest event time of earlier batches
+    q["stream_late"] = _with(
+        _batched("epoch_us(arrival_ts)"),
+        """marks AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark
+  FROM (SELECT batch, max(event_time) AS top FROM batched GROUP BY batch))""",
+        *[f"""{n} AS (SELECT b.* FROM batched b JOIN marks m USING (batch)
+  WHERE m.mark IS NULL OR {_bucket(w)} + INTERVAL '{w}' > m.mark)""" for n, w in (("kt", T_W), ("kb", B_W))],
+        _trending("tr", T_W, T_N, "kt"), _bot("bo", B_W, B_R, B_V, "kb")) + (
+        f"SELECT {_SIGNAL_COLS} FROM tr WHERE {closed} UNION ALL SELECT {_SIGNAL_COLS} FROM bo WHERE {closed}")
+    # a clock per partition for trending; for bots the partitions merged by (clock, partition, offset)
+    q["partitioned_no_grace"] = _with(
+        """topic AS (SELECT *, CAST(substr(title, 6) AS BIGINT) % 7 AS part,
+         (epoch_us(arrival_ts) // 1000000) * 1000000000 + event_id AS off FROM main WHERE title IS NOT NULL AND event_id % 13 <> 0)""",
+        """clocked AS (SELECT *, max(event_time) OVER (PARTITION BY part ORDER BY off
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clock FROM topic)""",
+        """merged AS (SELECT *, max(event_time) OVER (ORDER BY clock, part, off
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hw FROM clocked)""",
+        f"kt AS (SELECT * FROM clocked WHERE {_bucket(T_W)} + INTERVAL '{T_W}' > clock)",
+        f"kb AS (SELECT * FROM merged WHERE {_bucket(B_W)} + INTERVAL '{B_W}' > hw)",
+        _trending("tr", T_W, T_N, "kt"), _bot("bo", B_W, B_R, B_V, "kb"),
+        f"""et AS (SELECT title, {_bucket(T_W)} AS window_start, arg_max(event_time, off) AS emitted_ts
+  FROM kt GROUP BY title, {_bucket(T_W)})""",
+        f"""eb AS (SELECT {_bucket(B_W)} AS window_start, arg_max(event_time, (clock, part, off)) AS emitted_ts
+  FROM kb GROUP BY {_bucket(B_W)})""") + (
+        f"SELECT tr.* EXCLUDE (emitted), et.emitted_ts FROM tr JOIN et USING (title, window_start) "
+        f"UNION ALL BY NAME SELECT bo.* EXCLUDE (emitted), eb.emitted_ts FROM bo JOIN eb USING (window_start)")
     q["stream_ingest_counts"] = q["ingest_counts"]
     # Through the feed: broken lines (k 95..99) never reach detection; record time = payload
     # time (whole seconds).

@@ -152,8 +152,23 @@ def q_bot_revisions(spark, sf_dir):
 
 def q_first_crossing(spark, sf_dir):
     main = _main(spark, sf_dir)
-    revs = O.signal_revisions(main, TRENDING_DAY, BOT_HOUR, ARRIVAL)
-    return _flat_emitted(O.first_crossing(revs, ARRIVAL))
+    return _flat_emitted(O.first_crossing(O.signal_revisions(main, TRENDING_DAY, BOT_HOUR, ARRIVAL, first=True)))
+
+
+def q_partitioned_no_grace(spark, sf_dir):
+    """A topic keyed by title over 7 partitions, read with the default arrival orders: a clock per
+    partition for trending, the merge of the partitions for bots. Offsets follow arrival, so records
+    are out of time order inside their partition; every 13th record of the topic has no value."""
+    from .jobs import detect_from_records
+    main = _main(spark, sf_dir).filter("title is not null")
+    recs = codec.encode_events(O.key_by_title(main)).select(
+        "key", F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("value"), F.col("event_time").alias("timestamp"),
+        F.pmod(F.substring("title", 6, 20).cast("bigint"), F.lit(7)).cast("int").alias("partition"),
+        (F.unix_seconds("arrival_ts") * 1_000_000_000 + F.col("event_id")).alias("offset"))
+    path = scratch_path(spark, "topic")
+    recs.write.parquet(path)
+    out = detect_from_records(spark, path, TRENDING_DAY, BOT_HOUR)
+    return ntz(out.select(*SIGNAL_OUT, F.col("emitted.record_ts").alias("emitted_ts")), "window_start", "window_end", "emitted_ts")
 
 
 # ---- wire form, store, report -------------------------------------------------
@@ -187,7 +202,7 @@ def q_signal_html(spark, sf_dir):
 
 
 def q_signals_json(spark, sf_dir):
-    return O.signals_json(O.recent_signals(_detected(spark, sf_dir)))
+    return O.signals_json(_detected(spark, sf_dir))
 
 
 # ---- streaming: replay the table as ordered files, run availableNow, read the sink ----
@@ -197,17 +212,22 @@ def _event_records(spark, sf_dir) -> DataFrame:
     main = _main(spark, sf_dir)
     return codec.encode_events(O.key_by_title(main)).select(
         "key", "value", F.col("event_time").alias("timestamp"), F.lit(0).alias("partition"),
-        F.col("event_id").alias("offset"))
+        F.col("event_id").alias("offset"), F.unix_micros("arrival_ts").alias("arrival_us"))
 
 
-def _stream_signals(spark, sf_dir, trending, bot, output_mode="append") -> DataFrame:
+def _stream_signals(spark, sf_dir, trending, bot, output_mode="append", order="offset", **kwargs) -> DataFrame:
+    """Decoded signals of a detection stream over the replayed records, one micro-batch a range."""
     from ..streaming.detect import run_detection
     from .replay import land_in_order
-    src, out = scratch_path(spark, "records"), scratch_path(spark, "signals")
-    land_in_order(_event_records(spark, sf_dir), "offset", src)
-    run_detection(spark, src, out, scratch_path(spark, "chk-detect"), trending=trending, bot=bot,
-                  output_mode=output_mode, max_files_per_trigger=1)
-    return codec.decode_signals(read_signal_records(spark, out))
+    src, out, chk = (scratch_path(spark, n) for n in ("records", "signals", "chk-detect"))
+    land_in_order(_event_records(spark, sf_dir), order, src, lambda: run_detection(
+        spark, src, out, chk, trending=trending, bot=bot, output_mode=output_mode),
+        columns=("key", "value", "timestamp", "partition", "offset"), **kwargs)
+    return _read_signals(spark, out)
+
+
+def _read_signals(spark, path) -> DataFrame:
+    return codec.decode_signals(read_signal_records(spark, path))
 
 
 def q_stream_trending(spark, sf_dir):
@@ -227,14 +247,27 @@ def q_stream_trending_updates(spark, sf_dir):
     return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, None, output_mode="update"))
 
 
-def _stream_ingest(spark, sf_dir):
-    from ..streaming.ingest import run_ingest
+def q_stream_resume(spark, sf_dir):
+    """Half of the records, a stop, the other half, a restart on the same checkpoint."""
+    return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, BOT_HOUR, ranges=2))
+
+
+def q_stream_late(spark, sf_dir):
+    """Records in arrival order, so late ones cross micro-batches and are dropped by the watermark."""
+    return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, BOT_HOUR, order="arrival_us"))
+
+
+def _land_feed(spark, sf_dir, path, run):
     from .replay import land_in_order
-    feed, recs, bad = (scratch_path(spark, n) for n in ("feed", "event-records", "quarantine"))
-    land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", feed, fmt="text",
+    land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", path, run, fmt="text",
                   sort_cols=("event_id", "line_no"), columns=("value",))
-    q = run_ingest(spark, feed, recs, bad, scratch_path(spark, "chk-ingest"), max_files_per_trigger=1)
-    return q, recs
+
+
+def _stream_ingest(spark, sf_dir):
+    from ..streaming.ingest import run_ingest
+    feed, recs, bad, chk = (scratch_path(spark, n) for n in ("feed", "event-records", "quarantine", "chk-ingest"))
+    _land_feed(spark, sf_dir, feed, lambda: run_ingest(spark, feed, recs, bad, chk))
+    return recs
 
 
 def q_stream_feed_to_signals(spark, sf_dir):
@@ -242,42 +275,64 @@ def q_stream_feed_to_signals(spark, sf_dir):
     reading those edits (no JSON parsing in detection) -> signal records."""
     from ..streaming.detect import run_detection
     from ..streaming.ingest import run_ingest
-    from .replay import land_in_order
-    feed, recs, bad, edits, out = (scratch_path(spark, n) for n in ("feed", "records", "bad", "edits", "signals"))
-    land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", feed, fmt="text",
-                  sort_cols=("event_id", "line_no"), columns=("value",))
-    run_ingest(spark, feed, recs, bad, scratch_path(spark, "chk-ingest"), max_files_per_trigger=1, edits_path=edits)
-    run_detection(spark, edits, out, scratch_path(spark, "chk-detect"), trending=TRENDING_DAY, bot=BOT_HOUR,
-                  source_format="edits", max_files_per_trigger=1)
-    return _flat_signals(codec.decode_signals(read_signal_records(spark, out)))
+    feed, recs, bad, edits, out, chk, chk2 = (scratch_path(spark, n) for n in (
+        "feed", "records", "bad", "edits", "signals", "chk-ingest", "chk-detect"))
+
+    def run():
+        run_ingest(spark, feed, recs, bad, chk, edits_path=edits)
+        run_detection(spark, edits, out, chk2, trending=TRENDING_DAY, bot=BOT_HOUR, source_format="edits")
+
+    _land_feed(spark, sf_dir, feed, run)
+    return _flat_signals(_read_signals(spark, out))
 
 
 def q_stream_ingest_counts(spark, sf_dir):
-    """Counters observed on the streaming ingest (summed over its micro-batches)."""
-    from ..operators.counters import progress_counts
-    q, _ = _stream_ingest(spark, sf_dir)
-    c = progress_counts(q)
-    return spark.createDataFrame([(c["published"], c["filtered"], c["failed"])],
-                                 "published bigint, filtered bigint, failed bigint")
+    """Counters the streaming ingest landed, summed over its micro-batches."""
+    return O.landed_counts(spark, _stream_ingest(spark, sf_dir))
 
 
 def q_stream_ingest(spark, sf_dir):
-    _, recs = _stream_ingest(spark, sf_dir)
-    landed = codec.decode_events(read_event_records(spark, recs), payload="value", mode="strict")
+    landed = codec.decode_events(read_event_records(spark, _stream_ingest(spark, sf_dir)), payload="value", mode="strict")
     return landed.selectExpr("key", *EVENT_OUT, "CAST(unix_seconds(record_ts) AS BIGINT) AS record_seconds")
 
 
-def q_stream_store(spark, sf_dir):
+def _serve_stream(spark, sf_dir, trending, bot, output_mode):
+    """Records -> detection -> serving, a micro-batch of each per range; (store log, recent snapshots)."""
     from ..streaming.detect import run_detection
-    from ..streaming.serve import run_serving, store_view
+    from ..streaming.serve import run_serving
     from .replay import land_in_order
-    src, sig, log, recent = (scratch_path(spark, n) for n in ("records", "signals", "store-log", "recent"))
-    land_in_order(_event_records(spark, sf_dir), "offset", src)
-    run_detection(spark, src, sig, scratch_path(spark, "chk-detect"), trending=TRENDING_DAY, bot=BOT_HOUR,
-                  output_mode="append", max_files_per_trigger=1)
-    run_serving(spark, sig, log, recent, scratch_path(spark, "chk-serve"))
+    src, sig, log, recent, chk, chk2 = (scratch_path(spark, n) for n in (
+        "records", "signals", "store-log", "recent", "chk-detect", "chk-serve"))
+
+    def run():
+        run_detection(spark, src, sig, chk, trending=trending, bot=bot, output_mode=output_mode)
+        run_serving(spark, sig, log, recent, chk2)
+
+    land_in_order(_event_records(spark, sf_dir), "offset", src, run, columns=("key", "value", "timestamp", "partition", "offset"))
+    return log, recent
+
+
+def q_stream_store(spark, sf_dir):
+    from ..streaming.serve import store_view
+    log, _ = _serve_stream(spark, sf_dir, TRENDING_DAY, BOT_HOUR, "append")
     return store_view(spark, log, key="window_title")
 
 
+def q_stream_store_window(spark, sf_dir):
+    """Every update reaches the store, open windows too; titles of one window overwrite each other."""
+    from ..streaming.serve import store_view
+    log, _ = _serve_stream(spark, sf_dir, TRENDING_DAY, None, "update")
+    return store_view(spark, log)
+
+
+def q_stream_recent(spark, sf_dir):
+    """The newest 50 of all updates, from the serving job's snapshot."""
+    from ..streaming.serve import recent_view
+    _, recent = _serve_stream(spark, sf_dir, TRENDING_DAY, None, "update")
+    out = recent_view(spark, recent).select(*SIGNAL_OUT, F.col("emitted.record_ts").alias("emitted_ts"),
+                                            F.col("emitted.offset").alias("emitted_id"))
+    return ntz(out, "window_start", "window_end", "emitted_ts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

@@ -1,39 +1,37 @@
-"""Replay a table as an ordered feed: land it as files that a file stream source reads
-in order (one file per contiguous range of the ordering column, written one after the
-other so modification times follow the order)."""
+"""Replay a table as an ordered feed: cut it into ordered ranges and land one range after the
+other, running the stream after each, so every range is one micro-batch and the run resumes from
+its checkpoint in between."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_FILE = 250_000
-MIN_FILES, MAX_FILES = 4, 256
+RANGES = 4
 
 
-def land_in_order(df: DataFrame, order_col: str, path: str, fmt: str = "parquet",
-                  sort_cols: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> int:
-    """Write ``df`` under ``path`` as N files, file i holding the i-th range of
-    ``order_col``; returns N. ``sort_cols`` orders rows inside a file (text feeds); ``columns`` are the ones written."""
+def land_in_order(df: DataFrame, order_col: str, path: str, run: Callable[[], object], fmt: str = "parquet",
+                  sort_cols: tuple[str, ...] = (), columns: tuple[str, ...] = (), ranges: int = RANGES) -> None:
+    """Append ``df`` to ``path`` in ``ranges`` ranges of the integer ``order_col`` and call ``run`` after
+    each. Range of a row: ``(value - lowest) * ranges // (highest - lowest + 1)``; rows without a value
+    are in the first. Each range is written by as many tasks, into as many files, as its data
+    has partitions. ``sort_cols`` orders rows inside a file (text feeds); ``columns`` are the ones written."""
     df = df.persist()  # the range writes below each read it
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if not stats["n"]:
-        df.limit(0).write.mode("append").format(fmt).save(path)
+    try:
+        value = F.col(order_col).cast("decimal(38,0)")
+        low, high = df.agg(F.min(value), F.max(value)).first()
+        part = F.lit(0)
+        if low is not None:
+            part = F.coalesce(F.floor((value - F.lit(low)) * ranges / F.lit(high - low + 1)), F.lit(0))
+        for i in range(ranges):
+            rows = df.filter(part == i)
+            if sort_cols:
+                rows = rows.sortWithinPartitions(*sort_cols)
+            if columns:
+                rows = rows.select(*columns)
+            rows.write.mode("append").format(fmt).save(path)
+            run()
+    finally:
         df.unpersist()
-        return 0
-    n_files = max(MIN_FILES, min(MAX_FILES, -(-stats["n"] // ROWS_PER_FILE)))
-    lo, hi = stats["lo"], stats["hi"]
-    step = (hi - lo) / n_files
-    for i in range(n_files):
-        a = lo + step * i
-        part = df.filter(F.col(order_col) >= F.lit(a)) if i else df
-        if i < n_files - 1:
-            part = part.filter(F.col(order_col) < F.lit(lo + step * (i + 1)))
-        part = part.coalesce(1)
-        if sort_cols:
-            part = part.sortWithinPartitions(*sort_cols)
-        if columns:
-            part = part.select(*columns)
-        part.write.mode("append").format(fmt).save(path)
-    df.unpersist()
-    return n_files

@@ -67,9 +67,3 @@ SIGNAL_KEYS = {
     "TRENDING": ["signalType", "title", "editCount", "windowStart", "windowEnd"],
     "BOT_ANOMALY": ["signalType", "botEditCount", "totalEditCount", "ratio", "windowStart", "windowEnd"],
 }
-
-# Signal, wide row used inside the engine.
-SIGNAL_COLUMNS = [
-    "signal_type", "title", "edit_count", "bot_edit_count", "total_edit_count", "ratio",
-    "window_start", "window_end",
-]

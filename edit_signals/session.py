@@ -55,8 +55,9 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and landed intermediate tables.
 
     Taken from the session (``spark.checkpoint.dir`` / the context's checkpoint
-    dir). Only when neither is set - local tests - a fresh temporary folder is
-    registered as the checkpoint dir.
+    dir). Only when neither is set and the master is local - tests - a fresh temporary folder
+    is registered as the checkpoint dir; on a cluster that is an error, since executors do
+    not see the driver's disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -66,6 +67,9 @@ def work_dir(spark: SparkSession) -> str:
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        master = "" if sc is None else sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="edit-signals-")
         if sc is not None:
             sc.setCheckpointDir(base)

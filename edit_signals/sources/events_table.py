@@ -1,7 +1,7 @@
 """Adapter: the driver's ``events`` table seen as a feed of wiki edits.
 
 Every rule below is mirrored one-to-one by the DuckDB oracle in
-``plans/catalog.py``; change both or neither.
+``plans/oracles.py``; change both or neither.
 """
 
 from __future__ import annotations

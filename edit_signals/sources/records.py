@@ -3,7 +3,7 @@ else files with the same columns (key, value, timestamp, partition, offset)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -33,6 +33,15 @@ def _read(spark: SparkSession, path_or_topic: str, fmt: str, streaming: bool, op
     return df.withColumnRenamed("timestamp", "record_ts")
 
 
+def with_file_position(records: DataFrame, fmt: str = "parquet") -> DataFrame:
+    """``file_position`` of records read from files: (file time, file, row); null for other sources."""
+    if fmt != "parquet":
+        return records.withColumn("file_position", F.lit(None).cast("struct<time:timestamp,file:string,row:bigint>"))
+    return records.withColumn("file_position", F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row")))
+
+
 def read_event_records(spark: SparkSession, path_or_topic: str, fmt: str = "parquet", streaming: bool = False,
                        **options) -> DataFrame:
     """Event records: ``key`` (title), ``value`` (event JSON), ``record_ts``, ``partition``, ``offset``."""
@@ -46,43 +55,63 @@ def read_signal_records(spark: SparkSession, path_or_topic: str, fmt: str = "par
     return _read(spark, path_or_topic, fmt, streaming, options)
 
 
-# Arrival order of record topics: per input partition for keyed (trending) state, a global
-# order approximated by (record time, partition, offset) after the re-key of the bot branch.
-PARTITION_ARRIVAL = Arrival(order=("offset",), partitions=("partition",), bucket="offset_bucket")
-GLOBAL_ARRIVAL = Arrival(order=("record_ts", "partition", "offset"), partitions=(), bucket="time_bucket",
-                         digits=(16, 3, 19))  # packs exactly for topics with < 1000 partitions
+_EMITTED = ("record_ts", "partition", "offset")
+# Arrival order of record topics. Keyed (trending) state has a clock per input partition. The bot
+# branch merges the partitions: a record cannot overtake an earlier one of its partition, so it
+# arrives when the running maximum of its partition's record times says (``clock``, see with_clock).
+PARTITION_ARRIVAL = Arrival(order=("offset",), partitions=("partition",), bucket="offset_bucket", emitted=_EMITTED)
+MERGED_ARRIVAL = Arrival(order=("clock", "partition", "offset"), bucket="clock_bucket", split=("partition",),
+                         emitted=_EMITTED)
 # Topics landed as files by the ingest job: one folder per micro-batch, ``offset`` increasing
-# inside it; buckets = (batch, writing task) so one large batch is still split.
-FILE_ARRIVAL = Arrival(order=("batch_id", "offset"), partitions=(), bucket="file_bucket")
-_TASK_BITS = 33  # monotonically_increasing_id keeps the task index above bit 33
+# inside it; buckets = (batch, feed split) so one large batch is still split.
+FILE_ARRIVAL = Arrival(order=("batch_id", "offset"), partitions=(), bucket="file_bucket",
+                       emitted=("record_ts", "batch_id", "offset"))
+_TASK_BITS = 33  # landed offsets keep the feed split's rank above bit 33
+
+
+def with_clock(edits: DataFrame, bucket_seconds: int = 1) -> DataFrame:
+    """Adds ``clock``: the running maximum of ``record_ts`` along a partition's offsets, and
+    ``clock_bucket``. Two levels: inside (partition, offset bucket) and over a partition's buckets."""
+    before = Window.partitionBy("partition").orderBy("offset_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = edits.groupBy("partition", "offset_bucket").agg(F.max("record_ts").alias("_top")).select(
+        "partition", "offset_bucket", F.max("_top").over(before).alias("_before"))
+    upto = (Window.partitionBy("partition", "offset_bucket").orderBy("offset")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = edits.join(base, ["partition", "offset_bucket"]).withColumn(
+        "clock", F.greatest("_before", F.max("record_ts").over(upto))).drop("_before")
+    return out.withColumn("clock_bucket", F.floor(F.unix_seconds("clock") / F.lit(bucket_seconds)))
+
+
+def arrival_orders(edits: DataFrame) -> tuple[Arrival, Arrival]:
+    """(trending, bot) arrival orders the source supports: folders of an ingest, or a keyed topic."""
+    return (FILE_ARRIVAL, FILE_ARRIVAL) if "batch_id" in edits.columns else (PARTITION_ARRIVAL, MERGED_ARRIVAL)
 
 
 def records_to_edits(records: DataFrame, mode: str = "strict", time_source: str = "record",
                      offsets_per_bucket: int = 1_000_000, bucket_seconds: int = 1) -> DataFrame:
     """Decode record values (``strict``: a bad value fails the job, as the detector does;
     ``permissive``: bad values are dropped) and add ``event_time`` plus the arrival
-    columns used by :data:`PARTITION_ARRIVAL` / :data:`GLOBAL_ARRIVAL` / :data:`FILE_ARRIVAL`."""
+    columns used by :data:`PARTITION_ARRIVAL` / :data:`FILE_ARRIVAL` (:func:`with_clock` adds those
+    of :data:`MERGED_ARRIVAL`)."""
     dec = decode_events(records, payload="value", mode=mode)
     if mode == "permissive":
         dec = split_malformed(dec)[0]
-    return with_arrival_columns(dec, time_source, offsets_per_bucket, bucket_seconds)
+    return with_arrival_columns(dec, time_source, offsets_per_bucket)
 
 
 def read_landed_edits(spark: SparkSession, path: str, streaming: bool = False, time_source: str = "record",
-                      offsets_per_bucket: int = 1_000_000, bucket_seconds: int = 1, **options) -> DataFrame:
+                      offsets_per_bucket: int = 1_000_000, **options) -> DataFrame:
     """Edits landed by the ingest (``edits_path``): decoded columns, no JSON to parse, so
     a detection query reads only title / bot / record time / position."""
     reader = spark.readStream if streaming else spark.read
     df = reader.format("parquet").schema(S.EDIT_TABLE).options(**options).load(path)
-    return with_arrival_columns(df, time_source, offsets_per_bucket, bucket_seconds)
+    return with_arrival_columns(df, time_source, offsets_per_bucket)
 
 
-def with_arrival_columns(dec: DataFrame, time_source: str = "record", offsets_per_bucket: int = 1_000_000,
-                         bucket_seconds: int = 1) -> DataFrame:
+def with_arrival_columns(dec: DataFrame, time_source: str = "record", offsets_per_bucket: int = 1_000_000) -> DataFrame:
     dec = with_event_time(dec, time_source, record_col="record_ts")
     cols = {
         "offset_bucket": F.floor(F.col("offset") / F.lit(offsets_per_bucket)),
-        "time_bucket": F.floor(F.unix_seconds(F.col("record_ts")) / F.lit(bucket_seconds)),
     }
     if "batch_id" in dec.columns:
         cols["file_bucket"] = (F.col("batch_id").cast("bigint") * F.lit(1 << 20)

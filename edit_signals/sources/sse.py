@@ -19,9 +19,16 @@ def sse_payloads(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.filter(v.startswith(DATA_PREFIX)).withColumn("payload", payload)
 
 
+# Where a line of a captured feed stands: file time, file, start of the input split.
+FEED_POSITION = ("_feed_time", "_feed_file", "_feed_start")
+
+
 def read_sse_lines(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
-    """Captured feed files (UTF-8 text, one SSE line per row) -> ``value``, ``payload``."""
+    """Captured feed files (UTF-8 text, one SSE line per row) -> ``value``, ``payload`` and the
+    columns of :data:`FEED_POSITION`."""
     reader = spark.readStream if streaming else spark.read
     for k, v in options.items():
         reader = reader.option(k, v)
-    return sse_payloads(reader.text(path))
+    meta = ("file_modification_time", "file_path", "file_block_start")
+    return sse_payloads(reader.text(path).select(
+        "value", *[F.col(f"_metadata.{m}").alias(c) for m, c in zip(meta, FEED_POSITION)]))

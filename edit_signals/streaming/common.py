@@ -57,8 +57,27 @@ def await_done(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQu
     return q
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(JVM, Hadoop path, its file system)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def batch_folder(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
+
+
+def is_committed(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether the micro-batch's folder was written completely."""
+    _, marker, fs = hadoop_path(spark, f"{batch_folder(path, batch_id)}/_SUCCESS")
+    return fs.exists(marker)
+
+
 def write_batch_partition(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
-    """Idempotent micro-batch write: rows land in the partition folder ``batch_id=<id>``
-    (read back through partition discovery); a replayed batch overwrites its own folder
-    instead of duplicating rows."""
-    df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch_id={batch_id}")
+    """Micro-batch write into the partition folder ``batch_id=<id>`` (read back through
+    partition discovery). A replayed batch that was committed is left alone, so its files keep
+    their names and a file-stream reader that took them does not see them again; one that was
+    cut short is overwritten."""
+    if not is_committed(df.sparkSession, path, batch_id):
+        df.write.mode("overwrite").format(fmt).save(batch_folder(path, batch_id))

@@ -28,13 +28,17 @@ def detection_stream(edits: DataFrame, trending: TrendingParams | None = Trendin
                      bot: BotParams | None = BotParams(), watermark: str = "0 seconds") -> DataFrame:
     """Signals of a streaming (or batch) edits DataFrame with ``event_time``."""
     ev = edits.withWatermark("event_time", watermark)
+    # a signal's record carries the latest record time and offset that went into it
+    extra = {"_signal_ts": F.max("event_time")}
+    if "offset" in edits.columns:
+        extra["_signal_offset"] = F.max("offset")
     parts = []
     if trending is not None:
-        t = tumbling_edit_counts(ev, trending.window)
-        parts.append(to_trending_signal(trending_filter(t, trending.threshold)))
+        t = tumbling_edit_counts(ev, trending.window, extra=extra)
+        parts.append(to_trending_signal(trending_filter(t, trending.threshold), list(extra)))
     if bot is not None:
-        b = tumbling_bot_counts(ev, bot.window)
-        parts.append(to_bot_signal(bot_anomaly_filter(b, bot.ratio_threshold, bot.min_volume)))
+        b = tumbling_bot_counts(ev, bot.window, extra=extra)
+        parts.append(to_bot_signal(bot_anomaly_filter(b, bot.ratio_threshold, bot.min_volume), list(extra)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -42,18 +46,33 @@ def detection_stream(edits: DataFrame, trending: TrendingParams | None = Trendin
 
 
 def signal_records(signals: DataFrame) -> DataFrame:
-    """Signals as keyed records for the signals topic: key = title or "global"."""
-    return encode_signals(signals).select("key", "value", F.current_timestamp().alias("timestamp"))
+    """Signals as keyed records for the signals topic: key = title or "global".
+
+    Record time and offset are those of the last edit that went into the signal (from the stream's
+    aggregates, or the batch operators' ``emitted``); without them, the time of writing."""
+    have = set(signals.columns)
+    ts, offset = F.current_timestamp(), F.lit(None).cast("bigint")
+    if "_signal_ts" in have:
+        ts = F.col("_signal_ts")
+        offset = F.col("_signal_offset") if "_signal_offset" in have else offset
+    elif "emitted" in have:
+        parts = signals.schema["emitted"].dataType.names
+        ts = F.col("emitted.record_ts") if "record_ts" in parts else ts
+        offset = F.col("emitted.offset") if "offset" in parts else offset
+    return encode_signals(signals).select("key", "value", ts.alias("timestamp"), F.lit(0).alias("partition"),
+                                          offset.alias("offset"))
 
 
 def start_detection(spark: SparkSession, records_path: str, signals_path: str, checkpoint: str,
                     trending: TrendingParams | None = TrendingParams(), bot: BotParams | None = BotParams(),
                     output_mode: str = "append", source_format: str = "parquet", trigger: dict | None = None,
                     max_files_per_trigger: int | None = None, state_store: str | None = "rocksdb",
-                    time_source: str = "record", name: str | None = None, **source_options):
+                    time_source: str = "record", name: str | None = None, sink_format: str = "parquet",
+                    sink_options: dict | None = None, **source_options):
     """Start the detection query: event records in, signal records out. Append mode
     writes through the exactly-once file sink; update mode writes one folder per
-    micro-batch (a replayed batch overwrites itself).
+    micro-batch (a committed batch is not written again). ``sink_format="kafka"`` publishes to
+    the topic ``signals_path`` in either mode, with ``sink_options`` for the connector.
     ``source_format="edits"`` reads the decoded edits landed by the ingest instead of
     the JSON records: column pruning, no JSON parsing."""
     if max_files_per_trigger:
@@ -65,13 +84,14 @@ def start_detection(spark: SparkSession, records_path: str, signals_path: str, c
         edits = records_to_edits(records, mode="strict", time_source=time_source)
     signals = detection_stream(edits, trending, bot)
     out = signal_records(signals)
-    if output_mode == "append":
+    if output_mode == "append" or sink_format == "kafka":
         # the file sink is exactly-once through its own metadata log (no per-batch folders)
-        writer = stream_records(out, signals_path, checkpoint, fmt="parquet", output_mode="append")
+        writer = stream_records(out, signals_path, checkpoint, fmt=sink_format, output_mode=output_mode,
+                                **(sink_options or {}))
     else:
-        # update mode: the file sink cannot take it; each micro-batch overwrites its own folder
+        # update mode: the file sink cannot take it; each micro-batch has a folder of its own
         writer = (out.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
-                  .foreachBatch(lambda df, bid: write_batch_partition(df, bid, signals_path)))
+                  .foreachBatch(lambda df, bid: write_batch_partition(df, bid, signals_path, sink_format)))
     if name:
         writer = writer.queryName(name)
     with session_confs(spark, {**DETECTION_CONFS, **state_confs(state_store)}):

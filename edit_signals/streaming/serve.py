@@ -17,14 +17,20 @@ from ..functions.codec import decode_signals
 from ..operators.report import recent_signals
 from ..operators.store import ITEM_COLUMNS, signal_items
 from ..params import RECENT_SIGNALS
-from ..sources.records import read_signal_records
-from .common import await_done, start, write_batch_partition
+from ..sources.records import read_signal_records, with_file_position
+from .common import await_done, hadoop_path, start, write_batch_partition
 
 
-def _arrival(df: DataFrame, batch_id: int) -> DataFrame:
-    """Arrival order of signals inside the serving job: (batch, offset in batch)."""
-    return df.withColumn("emitted", F.struct(F.lit(batch_id).cast("bigint").alias("batch"),
-                                             F.monotonically_increasing_id().alias("seq")))
+def arrived(signals: DataFrame) -> DataFrame:
+    """Adds ``emitted``, the arrival order of signal records: record time, partition, offset, then
+    the file and row a record was read from (null for other sources), then its text."""
+    def known(c: str, kind: str):  # noqa: ANN202 - column
+        return (F.col(c) if c in signals.columns else F.lit(None).cast(kind)).alias(c)
+
+    position = "struct<time:timestamp,file:string,row:bigint>"
+    return signals.withColumn("emitted", F.struct(
+        known("record_ts", "timestamp"), known("partition", "int"), known("offset", "bigint"),
+        known("file_position", position), known("value", "string")))
 
 
 # Fold the store log into a compacted view every this many micro-batches.
@@ -34,7 +40,7 @@ COMPACT_EVERY = 100
 def serve_batch(records: DataFrame, batch_id: int, store_log_path: str, recent_path: str,
                 n: int = RECENT_SIGNALS, compact_every: int | None = COMPACT_EVERY) -> None:
     spark = records.sparkSession
-    signals = _arrival(decode_signals(records, "value"), batch_id).persist()
+    signals = arrived(decode_signals(records, "value")).persist()
     try:
         write_batch_partition(signal_items(signals, keep=["emitted"]), batch_id, store_log_path)
         cols = ["signal_type", "title", "edit_count", "bot_edit_count", "total_edit_count", "ratio",
@@ -53,16 +59,10 @@ def serve_batch(records: DataFrame, batch_id: int, store_log_path: str, recent_p
 
 # ---- versioned folders (<name>=<id> with _SUCCESS) -----------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _versions(spark: SparkSession, root: str, name: str, before: int, committed: bool = True) -> list[int]:
     """Ids of ``root/<name>=<id>`` folders below ``before``, ascending (metadata only).
     Old versions are removed as new ones commit, so the listing stays short."""
-    jvm, path, fs = _fs(spark, root)
+    jvm, path, fs = hadoop_path(spark, root)
     if not fs.exists(path):
         return []
     ids = []
@@ -76,7 +76,7 @@ def _versions(spark: SparkSession, root: str, name: str, before: int, committed:
 
 
 def _delete(spark: SparkSession, root: str, name: str, ids: list[int], width: int = 12) -> None:
-    jvm, path, fs = _fs(spark, root)
+    jvm, path, fs = hadoop_path(spark, root)
     for b in ids:
         fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"{name}={b:0{width}d}" if width else f"{name}={b}"), True)
 
@@ -152,7 +152,8 @@ def start_serving(spark: SparkSession, signals_path: str, store_log_path: str, r
                   checkpoint: str, source_format: str = "parquet", trigger: dict | None = None,
                   n: int = RECENT_SIGNALS, name: str | None = None, compact_every: int | None = COMPACT_EVERY,
                   **source_options):
-    records = read_signal_records(spark, signals_path, fmt=source_format, streaming=True, **source_options)
+    records = with_file_position(
+        read_signal_records(spark, signals_path, fmt=source_format, streaming=True, **source_options), source_format)
     writer = (records.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, bid: serve_batch(df, bid, store_log_path, recent_path, n, compact_every)))
     if name:
@@ -178,7 +179,7 @@ def store_view(spark: SparkSession, store_log_path: str, key: str = "window") ->
 
 def signal_items_schema() -> str:
     return ("pk string, sk string, signalType string, windowStart bigint, windowEnd bigint, title string, "
-            "editCount int, botEditCount int, totalEditCount int, ratio double")
+            "editCount bigint, botEditCount bigint, totalEditCount bigint, ratio double")
 
 
 def recent_view(spark: SparkSession, recent_path: str) -> DataFrame | None:
@@ -186,4 +187,4 @@ def recent_view(spark: SparkSession, recent_path: str) -> DataFrame | None:
     return None if latest is None else spark.read.parquet(latest)
 
 
-__all__ = ["serve_batch", "start_serving", "run_serving", "store_view", "recent_view", "compact_store"]
+__all__ = ["arrived", "serve_batch", "start_serving", "run_serving", "store_view", "recent_view", "compact_store"]

@@ -128,12 +128,10 @@ def test_drop_late_scoped_by_partition(spark):
     assert drop_late(e, 5, Arrival()).count() == 1
 
 
-def test_lateness_two_level_scan_and_shuffle_join(spark):
-    """Tiny blocks (fanout 2) and no broadcast: the two-level suffix scan and the
-    shuffle-join path give the same flags as the running max."""
+def test_lateness_two_level_scan(spark):
+    """Tiny blocks (fanout 2): the two-level suffix scan gives the same flags as the running max."""
     rows = _random_rows(5, n=300, late_p=0.3)
-    got = [r.late for r in flag_late(make_edits(spark, rows), 1, fanout=2, max_broadcast_rows=0,
-                                     max_single_scan_windows=0).orderBy("arrival_id").collect()]
+    got = [r.late for r in flag_late(make_edits(spark, rows), 1, fanout=2).orderBy("arrival_id").collect()]
     assert got == _brute_late(rows, 1 * MIN)
 
 
@@ -206,20 +204,20 @@ def test_shared_detect_with_lateness_equals_separate_branches(spark):
     assert shared == sorted(tuple(r) for r in separate.select(*cols).collect()) and len(shared) > 5
 
 
-def test_global_record_order_packs_exactly(spark):
-    """(record time, partition, offset) with declared digit widths: packed order equals the
-    struct order; a partition beyond its 3 digits fails loudly."""
+def test_packed_times_before_1970(spark):
     import datetime as dt
-    import pytest
-    from pyspark.sql import functions as F
     from edit_signals.operators.arrival import arrival_key
-    from edit_signals.sources.records import GLOBAL_ARRIVAL
-    t = dt.datetime(2024, 1, 1)
-    rows = [(t, 2, 5), (t, 1, 9), (t + dt.timedelta(microseconds=1), 0, 0), (t, 1, 10), (t, 999, 2 ** 62)]
-    df = spark.createDataFrame(rows, "record_ts timestamp, partition int, offset bigint")
-    got = [(r.partition, r.offset) for r in df.orderBy(arrival_key(df, GLOBAL_ARRIVAL)).collect()]
-    want = [(p, o) for _, p, o in sorted(rows)]
-    assert got == want
-    bad = spark.createDataFrame([(t, 1000, 1)], "record_ts timestamp, partition int, offset bigint")
-    with pytest.raises(Exception):
-        bad.select(arrival_key(bad, GLOBAL_ARRIVAL).alias("k")).collect()
+    rows = [(dt.datetime(1969, 12, 31), 5), (dt.datetime(1, 1, 2), 2 ** 62), (dt.datetime(9999, 1, 1), 0), (dt.datetime(1969, 12, 31), 4)]
+    df = spark.createDataFrame(rows, "ts timestamp, i bigint")
+    got = [(r.ts, r.i) for r in df.orderBy(arrival_key(df, Arrival(order=("ts", "i")))).collect()]
+    assert got == sorted(rows)
+
+
+def test_first_crossing_of_pruned_revisions(spark):
+    from edit_signals.operators import first_crossing, signal_revisions
+    rows = _random_rows(51, n=600, titles=3, late_p=0.2)
+    e = make_edits(spark, rows, bucket_ms=4_000)
+    tp, bp = TrendingParams(window=5, threshold=4), BotParams(window=10, ratio_threshold=0.6, min_volume=6)
+    every = first_crossing(signal_revisions(e, tp, bp, Arrival())).collect()
+    assert sorted(map(tuple, every), key=str) == sorted(
+        map(tuple, first_crossing(signal_revisions(e, tp, bp, Arrival(), first=True)).collect()), key=str) and len(every) > 5

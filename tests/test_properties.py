@@ -42,7 +42,7 @@ def test_lateness_and_revisions_match_replay(spark, rows):
     data = [(t, b, ev, i * 1000) for i, (t, b, ev) in enumerate(rows)]   # arrival order = list order
     e = make_edits(spark, data, bucket_ms=3000)
     late, trend, bot = replay(rows, 5 * MIN, 3, 0.5, 4)
-    assert [r.late for r in flag_late(e, 5, fanout=2, max_single_scan_windows=0)
+    assert [r.late for r in flag_late(e, 5, fanout=2)
             .orderBy("arrival_id").collect()] == late
     got_t = sorted((r.emitted.arrival_id, r.title, r.edit_count) for r in trending_revisions(e, tp, Arrival()).collect())
     assert got_t == sorted(trend)

@@ -76,7 +76,7 @@ def test_serving_store_and_recent(spark):
     log, recent = scratch_path(spark, "log"), scratch_path(spark, "recent")
     run_serving(spark, sig, log, recent, scratch_path(spark, "chk"), timeout_s=300)
     store = store_view(spark, log).collect()
-    assert len(store) == 1 and store[0].title in ("A", "B")      # same window: one overwrites the other
+    assert [r.title for r in store] == ["B"]      # same window: the later write overwrites the other
     assert store_view(spark, log, key="window_title").count() == 2
     assert sorted(r.title for r in recent_view(spark, recent).collect()) == ["A", "B"]
 
@@ -101,7 +101,7 @@ def test_recent_snapshots_are_retained_and_merged(spark):
     log, recent = scratch_path(spark, "log"), scratch_path(spark, "recent")
     for b in range(4):
         rows = [("TRENDING", f"T{b}-{i}", 5, None, None, None, at(0), at(5 * MIN)) for i in range(2)]
-        recs = encode_signals(spark.createDataFrame(rows, sig_ddl)).select("value")
+        recs = encode_signals(spark.createDataFrame(rows, sig_ddl)).select("value", F.lit(at(b)).alias("record_ts"))
         serve_batch(recs, b, log, recent, n=3)
     titles = [r.title for r in recent_view(spark, recent).orderBy(F.col("emitted").desc()).collect()]
     assert titles[0].startswith("T3") and len(titles) == 3 and titles[2].startswith("T2")
@@ -160,7 +160,7 @@ def test_store_compaction_keeps_latest_and_bounds_folders(spark):
     for b in range(5):
         rows = [("TRENDING", "A", 5 + b, None, None, None, at(0), at(5 * MIN)),
                 ("TRENDING", f"T{b}", 5, None, None, None, at(5 * MIN * b), at(5 * MIN * (b + 1)))]
-        recs = encode_signals(spark.createDataFrame(rows, sig_ddl)).select("value")
+        recs = encode_signals(spark.createDataFrame(rows, sig_ddl)).select("value", F.lit(at(b)).alias("record_ts"))
         serve_batch(recs, b, log, recent, n=3, compact_every=2)
     by_title = {(r.sk, r.title): r.editCount for r in store_view(spark, log, key="window_title").collect()}
     import datetime as _dt
@@ -171,3 +171,20 @@ def test_store_compaction_keeps_latest_and_bounds_folders(spark):
     logs = [d for d in os.listdir(local_path(log)) if d.startswith("batch_id=")]
     views = [d for d in os.listdir(local_path(log) + "_view") if d.startswith("upto=")]
     assert logs == ["batch_id=4"] and len(views) <= 2
+
+
+def test_store_takes_the_later_file_not_the_larger(spark):
+    """A one-row file first, a file of 2,000 rows later, for the same window and without record times."""
+    import time
+    from edit_signals.functions.codec import encode_signals as enc
+    ddl = ("signal_type string, title string, edit_count bigint, bot_edit_count bigint, total_edit_count bigint, "
+           "ratio double, window_start timestamp, window_end timestamp")
+    sig = scratch_path(spark, "sig")
+    for rows in ([("early", 5)], [(f"t{i}", 6) for i in range(1999)] + [("late", 9)]):
+        df = spark.createDataFrame([("TRENDING", t, n, None, None, None, at(0), at(5 * MIN)) for t, n in rows], ddl)
+        enc(df).select("value").coalesce(1).write.mode("append").parquet(sig)
+        time.sleep(1.1)
+    log, recent = scratch_path(spark, "log"), scratch_path(spark, "recent")
+    run_serving(spark, sig, log, recent, scratch_path(spark, "chk"), timeout_s=300)
+    assert [(r.title, r.editCount) for r in store_view(spark, log).collect()] == [("late", 9)]
+    assert "early" not in {r.title for r in recent_view(spark, recent).collect()}
