@@ -96,12 +96,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
        CASE WHEN page_id < last THEN last END AS refers_to FROM m""",
     "op8_linededup": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS at FROM d),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 c AS (SELECT key, count(DISTINCT r) AS n, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key),
 m AS (SELECT k.*, coalesce(c.n >= 5 AND c.holder IS DISTINCT FROM k.doc_id, false) AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id""",
 }
 
