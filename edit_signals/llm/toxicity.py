@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A
 short windows (a word, in pieces of at most ``WINDOW`` bytes, behind a lead-in both dictionaries
 know, so that a block is always compressed); a window's gain is its compressed length under the
 ordinary dictionary less that under the toxic one. A text's score comes from how many of its windows
-gain at least 3, 4, ... bytes. The thresholds and weights are calibrated on labelled documents that
+gain at least 2, 3, ... bytes, all windows and those that the toxic dictionary explains whole (their
+compressed length is the least there is). The thresholds and weights are calibrated on labelled documents that
 the dictionaries were not trained on, and the score is placed so that 0.7 is the calibrated cut.
 
 Dictionary content: the toxic one has the words over-represented in toxic text by log-likelihood
@@ -44,12 +45,13 @@ CALIBRATE_1_IN = 4  # share of the sample kept from the dictionaries for calibra
 DICTIONARY_BYTES = 4096
 ORDINARY_BYTES = 2048
 MIN_RATIO = 4.0  # how much likelier a dictionary word is in toxic text
-MIN_LLR = 10.0
+MIN_LLR = 12.0
 CANDIDATES = 4_000  # words of the statistics fetched to build a dictionary
 LEVEL = 19
 GRAM = 4
 WINDOW = 48
-GAINS = (3, 4, 5, 6, 7)  # bytes; counted separately
+GAINS = (2, 3, 4, 5, 6, 7)  # bytes; counted separately
+SLACK = 1  # bytes a window explained whole may be longer than the shortest one
 CUT = 0.7
 LEAD = bytes([*range(1, 9), 11, 12, *range(14, 28)])
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,6 +74,8 @@ class Scorer:
         text = model.toxic
         self.grams = {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
         self.words: dict[str, int] = {}
+        # the length of a window that is one word of the toxic dictionary: nothing shorter occurs
+        self.least = min((found[1] for w in text[len(LEAD):].split() if (found := self.lengths(w))), default=0)
 
     @staticmethod
     def _open(content: bytes) -> zstandard.ZstdCompressor:
@@ -82,25 +86,31 @@ class Scorer:
         dictionary.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
-    def gain(self, window: bytes) -> int:
+    def lengths(self, window: bytes) -> tuple[int, int] | None:
+        """Compressed length under the ordinary and the toxic dictionary; None if they cannot differ."""
         padded = b" %b " % window
         if not any(padded[i:i + GRAM] in self.grams for i in range(len(padded) - GRAM + 1)):
-            return 0
-        whole = LEAD + padded
-        return len(self.ordinary.compress(whole)) - len(self.toxic.compress(whole))
+            return None
+        return len(self.ordinary.compress(LEAD + padded)), len(self.toxic.compress(LEAD + padded))
 
     def packed(self, chunk: str) -> int:
-        """Number of windows of a chunk, and above it how many gain each of GAINS."""
+        """Number of windows of a chunk, and above it how many meet each threshold: a gain of each of
+        GAINS, then the same of windows the toxic dictionary explains whole."""
         total = 0
         for word in _WORD.findall(chunk):
             raw = word.encode()
             for at in range(0, len(raw), WINDOW):
-                gain = self.gain(raw[at:at + WINDOW])
-                total += 1 + sum(1 << _SHIFT * (k + 1) for k, g in enumerate(GAINS) if gain >= g)
+                total += 1
+                found = self.lengths(raw[at:at + WINDOW])
+                if found:
+                    gain, explained = found[0] - found[1], found[1] <= self.least + SLACK
+                    total += sum(1 << _SHIFT * (k + 1) for k, g in enumerate(GAINS) if gain >= g)
+                    if explained:
+                        total += sum(1 << _SHIFT * (k + 1) for k, g in enumerate(GAINS, len(GAINS)) if gain >= g)
         return total
 
     def counts(self, text: str) -> list[int]:
-        """Windows of a text, then those that gain each of GAINS."""
+        """Windows of a text, then those that meet each threshold."""
         chunks = text.lower().split()
         known = self.words
         if len(known) > CACHE_ENTRIES:
@@ -108,7 +118,7 @@ class Scorer:
         for c in set(chunks).difference(known):
             known[c] = self.packed(c)
         total = sum(map(known.__getitem__, chunks))
-        return [total >> _SHIFT * k & (1 << _SHIFT) - 1 for k in range(len(GAINS) + 1)]
+        return [total >> _SHIFT * k & (1 << _SHIFT) - 1 for k in range(2 * len(GAINS) + 1)]
 
 
 def features(counts: np.ndarray) -> np.ndarray:
