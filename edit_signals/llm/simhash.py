@@ -195,4 +195,5 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """
     found = near_duplicates(docs, words, bits)
     kept = land(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    # a shuffle join at every size: what stays grows with the documents, so it is not to be broadcast
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
