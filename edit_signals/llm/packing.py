@@ -25,13 +25,14 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CACHE_ENTRIES, is_plain, library, plain_chunks
+from .chunks import CACHE_ENTRIES, chunk_words, is_plain, library, plain_chunks, word_encoder
 from .common import land, map_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,9 +46,12 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(seen) > CACHE_ENTRIES:
         seen.clear()
     chunked = [plain_chunks(t) if is_plain(t) else None for t in texts]
-    fresh = list(dict.fromkeys(c for chunks in chunked if chunks for c in chunks if c not in seen))
-    for c, e in zip(fresh, lib.encode_batch(fresh, add_special_tokens=False), strict=True):
-        seen[c] = np.array(e.ids, "<u4").tobytes()
+    fresh = set(chain.from_iterable(c for c in chunked if c)).difference(seen)
+    mixed = {c: chunk_words(c) for c in fresh if not c.isalpha()}  # the others are words themselves
+    words = list(set(chain((c for c in fresh if c not in mixed), *mixed.values())).difference(seen))
+    seen.update(zip(words, word_encoder(path).encode(words), strict=True))
+    for c, ws in mixed.items():
+        seen[c] = b"".join(map(seen.__getitem__, ws))
     return [b"".join(map(seen.__getitem__, chunks)) if chunks is not None
             else np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             for t, chunks in zip(texts, chunked, strict=True)]

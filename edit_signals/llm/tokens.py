@@ -15,19 +15,17 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CACHE_ENTRIES, is_plain, library, plain_chunks, split_specials
+from .chunks import CACHE_ENTRIES, chunk_words, is_plain, library, plain_chunks, split_specials
 from .common import map_batches
 
 NO_PAIR = np.iinfo(np.int32).max
-# Pre-token pattern of the vocabulary file (fixed value).
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def byte_letters() -> list[str]:
@@ -114,17 +112,16 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
         seen.clear()
     chunked: list[list[str] | None] = []
     odd: list[tuple[int, int, list[bytes]]] = []
-    fresh: dict[str, None] = {}
     for i, text in enumerate(texts):
         if is_plain(text):
             chunks = plain_chunks(text)
             chunked.append(chunks)
-            fresh.update(dict.fromkeys(c for c in chunks if c not in seen))
         else:
             chunked.append(None)
             odd.append((i, *_odd_words(text, path, table)))
+    fresh = list(set(chain.from_iterable(c for c in chunked if c)).difference(seen))
     words: dict[bytes, int] = {}
-    parts = [[words.setdefault(w.encode(), len(words)) for w in PRE_TOKEN.findall(c)] for c in fresh]
+    parts = [[words.setdefault(w.encode(), len(words)) for w in chunk_words(c)] for c in fresh]
     odd_parts = [[words.setdefault(w, len(words)) for w in ws] for _, _, ws in odd]
     n = table.counts(list(words)).tolist()
     seen.update(zip(fresh, (sum(n[k] for k in p) for p in parts), strict=True))
