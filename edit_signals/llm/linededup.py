@@ -130,7 +130,8 @@ def _with_drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int) ->
     drops = land(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
                  .withColumnRenamed("doc_id", "_drop_id"), "drops")
     here = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    return docs.join(drops, here == drops["_drop_id"], "left").drop("_drop_id")
+    # a shuffle join at every size: the list grows with the documents, so it is not to be broadcast
+    return docs.join(drops.hint("merge"), here == drops["_drop_id"], "left").drop("_drop_id")
 
 
 def _kept(text: bytes, drops: list[dict] | None, min_chars: int) -> tuple[list[bytes], int]:
