@@ -28,6 +28,9 @@ def _arrival_key(df: DataFrame, arrival: Arrival):
 
 # Windows per block of the two-level suffix scan.
 FANOUT = 1024
+# Parts a window's rows are dealt to if the join back is a shuffle join (the per-window table, then
+# too large to broadcast, is copied so often), so that a busy window is not one task.
+SALTS = 8
 
 
 def first_arrivals(edits: DataFrame, width: int | str, arrival: Arrival, time_col: str = "event_time") -> DataFrame:
@@ -72,10 +75,12 @@ def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(),
     if arrival.order[0] == time_col:
         raise ValueError(f"arrival order {arrival.order} starts with the event time: nothing could be late")
     closing = closing_from_first(first_arrivals(edits, width, arrival, time_col), arrival, fanout=fanout)
+    closing = closing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     ws = F.window(F.col(time_col), window_duration(width)).start
-    tagged = edits.withColumn("_ws", ws).join(closing, [*arrival.partitions, "_ws"], "left")
+    salt = F.pmod(F.xxhash64(*arrival.order), F.lit(SALTS)).cast("int")
+    tagged = edits.withColumns({"_ws": ws, "_salt": salt}).join(closing, [*arrival.partitions, "_ws", "_salt"], "left")
     late = F.coalesce(F.col("_closed_by") <= _arrival_key(edits, arrival), F.lit(False))
-    return tagged.withColumn("late", late).drop("_ws", "_closed_by")
+    return tagged.withColumn("late", late).drop("_ws", "_salt", "_closed_by")
 
 
 def apply_late(edits: DataFrame, width: int | str, arrival: Arrival | None, late: str = "keep") -> DataFrame:
