@@ -3,9 +3,9 @@
 Writing: a record's block is an HTTP response whose payload is framed by chunked transfer coding.
 A block longer than ``segment_bytes`` is split: the first segment keeps the record's type, the
 others are ``continuation`` records with the origin's id and their segment number, the last one with
-the total length. Segments are records of their own and are spread over the files by hash, so no
-file and no task ever holds a whole very long page. Spark's text writer puts the records down as
-gzip files, with the record separator between them.
+the total length. Records are handed to Spark's text writer in bundles of about ``BUNDLE_BYTES``,
+``FILE_BUNDLES`` to a gzip file, with the record separator between them, so files stay small
+however long a page is.
 
 Reading: every file is parsed by Content-Length; continuation records are grouped by origin id and
 ordered by segment number, their total length is verified (a record that is not whole fails the
@@ -35,9 +35,11 @@ from .common import BATCH_BYTES, land, map_batches, text_bytes
 
 SEGMENT_BYTES = 256 << 10
 CHUNK_BYTES = 32 << 10
-FILE_BYTES = 16 << 20  # records written to one file, before compression
+BUNDLE_BYTES = 1 << 20  # records written as one row
+FILE_BUNDLES = 16  # rows written to one file
 NO_ID = -(1 << 63)
 _END = b"\r\n"
+_BETWEEN = b"\r\n\r\n"
 _RECORDS = "id string, origin string, segment int, total long, type string, page_id long, refers_to long, digest string, block binary"
 
 
@@ -122,7 +124,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
                 pid = None if page_id == NO_ID else page_id
                 out += record_segments(f"page:{pid}:{found}:{zlib.crc32((url or '').encode()):08x}", pid, url, "response",
                                        None, payload, found, segment_bytes)
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        return _bundles(out)
 
     def revisit(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -131,17 +133,29 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
             pid = None if page_id == NO_ID else page_id
             out += record_segments(f"page:{pid}:{found}:{zlib.crc32((url or '').encode()):08x}", pid, url, "revisit",
                                    owner_id, _Sized(size), found, segment_bytes)
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        return _bundles(out)
 
-    records = map_batches(stored.select("page_id", "url", "html", "_digest"), make, "record binary").union(
-        map_batches(revisits.select("page_id", "url", "digest", "size", "owner"), revisit, "record binary"))
+    records = map_batches(stored.select("page_id", "url", "html", "_digest"), make, "records binary").union(
+        map_batches(revisits.select("page_id", "url", "digest", "size", "owner"), revisit, "records binary"))
     if min_bytes > 0:
         small = html.where(F.octet_length("html") < min_bytes).withColumn("_digest", F.lit(None).cast("string"))
-        records = records.union(map_batches(small.select("page_id", "url", "html", "_digest"), make, "record binary"))
-    size = html.agg(F.sum(F.octet_length("html") + 1024)).first()[0] or 0
-    files = max(1, -(-size // FILE_BYTES))
-    (records.repartition(files, F.xxhash64("record")).select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path))
+        records = records.union(map_batches(small.select("page_id", "url", "html", "_digest"), make, "records binary"))
+    (records.select(F.col("records").cast("string").alias("value")).write.option("lineSep", _BETWEEN.decode())
+     .option("maxRecordsPerFile", FILE_BUNDLES).option("compression", "gzip").text(path))
+
+
+def _bundles(records: list[bytes]) -> pa.RecordBatch:
+    """Rows of neighbouring records, with the separator between them."""
+    rows: list[bytes] = []
+    held: list[bytes] = []
+    size = 0
+    for k, record in enumerate(records, 1):
+        held.append(record)
+        size += len(record)
+        if size >= BUNDLE_BYTES or k == len(records):
+            rows.append(_BETWEEN.join(held))
+            held, size = [], 0
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["records"])
 
 
 class _Sized(bytes):
