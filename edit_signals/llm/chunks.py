@@ -14,7 +14,7 @@ from functools import lru_cache
 import regex
 
 # Entries a worker keeps before it starts anew; bounds memory, not the result.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 # Characters outside this set send a text to the library: control characters, odd white space,
 # dotted capital I, combining marks, and scripts beyond extended Latin.

@@ -13,7 +13,7 @@ from ..session import scratch_path
 
 # Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1_000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

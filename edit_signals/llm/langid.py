@@ -36,7 +36,8 @@ STRETCH = 400
 OVERSAMPLE = 4  # stretches fetched for each one needed, as texts shorter than STRETCH give less
 WINDOW = 256
 SYMBOLS = 64
-PARSE_CHARS = 1 << 20  # characters parsed together
+PAST_END = 255
+PARSE_CHARS = 1 << 20  # characters parsed together; bounds a worker's arrays
 
 
 @dataclass
@@ -127,7 +128,7 @@ def _code_table(alphabet: dict[str, int]) -> np.ndarray:
     known = _tables.get(id(alphabet))
     if known is None or known[0] is not alphabet:
         top = max([32, *map(ord, alphabet)])
-        table = np.full(top + 2, SYMBOLS - 1, np.int64)  # the last entry stands for every code above
+        table = np.full(top + 2, SYMBOLS - 1, np.uint8)  # the last entry stands for every code above
         table[32] = 0
         for ch, k in alphabet.items():
             table[ord(ch)] = k
@@ -142,7 +143,7 @@ def phrases(texts: list[np.ndarray], model: Automata) -> np.ndarray:
     pieces, owner = [], []
     for k, s in enumerate(texts):
         n = -(-s.size // WINDOW)
-        padded = np.full(n * WINDOW, -1, np.int64)
+        padded = np.full(n * WINDOW, PAST_END, np.uint8)
         padded[:s.size] = s
         pieces.append(padded)
         owner.append(np.full(n, k))
@@ -159,14 +160,15 @@ def phrases(texts: list[np.ndarray], model: Automata) -> np.ndarray:
 
 
 def _parse(columns: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of every window; columns[i] has the i-th symbol of all windows, -1 past the end."""
+    """Phrases of every window; columns[i] has the i-th symbol of all windows."""
     flat, start = table.ravel(), table[0]
     state = np.zeros(columns.shape[1], np.int64)
     count = np.zeros(columns.shape[1], np.int64)
     for c in columns:
-        c0 = np.maximum(c, 0)
+        inside = c != PAST_END
+        c0 = np.where(inside, c, 0).astype(np.int64)
         to = flat[state * SYMBOLS + c0]
-        count += (c >= 0) & ((to < 0) | (state == 0))  # a phrase opens here
+        count += inside & ((to < 0) | (state == 0))  # a phrase opens here
         state = np.where(to >= 0, to, np.maximum(start[c0], 0))  # a symbol the language lacks is a phrase alone
     return count
 
@@ -185,11 +187,17 @@ def with_language(docs: DataFrame, model: Automata | None = None) -> DataFrame:
 
 def _judge(texts: list[str | None], model: Automata) -> list[tuple[str, float]]:
     out = [(UNKNOWN, 0.0)] * len(texts)
-    known = [k for k, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
-    symbols = [_symbols(texts[k], model.alphabet) for k in known]
-    for k, n, s in zip(known, phrases(symbols, model), symbols, strict=True):
-        best = int(n.argmin())
-        out[k] = model.languages[best], _score(n, best)
+    group: list[int] = []
+    size = 0
+    for k, t in enumerate(texts):
+        if t and model.languages and any(map(str.isalpha, t)):
+            group.append(k)
+            size += len(t)
+        if group and (size >= PARSE_CHARS or k == len(texts) - 1):
+            for i, n in zip(group, phrases([_symbols(texts[i], model.alphabet) for i in group], model), strict=True):
+                best = int(n.argmin())
+                out[i] = model.languages[best], _score(n, best)
+            group, size = [], 0
     return out
 
 
