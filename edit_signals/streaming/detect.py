@@ -20,7 +20,7 @@ from ..operators.signals import bot_anomaly_filter, to_bot_signal, to_trending_s
 from ..operators.windows import tumbling_bot_counts, tumbling_edit_counts
 from ..params import BotParams, TrendingParams
 from ..sinks import stream_records
-from ..sources.records import read_event_records, read_landed_edits, records_to_edits
+from ..sources.records import kafka_available, read_event_records, read_landed_edits, records_to_edits
 from .common import DETECTION_CONFS, await_done, session_confs, start, state_confs, write_batch_partition
 
 
@@ -75,6 +75,8 @@ def start_detection(spark: SparkSession, records_path: str, signals_path: str, c
     the topic ``signals_path`` in either mode, with ``sink_options`` for the connector.
     ``source_format="edits"`` reads the decoded edits landed by the ingest instead of
     the JSON records: column pruning, no JSON parsing."""
+    if sink_format == "kafka" and not kafka_available(spark):
+        raise RuntimeError("the Kafka connector is not on the classpath; write the signals as files")
     if max_files_per_trigger:
         source_options["maxFilesPerTrigger"] = max_files_per_trigger
     if source_format == "edits":
