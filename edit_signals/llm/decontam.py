@@ -3,9 +3,9 @@
 Numbers, names (capitalised words inside a sentence; words all in capitals are not) and units
 (after a number) become typed placeholders, everything else its lower-case word, so a question
 asked again with other parameters has the same template. Windows of ``WINDOW`` template words of the documents are hash-joined with
-those of the benchmark. Matches are gathered by alignment (document, item, shift), and the slots of
-an alignment must be consistent: every value of the item stands for one value in the document and
-the other way round. An item leaked if enough of its windows match in one consistent alignment.
+those of the benchmark. Matches are gathered by alignment (document, item, shift), and windows count
+as far as their slots are consistent (``_judged``): a value of the item stands for one value in the
+document, a name also the other way round. An item leaked if enough consistent windows match.
 
 The window table of the benchmark is broadcast only after its rows have been counted
 (``BROADCAST_ROWS``); beyond that both sides are shuffled by the window hash. The document ids that
@@ -99,7 +99,7 @@ def _needed(n: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (found), item_windows, n_changed (slots with another value).
 
-    The best consistent alignment of every document and item that leaked into it.
+    The alignment with most consistent windows of every document and item that leaked into it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select("item_id", "text")
@@ -114,24 +114,51 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.col("item_id").alias("_item"), slot_words(marked(F.col("text"))).alias("item_words"))
     rows = (enough.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
             .join(asked, F.col("item_id").eqNullSafe(F.col("_item"))))
-    slots = rows.select("doc_id", "item_id", "shift", "starts", "item_windows", _slot_pairs().alias("pairs"))
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = (values("a") == F.size("pairs")) & (values("b") == F.size("pairs"))
-    kept = slots.where(consistent).select(
-        "doc_id", "item_id", F.size("starts").cast("long").alias("n_windows"), "item_windows",
-        F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).cast("long").alias("n_changed"))
+    kept = _judged(rows).where(F.col("n_windows") >= _needed(F.col("item_windows")))
     best = F.max(F.struct("n_windows", (-F.col("n_changed")).alias("same"))).alias("best")
     return kept.groupBy("doc_id", "item_id", "item_windows").agg(best).select(
         "doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows", (-F.col("best.same")).alias("n_changed"))
 
 
-def _slot_pairs() -> Column:
-    """Distinct (item value, document value) of the slots in the windows found."""
+def _judged(rows: DataFrame) -> DataFrame:
+    """The alignments with ``n_windows`` and ``n_changed`` of their consistent part.
+
+    A number or unit of the item stands for one value, its own where that occurs, else the commonest;
+    two of them may stand for the same. Windows with another value are no evidence. A name that stands
+    for two names, or two that stand for one, makes the alignment suspect: then only windows that keep
+    all values of the item and do not touch such a name are evidence.
+    """
+    name = lambda p: p["a"].startswith(_NAME)
+    clash = lambda p: F.exists("names", lambda q: (q["a"] == p["a"]) != (q["b"] == p["b"]))
+    inside = lambda p, s: p["at"].between(s, s + (WINDOW - 1))
+
+    def stands_for(value: Column) -> Column:
+        same = F.filter("slots", lambda p: p["a"] == value)
+        count = lambda p: F.size(F.filter(same, lambda q: q["b"] == p["b"]))
+        return F.array_max(F.transform(same, lambda p: F.struct((p["b"] == value).alias("own"), count(p).alias("n"), p["b"].alias("b"))))["b"]
+
+    slots = rows.select("doc_id", "item_id", "starts", "item_windows", _slots().alias("slots"))
+    slots = slots.withColumn("names", F.array_distinct(F.transform(F.filter("slots", name), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))))
+    slots = slots.withColumn("suspect", F.exists("names", clash)).withColumn(
+        "values", F.array_distinct(F.transform(F.filter("slots", lambda p: ~name(p)), lambda p: p["a"])))
+    slots = slots.withColumn("stands", F.map_from_arrays("values", F.transform("values", stands_for)))
+    against = lambda p: (F.col("suspect") & (p["a"] != p["b"])) | F.when(
+        name(p), clash(p)).otherwise(F.element_at("stands", p["a"]) != p["b"])
+    parts = slots.withColumn("bad", F.filter("slots", against)).withColumn(
+        "good", F.filter("starts", lambda s: ~F.exists("bad", lambda p: inside(p, s))))
+    changed = F.filter("slots", lambda p: (p["a"] != p["b"]) & F.exists("good", lambda s: inside(p, s)))
+    return parts.select(
+        "doc_id", "item_id", "item_windows", F.size("good").cast("long").alias("n_windows"),
+        F.size(F.array_distinct(F.transform(changed, lambda p: F.struct(p["a"], p["b"])))).cast("long").alias("n_changed"))
+
+
+def _slots() -> Column:
+    """(at, item value, document value) of the slots in the windows found."""
     at = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
-    pairs = F.transform(at, lambda i: F.struct(F.get("item_words", i).alias("a"),
+    slots = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("item_words", i).alias("a"),
                                                F.get("doc_words", i + F.col("shift")).alias("b")))
     slot = lambda w: w.substr(1, 1).isin(_NUMBER, _NAME, _UNIT)
-    return F.array_distinct(F.filter(pairs, lambda p: slot(p["a"]) & slot(p["b"])))
+    return F.filter(slots, lambda p: slot(p["a"]) & slot(p["b"]))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

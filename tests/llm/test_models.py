@@ -272,6 +272,23 @@ def test_leaks_beyond_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in decontam.leaks(docs_frame(spark, rows), items).collect()} == brute_leaks(rows, ITEMS)
 
 
+def leaked(spark, items, rows):
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    return {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontam.leaks(docs_frame(spark, rows), frame).collect()}
+
+
+def test_leaks_with_an_edited_or_repeated_number(spark):
+    items = ["on the first day 12 people came to see the old house and then 12 people came back to it again in the evening",
+             "she put 5 apples and 3 pears into the basket and then walked all the way home along the river with her dog",
+             "my uncle Boris met your aunt Clara near the bridge and then my uncle Boris went home while she walked on to the harbour with her two small dogs"]
+    rows = [(0, items[0].replace("then 12", "then 13")), (1, items[1].replace("5 apples and 3", "7 apples and 7")),
+            (2, items[2].replace("uncle Boris went", "uncle Peter went")), (3, items[0].replace("12", "14"))]
+    got = leaked(spark, items, rows)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 0)}
+    assert got[0, 0][2] == got[2, 2][2] == 0 and got[1, 1][2] == 2 and got[3, 0][2] == 1
+    assert got[0, 0][0] < got[0, 0][1] and got[1, 1][0] == got[1, 1][1]
+
+
 def test_leaks_of_the_tables(spark):
     docs, items = (table(spark, SF, t).collect() for t in ("documents", "benchmark"))
     want = brute_leaks([(r.doc_id, r.text) for r in docs], [(r.item_id, r.text) for r in items])
