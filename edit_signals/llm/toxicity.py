@@ -18,7 +18,8 @@ Windows that share no ``GRAM``-byte string with the toxic dictionary are not com
 shortest match is that long here, so they cannot gain.
 
 Labelled rows are a bounded, documented sample: the ``SAMPLE_DOCS`` labelled documents of each class
-with the smallest hash. Scoring reads every whole text.
+with the smallest hash; in the calibration a sampled document counts as often as its class has
+labelled documents for each one sampled, so the cut does not depend on the sample's size. Scoring reads every whole text.
 
 Edge cases: null, empty and word-less texts score like a text without gains; without labels of both
 classes every score is 0; a document labelled more than once is toxic if any label says so; null
@@ -138,15 +139,18 @@ def _scorer(model: Model) -> Scorer:
     return _scorers[key]
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the bounded labelled sample outside the evaluation fold."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, text, toxic of the bounded labelled sample outside the evaluation fold, and how many
+    labelled documents one of the sample stands for in each class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(
         F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = land(known, "labels")
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS) for t in (0, 1)]
     ids = F.broadcast(land(parts[0].union(parts[1]), "label-sample"))  # at most 2 * SAMPLE_DOCS rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("_id"))
-    return land(rows.where(F.col("text").isNotNull()).select("doc_id", "text", "toxic"), "labelled")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands_for = {t: max(1.0, counts.get(t, 0) / SAMPLE_DOCS) for t in (0, 1)}
+    return land(rows.where(F.col("text").isNotNull()).select("doc_id", "text", "toxic"), "labelled"), stands_for
 
 
 def _calibration() -> F.Column:
@@ -182,7 +186,7 @@ def _dictionary(words: list[str], size: int) -> bytes:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    labelled = sample(docs, labels)
+    labelled, stands_for = sample(docs, labels)
     stats = land(word_statistics(labelled.where(~_calibration())), "words")
     a, b = stats.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not a or not b:
@@ -199,24 +203,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = np.array([r["counts"] for r in held], float).reshape(len(held), -1)
     truth = np.array([r["toxic"] for r in held], float)
     if truth.min(initial=1) < truth.max(initial=0):
-        model.weights, model.cut = calibrate(features(counts), truth)
+        model.weights, model.cut = calibrate(features(counts), truth, np.where(truth == 1, stands_for[1], stands_for[0]))
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic weights by Newton steps, and the linear score with the best F1."""
+def calibrate(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic weights by Newton steps, and the linear score with the best F1; row i counts ``times[i]`` times."""
+    times = np.ones(len(y)) if times is None else times
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (times * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     z = x @ w
     order = np.argsort(-z, kind="stable")
-    right = np.cumsum(y[order])
-    f1 = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+    right = np.cumsum((times * y)[order])
+    f1 = 2 * right / (np.cumsum(times[order]) + (times * y).sum())
     f1[:-1][np.diff(z[order]) == 0] = 0  # a cut lies between different scores
     best = int(f1.argmax())
     below = z[order][best + 1:best + 2]

@@ -130,6 +130,31 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score_documents(docs_frame(spark, []), labels).collect() == []
 
 
+def test_toxicity_cut_keeps_the_class_mix():
+    """A sample capped per class, weighted to the true mix, gives the cut of all rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, 18_000), rng.normal(1.5, 1, 2_000)])[:, None]
+    y = np.repeat([0.0, 1.0], [18_000, 2_000])
+    some = np.r_[rng.choice(18_000, 2_000, replace=False), 18_000:20_000]
+
+    def share_right(found):
+        w, cut = found
+        return y[x[:, 0] * w[0] + w[1] >= cut].mean()
+
+    whole = share_right(toxicity.calibrate(x, y))
+    assert abs(share_right(toxicity.calibrate(x[some], y[some], np.where(y[some] == 1, 1, 9))) - whole) < 0.06
+    assert share_right(toxicity.calibrate(x[some], y[some])) < whole - 0.1
+
+
+def test_toxicity_sample_counts_the_classes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 20)
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1_000)], "doc_id long, toxic int")
+    labelled, stands_for = toxicity.sample(docs_frame(spark, [(k, "text") for k in range(1_000)]), labels)
+    outside = [k for k in range(1_000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    n = sum(k % 10 == 0 for k in outside)
+    assert labelled.count() == 40 and stands_for == {0: (len(outside) - n) / 20, 1: n / 20}
+
+
 # -- top-k ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [7, 4096])
