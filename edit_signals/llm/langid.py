@@ -10,7 +10,7 @@ column: all texts are laid out as windows of ``WINDOW`` characters and advance o
 together, in every language. Each window starts a phrase of its own, alike for every language.
 
 Labelled text is a bounded, documented sample: about ``SAMPLE_CHARS`` characters over all languages
-in equal shares, taken as one stretch of ``STRETCH`` characters each of documents chosen by hash (at
+in equal shares, taken as one stretch of ``STRETCH`` characters each of distinct texts chosen by hash (at
 most ``2 * OVERSAMPLE`` times what is needed is fetched). Its size bounds the tables sent to the
 executors. Classification reads whole texts.
 
@@ -86,15 +86,17 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
 def train(docs: DataFrame) -> Automata:
     """Automata of the labelled rows outside the evaluation fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashes = labelled.select("lang", F.xxhash64("text").alias("h"))  # copies have one hash and are drawn once
+    rows = {r["lang"]: r for r in hashes.groupBy("lang").agg(F.countDistinct("h").alias("n"), F.min("h").alias("first")).collect()}
     if not rows:
         return Automata([], {}, [])
     share = max(STRETCH, SAMPLE_CHARS // len(rows))
     want = OVERSAMPLE * -(-share // STRETCH)  # stretches a language is expected to get
-    rate = F.create_map(*[x for lang, n in rows.items() for x in (F.lit(lang), F.lit(min(1.0, want / n)))])
+    rate = F.create_map(*[x for lang, r in rows.items() for x in (F.lit(lang), F.lit(min(1.0, want / r["n"])))])
+    first = F.create_map(*[x for lang, r in rows.items() for x in (F.lit(lang), F.lit(r["first"]).cast("long"))])
     place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1)
     picked = labelled.withColumn("h", F.xxhash64("text")).where(
-        F.pmod("h", F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
+        (F.pmod("h", F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)) | (F.col("h") == first[F.col("lang")]))  # no language is left out
     parts = picked.select("lang", "h", F.substr("text", (place + 1).cast("int"), F.lit(STRETCH)).alias("part")).distinct()
     sample: dict[str, str] = {}
     for r in parts.orderBy("h", "part", "lang").limit(2 * want * len(rows)).collect():

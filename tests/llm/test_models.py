@@ -87,6 +87,16 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in blind} == {"und"}
 
 
+def test_language_sample_counts_copies_once(spark):
+    rng = random.Random(8)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(100))
+    rows = [(k, "abcde fghij " * 40, "fr", 1, "k") for k in range(20_000)]
+    rows += [(50_000 + k, text("klmno"), "fr", 1, "k") for k in range(300)] + [(60_000 + k, text("pqrst"), "de", 1, "k") for k in range(300)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    sizes = [len(t) for t in model.tables]
+    assert model.languages == ["de", "fr"] and min(sizes) > 0.8 * max(sizes)
+
+
 # -- toxicity ------------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
