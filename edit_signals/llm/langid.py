@@ -5,8 +5,9 @@ the longest stretch that occurs in that labelled text (the automaton is followed
 transition, which ends the phrase). The text comes from the language that needs fewest phrases per
 character; related text is parsed into few long phrases, foreign text into many short ones.
 
-The automata are dense transition tables (state x symbol), so a batch of texts is parsed column by
-column: all texts are laid out as windows of ``WINDOW`` characters and advance one character
+The automata are transition tables, dense (state x symbol) for the commonest characters of the
+sample and a sorted list of (state, symbol) keys for all its other ones, so that no sampled
+character is merged with another. A batch of texts is parsed column by column: all texts are laid out as windows of ``WINDOW`` characters and advance one character
 together, in every language. Each window starts a phrase of its own, alike for every language.
 
 Labelled text is a bounded, documented sample: about ``SAMPLE_CHARS`` characters over all languages
@@ -22,7 +23,7 @@ judged each on its own; null labels are not learned from; extra columns are igno
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ STRETCH = 400
 OVERSAMPLE = 4  # stretches fetched for each one needed, as texts shorter than STRETCH give less
 WINDOW = 256
 SYMBOLS = 64
-PAST_END = 255
+PAST_END = -1
 PARSE_CHARS = 1 << 20  # characters parsed together; bounds a worker's arrays
 
 
@@ -45,12 +46,17 @@ class Automata:
     """One suffix automaton per language, as tables over a shared alphabet."""
 
     languages: list[str]
-    alphabet: dict[str, int]  # symbol 0: white space, the last symbol: any character not listed
-    tables: list[np.ndarray]
+    alphabet: dict[str, int]  # symbol 0: white space, SYMBOLS - 1: any character not listed, from SYMBOLS on: rare ones
+    tables: list[np.ndarray]  # dense, of the symbols below SYMBOLS
+    rare: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys and targets of the other symbols
 
 
 def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     """Transitions of the suffix automaton of a symbol sequence; -1 where there is none."""
+    return _dense(_transitions(symbols), width)
+
+
+def _transitions(symbols: list[int]) -> list[dict[int, int]]:
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -76,13 +82,28 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return nxt
+
+
+def _dense(nxt: list[dict[int, int]], width: int) -> np.ndarray:
     table = np.full((len(nxt), width), -1, np.int32)
     for state, moves in enumerate(nxt):
         for c, to in moves.items():
-            table[state, c] = to
+            if c < width:
+                table[state, c] = to
     return table
 
 
+def _sparse(nxt: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and targets of the transitions on symbols from ``width`` on, by key."""
+    moves = sorted((_key(state, c), to) for state, found in enumerate(nxt) for c, to in found.items() if c >= width)
+    return np.array([k for k, _ in moves], np.int64), np.array([to for _, to in moves], np.int64)
+
+
+def _key(state, symbol):  # noqa: ANN001, ANN202 - numbers or arrays
+    return (state << 32) + symbol
+
+
 def train(docs: DataFrame) -> Automata:
     """Automata of the labelled rows outside the evaluation fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
@@ -108,11 +129,14 @@ def train(docs: DataFrame) -> Automata:
         for ch in text:
             if not ch.isspace():
                 counts[ch] = counts.get(ch, 0) + 1
-    common = sorted(counts, key=lambda ch: (-counts[ch], ch))[:SYMBOLS - 2]
-    alphabet = {ch: k + 1 for k, ch in enumerate(sorted(common))}
+    ranked = sorted(counts, key=lambda ch: (-counts[ch], ch))
+    alphabet = {ch: k + 1 for k, ch in enumerate(sorted(ranked[:SYMBOLS - 2]))}
+    alphabet |= {ch: k + SYMBOLS for k, ch in enumerate(sorted(ranked[SYMBOLS - 2:]))}
     model = Automata(sorted(sample), alphabet, [])
     for lang in model.languages:
-        model.tables.append(suffix_automaton(_symbols(sample[lang], alphabet).tolist(), SYMBOLS))
+        moves = _transitions(_symbols(sample[lang], alphabet).tolist())
+        model.tables.append(_dense(moves, SYMBOLS))
+        model.rare.append(_sparse(moves, SYMBOLS))
     return model
 
 
@@ -130,7 +154,7 @@ def _code_table(alphabet: dict[str, int]) -> np.ndarray:
     known = _tables.get(id(alphabet))
     if known is None or known[0] is not alphabet:
         top = max([32, *map(ord, alphabet)])
-        table = np.full(top + 2, SYMBOLS - 1, np.uint8)  # the last entry stands for every code above
+        table = np.full(top + 2, SYMBOLS - 1, np.int32)  # the last entry stands for every code above
         table[32] = 0
         for ch, k in alphabet.items():
             table[ord(ch)] = k
@@ -145,7 +169,7 @@ def phrases(texts: list[np.ndarray], model: Automata) -> np.ndarray:
     pieces, owner = [], []
     for k, s in enumerate(texts):
         n = -(-s.size // WINDOW)
-        padded = np.full(n * WINDOW, PAST_END, np.uint8)
+        padded = np.full(n * WINDOW, PAST_END, np.int32)
         padded[:s.size] = s
         pieces.append(padded)
         owner.append(np.full(n, k))
@@ -156,25 +180,38 @@ def phrases(texts: list[np.ndarray], model: Automata) -> np.ndarray:
     for at in range(0, of.size, PARSE_CHARS // WINDOW):
         part, text = grid[at:at + PARSE_CHARS // WINDOW], of[at:at + PARSE_CHARS // WINDOW]
         columns = np.ascontiguousarray(part.T)
+        listed = [np.flatnonzero(c >= SYMBOLS) for c in columns]
         for lang, table in enumerate(model.tables):
-            np.add.at(out[:, lang], text, _parse(columns, table))
+            rare = model.rare[lang] if model.rare else (np.zeros(0, np.int64),) * 2
+            np.add.at(out[:, lang], text, _parse(columns, listed, table, rare))
     return out
 
 
-def _parse(columns: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of every window; columns[i] has the i-th symbol of all windows."""
+def _parse(columns: np.ndarray, listed: list[np.ndarray], table: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Phrases of every window; columns[i] has the i-th symbol of all windows, listed[i] where it is a rare one."""
     flat, start = table.ravel(), table[0]
     state = np.zeros(columns.shape[1], np.int64)
     count = np.zeros(columns.shape[1], np.int64)
-    for c in columns:
+    for c, at in zip(columns, listed, strict=True):
         inside = c != PAST_END
-        c0 = np.where(inside, c, 0).astype(np.int64)
-        to = flat[state * SYMBOLS + c0]
+        c0 = np.clip(c, 0, SYMBOLS - 1).astype(np.int64)
+        to, first = flat[state * SYMBOLS + c0], start[c0]
+        if at.size:
+            to[at], first[at] = _look_up(rare, state[at], c[at]), _look_up(rare, 0, c[at])
         count += inside & ((to < 0) | (state == 0))  # a phrase opens here
-        state = np.where(to >= 0, to, np.maximum(start[c0], 0))  # a symbol the language lacks is a phrase alone
+        state = np.where(to >= 0, to, np.maximum(first, 0))  # a symbol the language lacks is a phrase alone
     return count
 
 
+def _look_up(rare: tuple[np.ndarray, np.ndarray], state, symbols: np.ndarray) -> np.ndarray:  # noqa: ANN001 - number or array
+    keys, targets = rare
+    if not keys.size:
+        return np.full(symbols.size, -1)
+    wanted = _key(state, symbols.astype(np.int64))
+    place = np.minimum(np.searchsorted(keys, wanted), keys.size - 1)
+    return np.where(keys[place] == wanted, targets[place], -1)
+
+
 def with_language(docs: DataFrame, model: Automata | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1, how clearly the language wins)."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)

@@ -97,6 +97,19 @@ def test_language_sample_counts_copies_once(spark):
     assert model.languages == ["de", "fr"] and min(sizes) > 0.8 * max(sizes)
 
 
+def test_language_of_many_scripts(spark):
+    rng = random.Random(9)
+    letters = {"ar": range(0x627, 0x64B), "el": range(0x3B1, 0x3CA), "en": range(97, 123), "he": range(0x5D0, 0x5EB), "hi": range(0x915, 0x93A),
+               "ja": range(0x3041, 0x3097), "ko": range(0xAC00, 0xAE00), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x5000)}
+    words = {lang: ["".join(chr(rng.choice(codes)) for _ in range(4)) for _ in range(300)] for lang, codes in letters.items()}
+    rows = [(100 * k + n, " ".join(rng.choices(words[lang], k=60)), lang, 1, "k") for k, lang in enumerate(letters) for n in range(60)]
+    frame = spark.createDataFrame(rows, DOCS)
+    model = langid.train(frame)
+    assert set("".join(w for found in words.values() for w in found)) >= set(model.alphabet) and len(set(model.alphabet.values())) > 500
+    truth = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == truth[r.doc_id] and r.score > 0.99 for r in langid.identify(frame, model).collect())
+
+
 # -- toxicity ------------------------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
