@@ -11,8 +11,10 @@ The window table of the benchmark is broadcast only after its rows have been cou
 (``BROADCAST_ROWS``); beyond that both sides are shuffled by the window hash. The document ids that
 matched at all are treated the same way for the second look at their texts.
 
-Edge cases: null and empty texts, and items of fewer than ``WINDOW`` words or with fewer than
-``LITERALS`` plain words in every window, never match; repeated items each match; rows that share a
+Items too short for that, or with too few windows of ``LITERALS`` plain words, are found as whole
+verbatim copies (``_verbatim``), however short they are.
+
+Edge cases: null texts and texts without a word never match; repeated items each match; rows that share a
 doc_id are reported under that id once; a null doc_id or item_id is a group like any other;
 extra columns are ignored by ``leaks`` and kept by ``drop_leaks``; empty tables give no leak.
 """
@@ -115,11 +117,66 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = (enough.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")))
             .join(asked, F.col("item_id").eqNullSafe(F.col("_item"))))
     kept = _judged(rows).where(F.col("n_windows") >= _needed(F.col("item_windows")))
+    whole = _verbatim(docs, items, sizes)
+    if whole is not None:
+        kept = kept.unionByName(whole)
     best = F.max(F.struct("n_windows", (-F.col("n_changed")).alias("same"))).alias("best")
     return kept.groupBy("doc_id", "item_id", "item_windows").agg(best).select(
         "doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows", (-F.col("best.same")).alias("n_changed"))
 
 
+def literal_words(text: Column) -> Column:
+    """Lower-case words of a text, slots with their values, without empty ones."""
+    return F.filter(F.split(F.lower(F.translate(marked(text), _NUMBER + _NAME + _UNIT, "")), _SEPARATOR), lambda w: F.length(w) > 0)
+
+
+def _verbatim(docs: DataFrame, items: DataFrame, sizes: DataFrame) -> DataFrame | None:
+    """Whole copies of the items whose windows could miss one; None without such items.
+
+    What stands around a copy changes how its first and last word are read, so only the windows
+    between them are sure to be found. Items that need more than those are looked up by their
+    literal words: by a hash of the first ones (at most ``WINDOW``), then word by word.
+    """
+    read = items.where(F.col("text").isNotNull()).select("item_id", literal_words(F.col("text")).alias("item_words"), F.size(
+        template_words(marked(F.col("text")))).alias("n"), (F.substring(marked(F.col("text")), 1, 1).rlike(_SEPARATOR)).cast("int").alias("lead"))
+    read = read.where(F.size("item_words") > 0).distinct()
+    inner = _item_windows(items).withColumnRenamed("item_id", "_item").join(
+        read, F.col("item_id").eqNullSafe(F.col("_item"))).where(
+        (F.col("at") > F.col("lead")) & (F.col("at") + WINDOW < F.col("lead") + F.size("item_words"))).groupBy("_item").agg(
+        F.countDistinct("at").alias("inner"))
+    sized = sizes.withColumnRenamed("item_id", "_sized")
+    unsure = read.join(sized, F.col("item_id").eqNullSafe(F.col("_sized")), "left").join(
+        inner, F.col("item_id").eqNullSafe(F.col("_item")), "left").where(
+        F.coalesce("inner", F.lit(0)) < F.coalesce(_needed(F.col("item_windows")), F.lit(1)))
+    first = F.least(F.size("item_words"), F.lit(WINDOW))
+    unsure = land(unsure.select("item_id", "item_words", F.coalesce("item_windows", F.lit(1)).cast("long").alias("item_windows"),
+                                first.alias("first"), _run_hash("item_words", F.lit(0), first).alias("hash")), "whole-items")
+    lengths = [r["first"] for r in unsure.select("first").distinct().collect()]  # at most WINDOW
+    if not lengths:
+        return None
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_id"), literal_words(F.col("text")).alias("words"))
+
+    def runs_of(k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size("words") - k),
+                           lambda i: F.struct(i.alias("at"), _run_hash("words", i, F.lit(k)).alias("hash")))
+        return F.when(F.size("words") >= k, runs).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+
+    runs = F.flatten(F.array(*map(runs_of, lengths)))
+    near = texts.select("doc_id", "text_id", F.explode(runs).alias("run")).select("doc_id", "text_id", "run.at", "run.hash")
+    keys = unsure.select("hash", F.col("item_words").alias("whole"), "item_id", "item_windows")
+    near = land(near.join(_bounded(keys), "hash").select("doc_id", "text_id", "at", "item_id", "item_windows", "whole").distinct(), "whole-copies")
+    ids = _bounded(near.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))
+    look = texts.join(ids, same, "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "words").distinct()
+    found = near.join(look, same).where(F.slice("words", F.col("at") + 1, F.size("whole")) == F.col("whole"))
+    return found.select("doc_id", "item_id", "item_windows", F.col("item_windows").alias("n_windows"), F.lit(0).cast("long").alias("n_changed")).distinct()
+
+
+def _run_hash(words: str, at: Column, n: Column) -> Column:
+    """Hash of ``n`` words from ``at`` on."""
+    return F.xxhash64(F.slice(words, at + 1, n))
+
+
 def _judged(rows: DataFrame) -> DataFrame:
     """The alignments with ``n_windows`` and ``n_changed`` of their consistent part.
 

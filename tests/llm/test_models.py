@@ -337,6 +337,15 @@ def test_leaks_with_an_edited_or_repeated_number(spark):
     assert got[0, 0][0] < got[0, 0][1] and got[1, 1][0] == got[1, 1][1]
 
 
+def test_leaks_of_short_items(spark):
+    items = ["Which planet is closest to the sun?", "What is the largest river in all Europe?", "Add 3 kg, 5 kg, 7 kg, 9 kg, 11 kg, 13 kg, 15 kg and 17kg",
+             '"Paris" or Rome?', "", "?!", None]
+    rows = [(0, f"so I asked him {items[0]} and he knew"), (1, f"we asked this {items[1]} and so on"), (2, f"Task one: {items[2]}; done"), (3, "paris or rome"),
+            (4, "Which planet is closest to the moon?"), (5, items[2].replace("9", "8")), (6, "?!"), (7, "paris or romeo"), (None, items[0])]
+    got = leaked(spark, items, rows)
+    assert {k: v[2] for k, v in got.items()} == {(0, 0): 0, (1, 1): 0, (2, 2): 0, (3, 3): 0, (None, 0): 0}
+
+
 def test_leaks_of_the_tables(spark):
     docs, items = (table(spark, SF, t).collect() for t in ("documents", "benchmark"))
     want = brute_leaks([(r.doc_id, r.text) for r in docs], [(r.item_id, r.text) for r in items])
