@@ -4,19 +4,23 @@ A record is late iff the end of its window is <= the highest event time seen so
 arrival order (within its stream-time scope, ``Arrival.partitions``).
 
 Equivalently: a record r is late iff some record s in a *later* window of the same scope
-arrived before r. So per (scope, window) we only need the first arrival of any record in
-a later window - a suffix-min over the small per-window table - and one comparison per
-row. Work: one partial aggregate over the events (no ordering, no hot task), a two-level
-suffix scan over #windows rows, and a join back whose kind AQE chooses. No cache, no job at
-plan-build time, no global sort and no single-task running max over all events.
+arrived before r. So it is enough to know, per window, the first arrival of any record in a later one.
+
+Time is cut into panes, whose width divides the widths of all windows in question (their greatest common
+divisor). One partial aggregate gives the first arrival per pane; a suffix minimum over the panes gives
+the closing arrival of every window of every width; one join brings them back to the rows. So the
+lateness of both detectors costs one extra scan of two or three columns, no ordering of the rows, no job at
+plan-build time, and a table of the size of the panes. AQE chooses the join and splits a busy pane if it shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import Arrival, window_duration
+from ..params import Arrival, window_micros
 from .arrival import arrival_key, arrival_struct, split_key
 
 
@@ -26,61 +30,92 @@ def _arrival_key(df: DataFrame, arrival: Arrival):
     return arrival_struct(arrival) if key is None else key
 
 
-# Windows per block of the two-level suffix scan.
+# Panes per block of the suffix minimum.
 FANOUT = 1024
-# Parts a window's rows are dealt to if the join back is a shuffle join (the per-window table, then
-# too large to broadcast, is copied so often), so that a busy window is not one task.
-SALTS = 8
+
+
+def pane_micros(*widths: int | str) -> int:
+    """Width of the panes that windows of all these widths are made of."""
+    return math.gcd(*[window_micros(w) for w in widths])
+
+
+def pane_start(width_us: int, time_col: str = "event_time") -> Column:
+    """Start (epoch microseconds) of the pane or window of ``width_us`` that holds a time; null for none."""
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    return us - F.pmod(us, F.lit(width_us))
 
 
 def first_arrivals(edits: DataFrame, width: int | str, arrival: Arrival, time_col: str = "event_time") -> DataFrame:
-    """Per (scope, window): ``_first`` = earliest arrival of its records.
+    """Per (scope, window): ``_first`` = earliest arrival of its records; ``_ws`` and ``_we`` are its bounds."""
+    us = window_micros(width)
+    return pane_firsts(edits, us, arrival, time_col).select(
+        *arrival.partitions, F.timestamp_micros("_pane").alias("_ws"),
+        F.timestamp_micros(F.col("_pane") + F.lit(us)).alias("_we"), "_first")
+
+
+def pane_firsts(edits: DataFrame, pane_us: int, arrival: Arrival, time_col: str = "event_time") -> DataFrame:
+    """Per (scope, pane): ``_first`` = earliest arrival of its records.
 
     A hash aggregate with a partial step. An order too wide to pack is reduced in two steps:
-    per (scope, window, ``arrival.split``) on the columns that do pack, then over that small table.
+    per (scope, pane, ``arrival.split``) on the columns that do pack, then over that small table.
     """
-    w = F.window(F.col(time_col), window_duration(width))
-    window = [w.start.alias("_ws"), w.end.alias("_we")]
+    pane = pane_start(pane_us, time_col).alias("_pane")
+    edits = edits.filter(F.col(time_col).isNotNull())
     packed, rest = split_key(edits, arrival)
     if packed is None or not rest:
-        return edits.groupBy(*arrival.partitions, *window).agg(F.min(_arrival_key(edits, arrival)).alias("_first"))
-    firsts = edits.groupBy(*arrival.partitions, *window, *arrival.split).agg(
+        return edits.groupBy(*arrival.partitions, pane).agg(F.min(_arrival_key(edits, arrival)).alias("_first"))
+    firsts = edits.groupBy(*arrival.partitions, pane, *arrival.split).agg(
         *[F.min_by(F.col(c), packed).alias(c) for c in rest])
-    return firsts.groupBy(*arrival.partitions, "_ws", "_we").agg(F.min(arrival_struct(arrival)).alias("_first"))
-
-
-def closing_from_first(per_window: DataFrame, arrival: Arrival, fanout: int = FANOUT) -> DataFrame:
-    """Per (scope, window_start): ``_closed_by`` = earliest arrival among later windows.
-
-    Two levels: inside blocks of ``fanout`` consecutive windows, and over the blocks, so no
-    task sees more than ``fanout`` windows or #windows / fanout blocks of one scope."""
-    width_us = F.unix_micros("_we") - F.unix_micros("_ws")
-    per_window = per_window.withColumn("_blk", F.floor(F.unix_micros("_ws") / (width_us * F.lit(fanout))))
-    later_blocks = (Window.partitionBy(*arrival.partitions).orderBy(F.col("_blk").desc())
-                    .rowsBetween(Window.unboundedPreceding, -1))
-    blocks = (per_window.groupBy(*arrival.partitions, "_blk").agg(F.min("_first").alias("_bfirst"))
-              .select(*arrival.partitions, "_blk", F.min("_bfirst").over(later_blocks).alias("_bclosed")))
-    later_in_block = (Window.partitionBy(*arrival.partitions, "_blk").orderBy(F.col("_ws").desc())
-                      .rowsBetween(Window.unboundedPreceding, -1))
-    local = per_window.select(*arrival.partitions, "_ws", "_blk",
-                              F.min("_first").over(later_in_block).alias("_lclosed"))
-    return (local.join(blocks, [*arrival.partitions, "_blk"], "inner")
-            .select(*arrival.partitions, "_ws", F.least("_lclosed", "_bclosed").alias("_closed_by")))
+    return firsts.groupBy(*arrival.partitions, "_pane").agg(F.min(arrival_struct(arrival)).alias("_first"))
+
+
+def closing_arrivals(firsts: DataFrame, pane_us: int, widths: dict[str, int], scope: tuple[str, ...] = (),
+                     fanout: int = FANOUT) -> DataFrame:
+    """Per (scope, pane): for every width (microseconds) the earliest arrival among later windows, null
+    if there is none.
+
+    A row per block of ``fanout`` panes holds them sorted; their suffix minimum is folded over that
+    array, and a window over the blocks of a scope adds what comes after the block."""
+    block = F.col("_pane") - F.pmod("_pane", F.lit(pane_us * fanout))
+    after = Window.partitionBy(*scope).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (firsts.groupBy(*scope, block.alias("_block"))
+              .agg(F.sort_array(F.collect_list(F.struct("_pane", "_first")), asc=False).alias("_panes"))
+              .withColumn("_after", F.min(F.array_min(F.col("_panes._first"))).over(after)))
+    kind = firsts.schema["_first"].dataType.simpleString()
+    later = F.aggregate(
+        "_panes", F.struct(F.col("_after").alias("least"), F.array().cast(f"array<struct<_pane:bigint,_later:{kind}>>").alias("done")),
+        lambda acc, x: F.struct(
+            F.least(acc["least"], x["_first"]).alias("least"),
+            F.concat(acc["done"], F.array(F.struct(x["_pane"].alias("_pane"), acc["least"].alias("_later")))).alias("done")),
+        lambda acc: acc["done"])
+    panes = blocks.select(*scope, F.explode(later).alias("_p")).select(*scope, "_p._pane", "_p._later")
+    for name, us in widths.items():
+        if us == pane_us:
+            closed = F.col("_later")
+        else:  # nothing of the window comes after its last pane
+            closed = F.max_by("_later", "_pane").over(Window.partitionBy(*scope, F.col("_pane") - F.pmod("_pane", F.lit(us))))
+        panes = panes.withColumn(name, closed)
+    return panes.drop("_later")
+
+
+def flag_late_by(edits: DataFrame, widths: dict[str, int | str], arrival: Arrival = Arrival(), time_col: str = "event_time",
+                 fanout: int = FANOUT) -> DataFrame:
+    """Adds a boolean column per entry of ``widths`` (column: window width). Lazy: nothing is cached and no job runs
+    here; AQE picks the join back from the size the pane table turns out to have."""
+    if arrival.order[0] == time_col:
+        raise ValueError(f"arrival order {arrival.order} starts with the event time: nothing could be late")
+    pane_us = pane_micros(*widths.values())
+    by_width = {f"_closed_{name}": window_micros(w) for name, w in widths.items()}
+    closing = closing_arrivals(pane_firsts(edits, pane_us, arrival, time_col), pane_us, by_width, arrival.partitions, fanout)
+    tagged = edits.withColumn("_pane", pane_start(pane_us, time_col)).join(closing, [*arrival.partitions, "_pane"], "left")
+    late = {name: F.coalesce(F.col(f"_closed_{name}") <= _arrival_key(edits, arrival), F.lit(False)) for name in widths}
+    return tagged.withColumns(late).drop("_pane", *by_width)
 
 
 def flag_late(edits: DataFrame, width: int | str, arrival: Arrival = Arrival(), time_col: str = "event_time",
               fanout: int = FANOUT) -> DataFrame:
-    """Adds boolean ``late``. Lazy: nothing is cached and no job runs here; AQE picks the join
-    back from the size the per-window table turns out to have."""
-    if arrival.order[0] == time_col:
-        raise ValueError(f"arrival order {arrival.order} starts with the event time: nothing could be late")
-    closing = closing_from_first(first_arrivals(edits, width, arrival, time_col), arrival, fanout=fanout)
-    closing = closing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ws = F.window(F.col(time_col), window_duration(width)).start
-    salt = F.pmod(F.xxhash64(*arrival.order), F.lit(SALTS)).cast("int")
-    tagged = edits.withColumns({"_ws": ws, "_salt": salt}).join(closing, [*arrival.partitions, "_ws", "_salt"], "left")
-    late = F.coalesce(F.col("_closed_by") <= _arrival_key(edits, arrival), F.lit(False))
-    return tagged.withColumn("late", late).drop("_ws", "_salt", "_closed_by")
+    """Adds boolean ``late`` for windows of one width."""
+    return flag_late_by(edits, {"late": width}, arrival, time_col, fanout)
 
 
 def apply_late(edits: DataFrame, width: int | str, arrival: Arrival | None, late: str = "keep") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, Arrival, BotParams, TrendingParams, window_duration
 from .arrival import arrival_key, arrival_struct, split_key
-from .lateness import apply_late, flag_late
+from .lateness import apply_late, flag_late_by
 from .windows import bot_ratio, is_bot, tumbling_bot_counts, tumbling_edit_counts
 
 
@@ -152,13 +152,12 @@ def shared_detect(edits: DataFrame, trending: TrendingParams = TrendingParams(),
     by title) and its bot window (no key), one hash aggregate counts both, and one
     projection emits the wide signal row of either kind. Halves the scan I/O of running
     the two branches separately; a busy window is still pre-aggregated map-side.
-    ``late="drop"``: each branch's zero-grace lateness (its own width) is a join with a
-    small table on the same scan, and a row is dropped only from the branch that rejects it."""
+    ``late="drop"``: the lateness of both widths comes from one pane table (one more scan, of the
+    times only) joined on the same scan, and a row is dropped only from the branch that rejects it."""
     if late == "drop":
         if arrival is None:
             raise ValueError("late='drop' needs the arrival order (arrival=Arrival(...))")
-        edits = flag_late(edits, trending.window, arrival).withColumnRenamed("late", "_late_t")
-        edits = flag_late(edits, bot.window, arrival).withColumnRenamed("late", "_late_b")
+        edits = flag_late_by(edits, {"_late_t": trending.window, "_late_b": bot.window}, arrival)
     elif late == "keep":
         edits = edits.withColumns({"_late_t": F.lit(False), "_late_b": F.lit(False)})
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 # Fixed values that must equal the reference's defaults.
@@ -29,6 +30,22 @@ def window_duration(width: int | str) -> str:
     return width
 
 
+_UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000,
+          "day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def window_micros(width: int | str) -> int:
+    """Length of a window in microseconds; widths have fixed lengths, so no months or years."""
+    text = window_duration(width).lower().removeprefix("interval ").strip()
+    parts = re.findall(r"(\d+)\s*([a-z]+?)s?(?=\s|\d|$)", text)
+    if not parts or re.sub(r"(\d+)\s*([a-z]+?)s?(?=\s|\d|$)", "", text).strip() or any(u not in _UNITS for _, u in parts):
+        raise ValueError(f"bad window width {width!r}: numbers of weeks, days, hours, minutes, seconds or parts of these")
+    total = sum(int(n) * _UNITS[u] for n, u in parts)
+    if total <= 0:
+        raise ValueError(f"window width must be > 0, got {width!r}")
+    return total
+
+
 @dataclass(frozen=True)
 class TrendingParams:
     window: int | str = DEFAULT_TRENDING_WINDOW_MINUTES

@@ -66,7 +66,10 @@ MERGED_ARRIVAL = Arrival(order=("clock", "partition", "offset"), bucket="clock_b
 # inside it; buckets = (batch, feed split) so one large batch is still split.
 FILE_ARRIVAL = Arrival(order=("batch_id", "offset"), partitions=(), bucket="file_bucket",
                        emitted=("record_ts", "batch_id", "offset"))
-_TASK_BITS = 33  # landed offsets keep the feed split's rank above bit 33
+# Landed offsets keep the feed split's rank above bit 33. That leaves 30 bits for the rank, so buckets of
+# (batch, rank) are as many apart per batch and never overlap.
+_TASK_BITS = 33
+_RANK_BITS = 63 - _TASK_BITS
 
 
 def with_clock(edits: DataFrame, bucket_seconds: int = 1) -> DataFrame:
@@ -114,6 +117,8 @@ def with_arrival_columns(dec: DataFrame, time_source: str = "record", offsets_pe
         "offset_bucket": F.floor(F.col("offset") / F.lit(offsets_per_bucket)),
     }
     if "batch_id" in dec.columns:
-        cols["file_bucket"] = (F.col("batch_id").cast("bigint") * F.lit(1 << 20)
-                               + F.shiftright(F.col("offset"), _TASK_BITS))
+        batch = F.col("batch_id").cast("bigint")
+        fits = batch.isNull() | F.col("offset").isNull() | ((F.col("offset") >= 0) & batch.between(0, (1 << _TASK_BITS) - 1))
+        cols["file_bucket"] = F.when(fits, F.shiftleft(batch, _RANK_BITS).bitwiseOR(F.shiftright(F.col("offset"), _TASK_BITS))
+                                     ).otherwise(F.raise_error(F.lit("batch id or offset out of range")).cast("bigint"))
     return dec.withColumns(cols)

@@ -10,7 +10,7 @@ from ..functions.codec import decode_events, encode_events, split_malformed
 from ..operators.counters import counts_path, ingest_counts, observe_ingest_counts
 from ..operators.filters import key_by_title, main_namespace
 from ..sinks import write_records
-from ..sources.records import _TASK_BITS, kafka_available
+from ..sources.records import _RANK_BITS, _TASK_BITS, kafka_available
 from ..sources.sse import FEED_POSITION, read_sse_lines
 from .common import await_done, is_committed, start, write_batch_partition
 
@@ -25,19 +25,37 @@ def landed_edits(decoded: DataFrame, time_source: str = "payload") -> DataFrame:
         *S.EVENT_FIELDS, "key", ts.alias("record_ts"), F.lit(0).alias("partition"), "offset")
 
 
+# Input splits are ranked inside spans of so many seconds of file time, and over the spans.
+RANK_SECONDS = 60
+
+
+def split_ranks(splits: DataFrame, seconds: int = RANK_SECONDS) -> DataFrame:
+    """``_rank`` of every input split by (file time, file, start), from 0.
+
+    Two levels: inside a span of file time, and the number of splits in earlier spans, so that a batch of millions
+    of splits is not one task. Both tables have a row per split or per span at most."""
+    time = FEED_POSITION[0]
+    spans = splits.withColumn("_span", F.floor(F.unix_seconds(time) / F.lit(seconds)))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.groupBy("_span").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_span").orderBy(*FEED_POSITION)).cast("bigint") - 1
+    return spans.withColumn("_inside", inside).join(before, "_span").select(
+        *FEED_POSITION, (F.col("_before") + F.col("_inside")).alias("_rank"))
+
+
 def _with_offset(rows: DataFrame) -> DataFrame:
     """``offset``: rank of the line's input split by (file time, file, start), then its place in it.
 
-    Spark packs splits into tasks by size, so the task order alone is not the arrival order. The
-    split table has one row per input split of the batch."""
+    Spark packs splits into tasks by size, so the task order alone is not the arrival order."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _TASK_BITS) - 1))
     rows = rows.withColumn("_place", place)
     if FEED_POSITION[0] not in rows.columns:
         return rows.withColumn("offset", F.monotonically_increasing_id()).drop("_place")
-    rank = F.row_number().over(Window.orderBy(*FEED_POSITION)).cast("bigint") - 1
-    splits = rows.select(*FEED_POSITION).distinct().withColumn("_rank", rank)
-    return (rows.join(splits, list(FEED_POSITION))
-            .withColumn("offset", F.shiftleft("_rank", _TASK_BITS).bitwiseOR(F.col("_place"))).drop("_rank", "_place"))
+    splits = split_ranks(rows.select(*FEED_POSITION).distinct())
+    offset = F.when(F.col("_rank") < F.lit(1 << _RANK_BITS), F.shiftleft("_rank", _TASK_BITS).bitwiseOR(F.col("_place"))
+                    ).otherwise(F.raise_error(F.lit("too many input splits in one batch")).cast("bigint"))
+    return rows.join(splits, list(FEED_POSITION)).withColumn("offset", offset).drop("_rank", "_place")
 
 
 def records_from_decoded(decoded: DataFrame, time_source: str = "payload") -> tuple[DataFrame, DataFrame]:
