@@ -110,12 +110,13 @@ def _one_clock(arrival: Arrival) -> None:
         raise ValueError("bot windows span the input partitions: their arrival order needs one clock")
 
 
-def _with_prefix(per_bucket: DataFrame, group: Sequence[str], bucket: str, names: Sequence[str], fanout: int) -> DataFrame:
+def _with_prefix(per_bucket: DataFrame, group: Sequence[str], bucket: str, names: Sequence[str], fanout: int,
+                 carried: DataFrame | None = None) -> DataFrame:
     """One row per (group, block of ``fanout`` buckets): ``_buckets``, an array of the block's buckets in order with
     their sums ``_s_<n>`` and the sums of all earlier buckets of the group ``_b_<n>``, and the other columns of
     ``per_bucket``, which must be the same for a whole group.
 
-    A linear pipeline (no self-join): sums are folded along the array, a window over a group's blocks adds what comes before."""
+    ``carried`` has the totals ``<n>`` a group starts from. A linear pipeline (no self-join): sums are folded along the array, a window over a group's blocks adds what comes before."""
     sums = [f"_s_{n}" for n in names]
     rest = [c for c in per_bucket.columns if c not in (*group, bucket, *sums)]
     blocks = per_bucket.groupBy(*group, _block(F.col(bucket), fanout).alias("_block")).agg(
@@ -123,6 +124,10 @@ def _with_prefix(per_bucket: DataFrame, group: Sequence[str], bucket: str, names
         *[F.min(c).alias(c) for c in rest])
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumns({f"_b_{n}": F.coalesce(F.sum(f"_t_s_{n}").over(earlier), F.lit(0)) for n in names})
+    if carried is not None:
+        start = carried.select(*group, *[F.col(n).alias(f"_0{n}") for n in names])
+        blocks = blocks.join(start, list(group), "left").withColumns(
+            {f"_b_{n}": F.col(f"_b_{n}") + F.coalesce(f"_0{n}", F.lit(0)) for n in names})
     kind = per_bucket.schema[bucket].dataType.simpleString()
     entry = ",".join([f"{bucket}:{kind}", *[f"{c}:bigint" for c in sums], *[f"_b_{n}:bigint" for n in names]])
 
@@ -139,15 +144,24 @@ def _with_prefix(per_bucket: DataFrame, group: Sequence[str], bucket: str, names
 FOLD = 256
 
 
+def group_columns(arrival: Arrival, keys: Sequence[str] = ("title",)) -> list[str]:
+    """What a running total belongs to: detector, window start, clock scope and keys (never null)."""
+    return ["signal_type", "_ws", *arrival.partitions, *[f"_g_{k}" for k in keys]]
+
+
 def _two_scans(edits: DataFrame, trending: TrendingParams | None, bot: BotParams | None, arrival: Arrival, late: str,
-               keys: Sequence[str] = ("title",), first: bool = False, fanout: int = FOLD) -> DataFrame:
-    """Revisions of one or both detectors from two scans of the edits (one clock, packable order).
+               keys: Sequence[str] = ("title",), first: bool = False, fanout: int = FOLD, carried: DataFrame | None = None,
+               mark: str | None = None) -> DataFrame:
+    """Revisions of one or both detectors from two scans of the edits (an order that packs into one key).
 
-    ``first``: work only on the buckets in which a window can cross first."""
+    ``first``: work only on the buckets in which a window can cross first. ``carried`` has the totals ``_n`` and ``_nb``
+    that earlier records left per group (``group_columns``), ``mark`` is the column of the highest time (epoch
+    microseconds) seen before these edits: with both, the edits may be a part of a longer arrival order."""
     b = arrival.bucket
     both = [p for p in (trending, bot) if p is not None]
     pane_us = pane_micros(*[p.window for p in both])
-    carry = ["bot", *dict.fromkeys((*arrival.order, *arrival.emitted_columns, b))]
+    scope = list(arrival.partitions)
+    carry = ["bot", *dict.fromkeys((*arrival.order, *arrival.emitted_columns, *scope, b, *([mark] if mark else [])))]
     clock = BOT_ANOMALY if bot is not None else TRENDING  # the branch that tells the first arrivals: all rows are in it
     finer = late == "drop" and window_micros(both[-1].window) != pane_us
 
@@ -168,7 +182,11 @@ def _two_scans(edits: DataFrame, trending: TrendingParams | None, bot: BotParams
     rows = rows.withColumns({"_m__n": F.lit(1).cast("bigint"), "_m__nb": is_bot().cast("bigint"),
                              **{f"_g_{k}": F.coalesce(F.col(k), F.lit("")) for k in keys}})  # no null in an equi-join key
     rows = rows.filter("_ws IS NOT NULL")
-    group = ["signal_type", "_ws", *[f"_g_{k}" for k in keys]]
+    width = F.lit(window_micros(both[0].window)) if len(both) == 1 else F.when(
+        is_tr, F.lit(window_micros(trending.window))).otherwise(F.lit(window_micros(bot.window)))
+    if mark:  # windows that were closed before; their rows move no clock that was not past them
+        rows = rows.filter(F.col(mark).isNull() | (F.col("_ws") + width > F.col(mark))).drop(mark)
+    group = group_columns(arrival, keys)
 
     # first scan: totals and first arrival per (group, bucket), finer by pane where windows are wider
     table = rows.withColumn("_keyed", ~is_tr | keyed)
@@ -180,16 +198,16 @@ def _two_scans(edits: DataFrame, trending: TrendingParams | None, bot: BotParams
         # Both uses of the table share one exchange: each needs all its columns (the condition always holds), and
         # conditions on its keys are worded so that they are not pushed below it in one use only.
         table = table.filter("_s__n >= _s__nb AND (_first IS NOT NULL OR _keyed OR _s__n > 0)")
-        firsts = table.groupBy(F.col("_pane" if finer else "_ws").alias("_pane")).agg(
+        firsts = table.groupBy(*scope, F.col("_pane" if finer else "_ws").alias("_pane")).agg(
             F.min(F.when(is_tr == F.lit(clock == TRENDING), F.col("_first"))).alias("_first")).filter("_first IS NOT NULL")
         names = {f"_c{i}": window_micros(p.window) for i, p in enumerate(both)}
-        closing = closing_arrivals(firsts, pane_us, names, fanout=FANOUT)
+        closing = closing_arrivals(firsts, pane_us, names, tuple(scope), fanout=FANOUT)
         # per window and detector, from its last pane
-        closing = closing.select(F.explode(F.array(*[
+        closing = closing.select(*scope, F.explode(F.array(*[
             F.struct(F.lit(TRENDING if p is trending else BOT_ANOMALY).alias("signal_type"),
                      (F.col("_pane") - F.pmod("_pane", F.lit(us))).alias("_ws"), F.col(n).alias("_closed"))
-            for p, (n, us) in zip(both, names.items())])).alias("_w")).select("_w.*").distinct()
-        on = ["signal_type", "_ws"] if len(both) == 2 else ["_ws"]  # a constant key would filter one use of the table
+            for p, (n, us) in zip(both, names.items())])).alias("_w")).select(*scope, "_w.*").distinct()
+        on = [*scope, "signal_type", "_ws"] if len(both) == 2 else [*scope, "_ws"]  # a constant key would filter one use of the table
         closing = closing.select(*on, "_closed")
         # a bucket that begins at or after the closing arrival is late whole
         table = table.join(closing, on).filter(F.col("_closed").isNull() | (F.col("_first") < F.col("_closed")))
@@ -199,7 +217,7 @@ def _two_scans(edits: DataFrame, trending: TrendingParams | None, bot: BotParams
         per_bucket = per_bucket.groupBy(*group, b, *closed).agg(F.sum("_s__n").alias("_s__n"), F.sum("_s__nb").alias("_s__nb"))
 
     # totals of the closing bucket count its late rows too: bounds from above, and no bucket comes after it
-    blocks = _with_prefix(per_bucket, group, b, ["_n", "_nb"], fanout)
+    blocks = _with_prefix(per_bucket, group, b, ["_n", "_nb"], fanout, carried)
 
     def reach(x: Column) -> Column:
         before_n, after_n, after_nb = x["_b__n"], x["_b__n"] + x["_s__n"], x["_b__nb"] + x["_s__nb"]
@@ -230,12 +248,11 @@ def _two_scans(edits: DataFrame, trending: TrendingParams | None, bot: BotParams
         src = src.filter(F.col("_closed").isNull() | (arrival_key(src, arrival) < F.col("_closed")))
     counted = _row_totals(src, group, arrival, ["_n", "_nb"])
     ratio = bot_ratio(F.col("_nb"), F.col("_n"))
-    keep, width = F.lit(False), F.lit(0)
+    keep = F.lit(False)
     if trending is not None:
-        keep, width = is_tr & trends(F.col("_n"), trending.threshold), F.lit(window_micros(trending.window))
+        keep = is_tr & trends(F.col("_n"), trending.threshold)
     if bot is not None:
         keep = keep | (~is_tr & bots_dominate(F.col("_n"), ratio, bot.ratio_threshold, bot.min_volume))
-        width = F.when(is_tr, width).otherwise(F.lit(window_micros(bot.window)))
     title = F.col("title") if "title" in keys else F.lit(None).cast("string")
     return counted.filter(keep).select(
         "signal_type", title.alias("title"),

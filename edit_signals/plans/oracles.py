@@ -58,14 +58,18 @@ def _batched(order: str) -> str:
   FROM main, (SELECT min({order}) AS lo, max({order}) AS hi FROM main))"""
 
 
-def _kept(name: str, width: str) -> str:
+def _kept(name: str, width: str, order: str = "arrival_ts, event_id", source: str = "main") -> str:
     """Rows a zero-grace window of ``width`` accepts: window end > running max event time."""
     return f"""{name} AS (
   SELECT * FROM (
     SELECT *, {_bucket(width)} + INTERVAL '{width}' AS _we,
-           max(event_time) OVER (ORDER BY arrival_ts, event_id
+           max(event_time) OVER (ORDER BY {order}
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _hw
-    FROM main) WHERE _we > _hw)"""
+    FROM {source}) WHERE _we > _hw)"""
+
+
+# one ordered log of the records: the offset follows the arrival, the record time is the event time
+_LOG = """log AS (SELECT *, (epoch_us(arrival_ts) // 1000000) * 1000000000 + event_id AS off FROM main)"""
 
 
 def _trending(name: str, width: str, threshold: int, source: str) -> str:
@@ -104,14 +108,14 @@ _DETECTED = [_trending("tr", T_W, T_N, "main"), _bot("bo", B_W, B_R, B_V, "main"
              f"det AS (SELECT {_SIGNAL_COLS}, emitted FROM tr UNION ALL SELECT {_SIGNAL_COLS}, emitted FROM bo)"]
 
 
-def _revisions() -> list[str]:
+def _revisions(order: str = "arrival_ts, event_id", ts: str = "arrival_ts", id: str = "event_id", source: str = "main") -> list[str]:
     return [
-        _kept("kt", T_W), _kept("kb", B_W),
+        _kept("kt", T_W, order, source), _kept("kb", B_W, order, source),
         f"""trc AS (
   SELECT title, {_bucket(T_W)} AS window_start, {_bucket(T_W)} + INTERVAL '{T_W}' AS window_end,
-         CAST(count(*) OVER (PARTITION BY title, {_bucket(T_W)} ORDER BY arrival_ts, event_id
+         CAST(count(*) OVER (PARTITION BY title, {_bucket(T_W)} ORDER BY {order}
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS edit_count,
-         arrival_ts AS emitted_ts, event_id AS emitted_id
+         {ts} AS emitted_ts, {id} AS emitted_id
   FROM kt WHERE title IS NOT NULL)""",
         f"""trev AS (
   SELECT 'TRENDING' AS signal_type, title, edit_count, CAST(NULL AS BIGINT) AS bot_edit_count,
@@ -122,9 +126,9 @@ def _revisions() -> list[str]:
   SELECT {_bucket(B_W)} AS window_start, {_bucket(B_W)} + INTERVAL '{B_W}' AS window_end,
          CAST(count(*) OVER w AS BIGINT) AS total_edit_count,
          CAST(count(*) FILTER (WHERE bot) OVER w AS BIGINT) AS bot_edit_count,
-         arrival_ts AS emitted_ts, event_id AS emitted_id
+         {ts} AS emitted_ts, {id} AS emitted_id
   FROM kb
-  WINDOW w AS (PARTITION BY {_bucket(B_W)} ORDER BY arrival_ts, event_id
+  WINDOW w AS (PARTITION BY {_bucket(B_W)} ORDER BY {order}
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
         f"""brev AS (
   SELECT 'BOT_ANOMALY' AS signal_type, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS edit_count,
@@ -280,6 +284,12 @@ def oracle_sql() -> dict[str, str]:
   FROM kb GROUP BY {_bucket(B_W)})""") + (
         f"SELECT tr.* EXCLUDE (emitted), et.emitted_ts FROM tr JOIN et USING (title, window_start) "
         f"UNION ALL BY NAME SELECT bo.* EXCLUDE (emitted), eb.emitted_ts FROM bo JOIN eb USING (window_start)")
+    # exact in a stream: the rows of the batch operators, windows still open included, wherever the input is cut
+    q["stream_exact_revisions"] = _with(_LOG, *_revisions("off", "event_time", "off", "log")) + (
+        f"SELECT {_SIGNAL_COLS}, emitted_ts, emitted_id FROM trev UNION ALL SELECT {_SIGNAL_COLS}, emitted_ts, emitted_id FROM brev")
+    q["stream_exact_signals"] = _with(_LOG, _kept("kt", T_W, "off", "log"), _kept("kb", B_W, "off", "log"),
+                                      _trending("tr", T_W, T_N, "kt"), _bot("bo", B_W, B_R, B_V, "kb")) + (
+        f"SELECT {_SIGNAL_COLS} FROM tr UNION ALL SELECT {_SIGNAL_COLS} FROM bo")
     q["stream_ingest_counts"] = q["ingest_counts"]
     # Through the feed: broken lines (k 95..99) never reach detection; record time = payload
     # time (whole seconds).

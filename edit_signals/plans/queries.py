@@ -257,6 +257,35 @@ def q_stream_late(spark, sf_dir):
     return _flat_signals(_stream_signals(spark, sf_dir, TRENDING_DAY, BOT_HOUR, order="arrival_us"))
 
 
+def _exact_stream(spark, sf_dir, emit):
+    """Exact detection over the records in arrival order, as one ordered log in five micro-batches with a restart after
+    each; (signals, state)."""
+    from ..streaming.exact import run_exact_detection
+    from .replay import land_in_order
+    src, out, state, chk = (scratch_path(spark, n) for n in ("records", "signals", "state", "chk-exact"))
+    log = _event_records(spark, sf_dir).withColumn(
+        "offset", F.floor(F.col("arrival_us") / 1_000_000) * 1_000_000_000 + F.col("offset"))
+    land_in_order(log, "offset", src, lambda: run_exact_detection(
+        spark, src, out, state, chk, TRENDING_DAY, BOT_HOUR, emit=emit, offsets_per_bucket=60_000_000_000),
+        columns=("key", "value", "timestamp", "partition", "offset"), ranges=5)
+    return out, state
+
+
+def q_stream_exact_revisions(spark, sf_dir):
+    """Every update of both detectors, lateness judged per record across the micro-batches."""
+    out = _read_signals(spark, _exact_stream(spark, sf_dir, "updates")[0])
+    out = out.select(*SIGNAL_OUT, F.col("record_ts").alias("emitted_ts"), F.col("offset").alias("emitted_id"))
+    return ntz(out, "window_start", "window_end", "emitted_ts")
+
+
+def q_stream_exact_signals(spark, sf_dir):
+    """Final signals: those of closed windows from the sink, those of open ones from the state."""
+    from ..streaming.exact import open_signals
+    out, state = _exact_stream(spark, sf_dir, "final")
+    still_open = open_signals(spark, state, TRENDING_DAY, BOT_HOUR)
+    return _flat_signals(_read_signals(spark, out).select(*SIGNAL_OUT).unionByName(still_open.select(*SIGNAL_OUT)))
+
+
 def _land_feed(spark, sf_dir, path, run):
     from .replay import land_in_order
     land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", path, run, fmt="text",

@@ -62,6 +62,8 @@ _EMITTED = ("record_ts", "partition", "offset")
 PARTITION_ARRIVAL = Arrival(order=("offset",), partitions=("partition",), bucket="offset_bucket", emitted=_EMITTED)
 MERGED_ARRIVAL = Arrival(order=("clock", "partition", "offset"), bucket="clock_bucket", split=("partition",),
                          emitted=_EMITTED)
+# A topic with one partition, or any single ordered log: one clock for both detectors.
+LOG_ARRIVAL = Arrival(order=("offset",), bucket="offset_bucket", emitted=_EMITTED)
 # Topics landed as files by the ingest job: one folder per micro-batch, ``offset`` increasing
 # inside it; buckets = (batch, feed split) so one large batch is still split.
 FILE_ARRIVAL = Arrival(order=("batch_id", "offset"), partitions=(), bucket="file_bucket",

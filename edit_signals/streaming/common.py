@@ -81,3 +81,36 @@ def write_batch_partition(df: DataFrame, batch_id: int, path: str, fmt: str = "p
     cut short is overwritten."""
     if not is_committed(df.sparkSession, path, batch_id):
         df.write.mode("overwrite").format(fmt).save(batch_folder(path, batch_id))
+
+
+# ---- versioned folders (version=<batch id>, complete once it has its marker) -----------------
+
+def version_folder(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/version={version:012d}"
+
+
+def version_is_committed(spark: SparkSession, root: str, version: int) -> bool:
+    _, marker, fs = hadoop_path(spark, f"{version_folder(root, version)}/_SUCCESS")
+    return fs.exists(marker)
+
+
+def versions(spark: SparkSession, root: str, below: int, committed: bool = True) -> list[int]:
+    """Versions below a batch id, ascending (metadata only; old ones are removed, so the listing is short)."""
+    jvm, path, fs = hadoop_path(spark, root)
+    if not fs.exists(path):
+        return []
+    found = [int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(path)
+             if st.getPath().getName().startswith("version=")]
+    return sorted(v for v in found if v < below and (not committed or version_is_committed(spark, root, v)))
+
+
+def latest_version(spark: SparkSession, root: str, below: int) -> int | None:
+    return next(reversed(versions(spark, root, below)), None)
+
+
+def retain_versions(spark: SparkSession, root: str, current: int) -> None:
+    """Remove what is older than the version before ``current``."""
+    jvm, _, fs = hadoop_path(spark, root)
+    older = versions(spark, root, current, committed=False)[:-1]
+    for v in older:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(version_folder(root, v)), True)
