@@ -36,10 +36,21 @@ def _component(df: DataFrame, c: str) -> tuple[Column, int]:
     return F.col(c).cast("bigint"), digits
 
 
-def arrival_key(df: DataFrame, arrival: Arrival) -> Column | None:
-    """Scalar key ordered like ``arrival.order`` (single column: the column itself)."""
+def packable_prefix(df: DataFrame, cols: list[str]) -> list[str]:
+    """The leading columns that pack into one key."""
+    used = 0
+    for i, c in enumerate(cols):
+        used += _DIGITS.get(type(df.schema[c].dataType), 99)
+        if used > 38:
+            return cols[:i]
+    return cols
+
+
+def arrival_key(df: DataFrame, arrival: Arrival, nulls_first: bool = False) -> Column | None:
+    """Scalar key ordered like ``arrival.order`` (single column: the column itself). ``nulls_first`` packs a
+    missing component as the smallest value of its column, as a struct would order it."""
     cols = list(arrival.order)
-    if len(cols) == 1:
+    if len(cols) == 1 and not nulls_first:
         return F.col(cols[0])
     parts = [_component(df, c) for c in cols]
     if arrival.digits is not None:
@@ -50,6 +61,8 @@ def arrival_key(df: DataFrame, arrival: Arrival) -> Column | None:
         return None
     key, ok, missing = None, F.lit(True), F.lit(False)
     for v, d in parts:
+        if nulls_first:  # one more, and nothing for a missing one
+            v = F.coalesce(v.cast("decimal(20,0)") + F.lit(1), F.lit(0).cast("decimal(20,0)"))
         missing = missing | v.isNull()
         # every non-negative bigint has at most 19 digits
         ok = ok & ((v >= 0) if d >= 19 else v.between(0, 10 ** d - 1))

@@ -252,9 +252,31 @@ def oracle_sql() -> dict[str, str]:
          window_start + INTERVAL '{T_W}' AS window_end, emitted_ts, emitted_id
   FROM states WHERE total >= {T_N})"""
     q["stream_trending_updates"] = _with(batched, states, updates) + f"SELECT {_SIGNAL_COLS} FROM upd"
-    q["stream_recent"] = _with(batched, states, updates) + (
-        f"SELECT {_SIGNAL_COLS}, emitted_ts, emitted_id FROM upd ORDER BY emitted_ts DESC, emitted_id DESC LIMIT 50")
-    q["stream_store_window"] = _with(batched, states, updates, f"items AS ({_items('upd', 'emitted_ts, emitted_id, ')})") + (
+    bot_states = f"""bstates AS (
+  SELECT window_start, batch, sum(n) OVER w AS total, sum(nb) OVER w AS bots, max(ts) OVER w AS emitted_ts, max(id) OVER w AS emitted_id
+  FROM (SELECT {_bucket(B_W)} AS window_start, batch, count(*) AS n, count(*) FILTER (WHERE bot) AS nb,
+               max(event_time) AS ts, max(event_id) AS id
+        FROM batched GROUP BY {_bucket(B_W)}, batch)
+  WINDOW w AS (PARTITION BY window_start ORDER BY batch))"""
+    both = f"""allupd AS (
+  SELECT * FROM upd UNION ALL
+  SELECT 'BOT_ANOMALY' AS signal_type, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS edit_count,
+         CAST(bots AS BIGINT) AS bot_edit_count, CAST(total AS BIGINT) AS total_edit_count,
+         CAST(bots AS DOUBLE) / CAST(total AS DOUBLE) AS ratio, window_start, window_start + INTERVAL '{B_W}' AS window_end,
+         emitted_ts, emitted_id
+  FROM bstates WHERE total >= {B_V} AND CAST(bots AS DOUBLE) / CAST(total AS DOUBLE) > {B_R})"""
+    all_updates = [batched, states, updates, bot_states, both]
+    # one edit may be the last of a title's window and of a bot window: then the record's text decides
+    q["stream_recent"] = _with(*all_updates) + (
+        f"SELECT {_SIGNAL_COLS}, emitted_ts, emitted_id FROM allupd "
+        "ORDER BY emitted_ts DESC, emitted_id DESC, signal_type DESC LIMIT 50")
+    all_items = f"items AS ({_items('allupd', 'emitted_ts, emitted_id, ')})"
+    q["stream_store"] = _with(*all_updates, all_items) + (
+        'SELECT pk, sk, "signalType", "windowStart", "windowEnd", title, "editCount", "botEditCount", '
+        '"totalEditCount", ratio FROM (SELECT *, row_number() OVER (PARTITION BY pk, sk, title '
+        "ORDER BY emitted_ts DESC, emitted_id DESC) AS rn FROM items) WHERE rn = 1")
+    q["stream_open_windows"] = _with(*_DETECTED) + f"SELECT {_SIGNAL_COLS} FROM det WHERE NOT ({closed})"
+    q["stream_store_window"] = _with(*all_updates, all_items) + (
         'SELECT pk, sk, "signalType", "windowStart", "windowEnd", title, "editCount", "botEditCount", '
         '"totalEditCount", ratio FROM (SELECT *, row_number() OVER (PARTITION BY pk, sk '
         "ORDER BY emitted_ts DESC, emitted_id DESC) AS rn FROM items) WHERE rn = 1")
@@ -300,7 +322,4 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL SELECT {_SIGNAL_COLS} FROM bo WHERE window_end <= (SELECT max(event_time) FROM fed)")
     q["stream_ingest"] = _with() + (
         f'SELECT title AS key, {_EVENT_COLS}, "timestamp" AS record_seconds FROM main WHERE k NOT BETWEEN 95 AND 99')
-    q["stream_store"] = _with(*_DETECTED, f"""items AS ({_items('det')} WHERE {closed})""") + (
-        'SELECT pk, sk, "signalType", "windowStart", "windowEnd", title, "editCount", "botEditCount", '
-        '"totalEditCount", ratio FROM items')
     return q

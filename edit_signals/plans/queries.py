@@ -342,26 +342,38 @@ def _serve_stream(spark, sf_dir, trending, bot, output_mode):
 
 
 def q_stream_store(spark, sf_dir):
+    """Every update of both detectors reaches the store, open windows too; nothing is overwritten but its own window."""
     from ..streaming.serve import store_view
-    log, _ = _serve_stream(spark, sf_dir, TRENDING_DAY, BOT_HOUR, "append")
+    log, _ = _serve_stream(spark, sf_dir, TRENDING_DAY, BOT_HOUR, "update")
     return store_view(spark, log, key="window_title")
 
 
 def q_stream_store_window(spark, sf_dir):
-    """Every update reaches the store, open windows too; titles of one window overwrite each other."""
+    """The same store by (type, window end): titles of one window overwrite each other."""
     from ..streaming.serve import store_view
-    log, _ = _serve_stream(spark, sf_dir, TRENDING_DAY, None, "update")
+    log, _ = _serve_stream(spark, sf_dir, TRENDING_DAY, BOT_HOUR, "update")
     return store_view(spark, log)
 
 
 def q_stream_recent(spark, sf_dir):
-    """The newest 50 of all updates, from the serving job's snapshot."""
+    """The newest 50 of all updates of both detectors, from the serving job's snapshot."""
     from ..streaming.serve import recent_view
-    _, recent = _serve_stream(spark, sf_dir, TRENDING_DAY, None, "update")
+    _, recent = _serve_stream(spark, sf_dir, TRENDING_DAY, BOT_HOUR, "update")
     out = recent_view(spark, recent).select(*SIGNAL_OUT, F.col("emitted.record_ts").alias("emitted_ts"),
                                             F.col("emitted.offset").alias("emitted_id"))
     return ntz(out, "window_start", "window_end", "emitted_ts")
 
 
+def q_stream_open_windows(spark, sf_dir):
+    """Signals an append-mode detection has not emitted: its windows still open, from the state of its checkpoint."""
+    from ..streaming.detect import open_windows, run_detection
+    from .replay import land_in_order
+    src, out, chk = (scratch_path(spark, n) for n in ("records", "signals", "chk-detect"))
+    land_in_order(_event_records(spark, sf_dir), "offset", src, lambda: run_detection(
+        spark, src, out, chk, trending=TRENDING_DAY, bot=BOT_HOUR),
+        columns=("key", "value", "timestamp", "partition", "offset"))
+    return _flat_signals(open_windows(spark, chk, TRENDING_DAY, BOT_HOUR))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

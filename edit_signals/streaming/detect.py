@@ -1,11 +1,13 @@
 """Streaming detection: event records -> merged signals.
 
-Both branches read the same source inside one query (a union of two windowed
-aggregations). The watermark has zero delay: a record whose window already ended at
-or before the watermark is dropped, as in the reference's no-grace windows; lateness
-is judged per micro-batch (exact per-record lateness is the batch ``drop_late``).
+Both detectors share one scan and one stateful aggregate: every edit is tagged into its trending window
+(keyed by title) and its bot window (no key), and rows are grouped by (detector, window, key). The watermark has zero
+delay: a record whose window already ended at or before the watermark is dropped, as in the reference's
+no-grace windows; lateness is judged per micro-batch (exact per-record lateness is ``streaming.exact``, and the batch
+``drop_late``).
 
-``output_mode="append"``: one final row per window once the watermark passes its end.
+``output_mode="append"``: one final row per window once the watermark passes its end; the windows still
+open can be read from the state (:func:`open_windows`).
 ``output_mode="update"``: every micro-batch emits the windows it changed that pass the
 predicate - revisions, as the reference emits on every update.
 """
@@ -16,33 +18,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import encode_signals
-from ..operators.signals import bot_anomaly_filter, to_bot_signal, to_trending_signal, trending_filter
-from ..operators.windows import tumbling_bot_counts, tumbling_edit_counts
-from ..params import BotParams, TrendingParams
+from ..operators.lateness import pane_start
+from ..operators.signals import bots_dominate, trends
+from ..operators.windows import bot_ratio, is_bot
+from ..params import BOT_ANOMALY, GLOBAL_KEY, TRENDING, BotParams, TrendingParams, window_micros
 from ..sinks import stream_records
 from ..sources.records import kafka_available, read_event_records, read_landed_edits, records_to_edits
 from .common import DETECTION_CONFS, await_done, session_confs, start, state_confs, write_batch_partition
 
+# Grouping columns of the aggregate: detector, window bounds, key (null for bots).
+WINDOW_KEYS = ("signal_type", "window_start", "window_end", "title")
+# Mark of a time column that state is kept and dropped by (Spark sets it on the column of ``withWatermark``).
+_WATERMARK = {"spark.watermarkDelayMs": 0}
 
-def detection_stream(edits: DataFrame, trending: TrendingParams | None = TrendingParams(),
-                     bot: BotParams | None = BotParams(), watermark: str = "0 seconds") -> DataFrame:
-    """Signals of a streaming (or batch) edits DataFrame with ``event_time``."""
+
+def window_totals(edits: DataFrame, trending: TrendingParams | None, bot: BotParams | None,
+                  watermark: str = "0 seconds") -> DataFrame:
+    """Per (detector, window, key): edits ``n``, bot edits ``nb``, latest record time and offset. One scan, one aggregate.
+
+    The window bounds are plain columns, since one ``window()`` has one width. The end carries the watermark of the time
+    it is computed from: a window closes, and its late rows are dropped, when the watermark reaches its end."""
     ev = edits.withWatermark("event_time", watermark)
-    # a signal's record carries the latest record time and offset that went into it
-    extra = {"_signal_ts": F.max("event_time")}
-    if "offset" in edits.columns:
-        extra["_signal_offset"] = F.max("offset")
-    parts = []
+    offset = F.col("offset") if "offset" in edits.columns else F.lit(None).cast("bigint")
+
+    def tagged(kind, params, title):  # noqa: ANN001, ANN202 - a row of one detector's branch
+        us = window_micros(params.window)
+        start = pane_start(us)
+        return F.struct(F.lit(kind).alias("signal_type"), F.timestamp_micros(start).alias("window_start"),
+                        F.timestamp_micros(start + F.lit(us)).alias("window_end"), title.alias("title"),
+                        is_bot().alias("bot"), F.col("event_time").alias("ts"), offset.alias("offset"))
+
+    branches = []
+    if trending is not None:
+        branches.append(tagged(TRENDING, trending, F.col("title")))
+    if bot is not None:
+        branches.append(tagged(BOT_ANOMALY, bot, F.lit(None).cast("string")))
+    rows = ev.select(F.explode(F.array(*branches)).alias("_r")).select("_r.*")
+    rows = rows.filter(F.col("window_start").isNotNull() & ((F.col("signal_type") != TRENDING) | F.col("title").isNotNull()))
+    end = F.col("window_end").alias("window_end", metadata=_WATERMARK)
+    return rows.select("signal_type", "window_start", end, "title", "bot", "ts", "offset").groupBy(*WINDOW_KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bot").alias("nb"), F.max("ts").alias("_signal_ts"),
+        F.max("offset").alias("_signal_offset"))
+
+
+def totals_to_signals(totals: DataFrame, trending: TrendingParams | None, bot: BotParams | None) -> DataFrame:
+    """Signals of the windows that pass their detector, with the time and offset of the last edit that went in."""
+    is_tr, ratio = F.col("signal_type") == TRENDING, bot_ratio(F.col("nb"), F.col("n"))
+    keep = F.lit(False)
     if trending is not None:
-        t = tumbling_edit_counts(ev, trending.window, extra=extra)
-        parts.append(to_trending_signal(trending_filter(t, trending.threshold), list(extra)))
+        keep = keep | (is_tr & trends(F.col("n"), trending.threshold))
     if bot is not None:
-        b = tumbling_bot_counts(ev, bot.window, extra=extra)
-        parts.append(to_bot_signal(bot_anomaly_filter(b, bot.ratio_threshold, bot.min_volume), list(extra)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        keep = keep | (~is_tr & bots_dominate(F.col("n"), ratio, bot.ratio_threshold, bot.min_volume))
+    return totals.filter(keep).select(
+        "signal_type", "title", F.when(is_tr, F.col("n")).alias("edit_count"), F.when(~is_tr, F.col("nb")).alias("bot_edit_count"),
+        F.when(~is_tr, F.col("n")).alias("total_edit_count"), F.when(~is_tr, ratio).alias("ratio"),
+        "window_start", "window_end", F.when(is_tr, F.col("title")).otherwise(F.lit(GLOBAL_KEY)).alias("key"),
+        "_signal_ts", "_signal_offset")
+
+
+def detection_stream(edits: DataFrame, trending: TrendingParams | None = TrendingParams(),
+                     bot: BotParams | None = BotParams(), watermark: str = "0 seconds") -> DataFrame:
+    """Signals of a streaming (or batch) edits DataFrame with ``event_time``."""
+    if trending is None and bot is None:
+        raise ValueError("a detector is needed")
+    return totals_to_signals(window_totals(edits, trending, bot, watermark), trending, bot)
+
+
+def open_windows(spark: SparkSession, checkpoint: str, trending: TrendingParams | None = TrendingParams(),
+                 bot: BotParams | None = BotParams()) -> DataFrame:
+    """Signals of the windows a detection query still holds in its state, read from its checkpoint with Spark's state
+    data source. With append mode these are the signals it has not emitted yet."""
+    state = spark.read.format("statestore").load(checkpoint)
+    # the value holds the aggregation buffers in the order of the aggregates, under names that repeat
+    buffers = F.col("value").cast("struct<n:bigint,nb:bigint,_signal_ts:timestamp,_signal_offset:bigint>")
+    totals = state.select("key.*", buffers.alias("_v")).select(*WINDOW_KEYS, "_v.*")
+    return totals_to_signals(totals, trending, bot)
 
 
 def signal_records(signals: DataFrame) -> DataFrame:

@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import decode_signals
 from ..operators.report import recent_signals
-from ..operators.store import ITEM_COLUMNS, signal_items
+from ..operators.store import ITEM_COLUMNS, latest_items, signal_items
 from ..params import RECENT_SIGNALS
 from ..sources.records import read_signal_records, with_file_position
 from .common import await_done, hadoop_path, start, write_batch_partition
 
 
 def arrived(signals: DataFrame) -> DataFrame:
-    """Adds ``emitted``, the arrival order of signal records: record time, partition, offset, then
+    """Adds ``emitted``, the arrival order of signal records: record time, partition, offset, then, without an offset,
     the file and row a record was read from (null for other sources), then its text."""
     def known(c: str, kind: str):  # noqa: ANN202 - column
         return (F.col(c) if c in signals.columns else F.lit(None).cast(kind)).alias(c)
 
     position = "struct<time:timestamp,file:string,row:bigint>"
+    if "offset" in signals.columns and "file_position" in signals.columns:
+        signals = signals.withColumn("file_position", F.when(F.col("offset").isNull(), F.col("file_position")))
     return signals.withColumn("emitted", F.struct(
         known("record_ts", "timestamp"), known("partition", "int"), known("offset", "bigint"),
         known("file_position", position), known("value", "string")))
@@ -103,12 +105,6 @@ def _view_root(store_log_path: str) -> str:
     return f"{store_log_path.rstrip('/')}_view"
 
 
-def _latest_items(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest write per key (greatest arrival, then title); partial + final aggregate."""
-    latest = F.max_by(F.struct(*[F.col(c) for c in _STORE_COLS]), F.struct("emitted", "title")).alias("_i")
-    return items.groupBy(*keys).agg(latest).select(*[F.col(f"_i.{c}").alias(c) for c in _STORE_COLS])
-
-
 def _store_items(spark: SparkSession, store_log_path: str, upto: int | None = None,
                  view_before: int | None = None) -> DataFrame | None:
     """Items of the newest committed view (below ``view_before``) plus log batches after it
@@ -142,7 +138,7 @@ def compact_store(spark: SparkSession, store_log_path: str, upto: int) -> None:
         items = _store_items(spark, store_log_path, upto=upto, view_before=upto)
         if items is None:
             return
-        _latest_items(items, ["pk", "sk", "title"]).write.mode("overwrite").parquet(f"{root}/upto={upto:012d}")
+        latest_items(items, "window_title", keep=["emitted"]).write.mode("overwrite").parquet(f"{root}/upto={upto:012d}")
     folded = [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62, committed=False) if b <= upto]
     _delete(spark, store_log_path, "batch_id", folded, width=0)
     _retain(spark, root, "upto", keep_from=_versions(spark, root, "upto", before=upto)[-1:])
@@ -173,8 +169,7 @@ def store_view(spark: SparkSession, store_log_path: str, key: str = "window") ->
     items = _store_items(spark, store_log_path)
     if items is None:
         return spark.createDataFrame([], signal_items_schema())
-    keys = ["pk", "sk"] + (["title"] if key == "window_title" else [])
-    return _latest_items(items, keys).select(*ITEM_COLUMNS)
+    return latest_items(items, key)
 
 
 def signal_items_schema() -> str:
