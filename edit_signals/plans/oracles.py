@@ -270,6 +270,8 @@ def oracle_sql() -> dict[str, str]:
     q["stream_recent"] = _with(*all_updates) + (
         f"SELECT {_SIGNAL_COLS}, emitted_ts, emitted_id FROM allupd "
         "ORDER BY emitted_ts DESC, emitted_id DESC, signal_type DESC LIMIT 50")
+    q["stream_landed_topic"] = _with() + (
+        f'SELECT title AS key, {_EVENT_COLS}, "timestamp" AS record_seconds FROM main WHERE k NOT BETWEEN 95 AND 99')
     all_items = f"items AS ({_items('allupd', 'emitted_ts, emitted_id, ')})"
     q["stream_store"] = _with(*all_updates, all_items) + (
         'SELECT pk, sk, "signalType", "windowStart", "windowEnd", title, "editCount", "botEditCount", '

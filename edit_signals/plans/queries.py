@@ -325,6 +325,29 @@ def q_stream_ingest(spark, sf_dir):
     return landed.selectExpr("key", *EVENT_OUT, "CAST(unix_seconds(record_ts) AS BIGINT) AS record_seconds")
 
 
+def q_stream_landed_topic(spark, sf_dir):
+    """A consumer of a topic that is compacted while it reads: it takes what is new after every range of the feed, from
+    the list of live folders, and sees every record once."""
+    from .. import schemas as S
+    from ..streaming.common import write_batch_partition
+    from ..streaming.ingest import run_ingest
+    from ..streaming.landed import consume_landed
+    feed, recs, bad, chk, position, out = (scratch_path(spark, n) for n in (
+        "feed", "event-records", "quarantine", "chk-ingest", "position", "consumed"))
+    turns = []
+
+    def run():
+        run_ingest(spark, feed, recs, bad, chk, compact_every=2)
+        turns.append(len(turns))
+        if turns[-1] != 1:  # after the second range the consumer is away; its batches are compacted meanwhile
+            consume_landed(spark, recs, S.EVENT_RECORD, position,
+                           lambda rows, last: write_batch_partition(rows.drop("batch_id"), last, out))
+
+    _land_feed(spark, sf_dir, feed, run)
+    landed = codec.decode_events(read_event_records(spark, out), payload="value", mode="strict")
+    return landed.selectExpr("key", *EVENT_OUT, "CAST(unix_seconds(record_ts) AS BIGINT) AS record_seconds")
+
+
 def _serve_stream(spark, sf_dir, trending, bot, output_mode):
     """Records -> detection -> serving, a micro-batch of each per range; (store log, recent snapshots)."""
     from ..streaming.detect import run_detection

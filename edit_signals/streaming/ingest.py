@@ -13,6 +13,7 @@ from ..sinks import write_records
 from ..sources.records import _RANK_BITS, _TASK_BITS, kafka_available
 from ..sources.sse import FEED_POSITION, read_sse_lines
 from .common import await_done, is_committed, start, write_batch_partition
+from .landed import commit_batch, compact_landed
 
 
 def landed_edits(decoded: DataFrame, time_source: str = "payload") -> DataFrame:
@@ -74,17 +75,24 @@ def _as_records(edits: DataFrame) -> DataFrame:
 
 def write_decoded(decoded: DataFrame, batch_id: int, records_path: str, quarantine_path: str,
                   time_source: str = "payload", edits_path: str | None = None, sink_format: str = "parquet",
-                  sink_options: dict | None = None) -> None:
+                  sink_options: dict | None = None, compact_every: int | None = None) -> None:
     """One micro-batch (or one batch job): all outputs from one decode of the lines.
     ``edits_path`` also lands the decoded edits (columnar) for detection. The counters of the
     batch land beside the records; they are written last, so a counted batch is complete.
 
     ``sink_format="kafka"`` publishes the records to the topic ``records_path`` (at least once: a
-    batch replayed after a crash is published again); counters then land beside the quarantine."""
+    batch replayed after a crash is published again); counters then land beside the quarantine.
+
+    ``compact_every`` keeps a list of the topic's live folders (``streaming.landed``) and compacts so many of one level
+    into one, which bounds the number of folders; read such a topic with ``read_landed`` or ``consume_landed``."""
     spark = decoded.sparkSession
     to_topic = sink_format == "kafka"
     counts = counts_path(quarantine_path if to_topic else records_path)
+    listed = [] if not compact_every else [(p, s) for p, s in (
+        (None if to_topic else records_path, S.EVENT_RECORD), (edits_path, S.EDIT_TABLE)) if p]
     if is_committed(spark, counts, batch_id):
+        for path, _ in listed:  # a crash may have come between the two
+            commit_batch(spark, path, batch_id)
         return
     decoded = decoded.persist()
     try:
@@ -97,6 +105,10 @@ def write_decoded(decoded: DataFrame, batch_id: int, records_path: str, quaranti
         if edits_path:
             write_batch_partition(edits, batch_id, edits_path)
         write_batch_partition(ingest_counts(decoded), batch_id, counts)
+        for path, schema in listed:
+            commit_batch(spark, path, batch_id)
+            if (batch_id + 1) % compact_every == 0:
+                compact_landed(spark, path, schema, compact_every, order=("offset",))
     finally:
         decoded.unpersist()
 
@@ -104,18 +116,18 @@ def write_decoded(decoded: DataFrame, batch_id: int, records_path: str, quaranti
 def start_ingest(spark: SparkSession, feed_path: str, records_path: str, quarantine_path: str,
                  checkpoint: str, max_files_per_trigger: int | None = None, trigger: dict | None = None,
                  time_source: str = "payload", name: str | None = None, edits_path: str | None = None,
-                 sink_format: str = "parquet", sink_options: dict | None = None):
+                 sink_format: str = "parquet", sink_options: dict | None = None, compact_every: int | None = None):
     """Streaming ingest over a folder of captured feed files. Records land partitioned
     by micro-batch; arrival order of the landed topic is (batch_id, offset). Counters
     (published / filtered / failed) land per micro-batch (``operators.counters.landed_counts``) and
-    are observed metrics of each. ``sink_format`` / ``sink_options`` as in :func:`write_decoded`."""
+    are observed metrics of each. ``sink_format`` / ``sink_options`` / ``compact_every`` as in :func:`write_decoded`."""
     if sink_format == "kafka" and not kafka_available(spark):
         raise RuntimeError("the Kafka connector is not on the classpath; land the records as files")
     options = {"maxFilesPerTrigger": max_files_per_trigger} if max_files_per_trigger else {}
     decoded = observe_ingest_counts(decode_events(read_sse_lines(spark, feed_path, streaming=True, **options)))
     writer = (decoded.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda df, bid: write_decoded(df, bid, records_path, quarantine_path, time_source,
-                                                          edits_path, sink_format, sink_options)))
+                                                          edits_path, sink_format, sink_options, compact_every)))
     if name:
         writer = writer.queryName(name)
     return start(writer, trigger)

@@ -3,8 +3,8 @@
 Each micro-batch appends its decoded items to a store log (one folder per batch id,
 idempotent on replay) and rewrites the small recent-signals snapshot: the previous
 snapshot (<= N rows) plus this batch, newest N kept. Every ``compact_every`` batches
-the log is folded into a compacted view and the folded folders are dropped, so the
-number of folders stays bounded. The store's current view (``store_view``) is the
+the log is folded into a compacted view, of which only the days it touches are written again, and the folded
+folders are dropped, so the number of log folders stays bounded. The store's current view (``store_view``) is the
 compacted view plus the newer log, reduced to the latest write per key.
 """
 
@@ -18,7 +18,8 @@ from ..operators.report import recent_signals
 from ..operators.store import ITEM_COLUMNS, latest_items, signal_items
 from ..params import RECENT_SIGNALS
 from ..sources.records import read_signal_records, with_file_position
-from .common import await_done, hadoop_path, start, write_batch_partition
+from .common import (await_done, hadoop_path, latest_version, retain_versions, start, version_folder, version_is_committed,
+                     write_batch_partition)
 
 
 def arrived(signals: DataFrame) -> DataFrame:
@@ -105,43 +106,95 @@ def _view_root(store_log_path: str) -> str:
     return f"{store_log_path.rstrip('/')}_view"
 
 
-def _store_items(spark: SparkSession, store_log_path: str, upto: int | None = None,
-                 view_before: int | None = None) -> DataFrame | None:
-    """Items of the newest committed view (below ``view_before``) plus log batches after it
-    (up to ``upto``). Only the log folders after the view are read (partition pruning)."""
-    views = _versions(spark, _view_root(store_log_path), "upto", before=view_before if view_before is not None
-                      else 2 ** 62)
-    parts, after = [], -1
-    if views:
-        after = views[-1]
-        parts.append(spark.read.parquet(f"{_view_root(store_log_path)}/upto={after:012d}").select(*_STORE_COLS))
-    batches = [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62)
-               if b > after and (upto is None or b <= upto)]
+def _day(col: str = "windowEnd"):  # noqa: ANN202 - column
+    """Day (UTC) a window ends on: what the compacted view is partitioned by."""
+    return F.date_format(F.timestamp_millis(F.col(col)), "yyyy-MM-dd")
+
+
+def _view_list(store_log_path: str) -> str:
+    return f"{_view_root(store_log_path)}_live"
+
+
+def _view_days(spark: SparkSession, store_log_path: str, version: int | None) -> dict[str, int]:
+    """Day -> compaction that wrote it last: a row per day."""
+    if version is None:
+        return {}
+    rows = spark.read.schema("day string, upto bigint").parquet(version_folder(_view_list(store_log_path), version))
+    return {r["day"]: r["upto"] for r in rows.collect()}
+
+
+def _day_folders(store_log_path: str, days: dict[str, int]) -> list[str]:
+    return [f"{_view_root(store_log_path)}/upto={u:012d}/day={d}" for d, u in sorted(days.items())]
+
+
+def _log_batches(spark: SparkSession, store_log_path: str, after: int, upto: int | None = None) -> list[int]:
+    return [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62) if b > after and (upto is None or b <= upto)]
+
+
+def _read_log(spark: SparkSession, store_log_path: str, batches: list[int]) -> DataFrame:
+    """Log items of those batches (partition pruning)."""
+    return spark.read.parquet(store_log_path).filter(F.col("batch_id").between(batches[0], batches[-1])).select(*_STORE_COLS)
+
+
+def _store_items(spark: SparkSession, store_log_path: str) -> DataFrame | None:
+    """Items of the compacted days plus log batches after the last compaction."""
+    last = latest_version(spark, _view_list(store_log_path), 2 ** 62)
+    folders = _day_folders(store_log_path, _view_days(spark, store_log_path, last))
+    parts = [spark.read.parquet(*folders).select(*_STORE_COLS)] if folders else []
+    batches = _log_batches(spark, store_log_path, -1 if last is None else last)
     if batches:
-        log = spark.read.parquet(store_log_path).filter(F.col("batch_id").between(batches[0], batches[-1]))
-        parts.append(log.select(*_STORE_COLS))
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(_read_log(spark, store_log_path, batches))
+    return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def compact_store(spark: SparkSession, store_log_path: str, upto: int) -> None:
-    """Fold the log up to batch ``upto`` into the view ``upto=<id>`` (latest item per
-    (pk, sk, title), so both key modes can still be derived), then drop the folded log
-    folders and older views. Crash-safe: the view commits before anything is deleted,
-    and an existing view is never rewritten."""
-    root = _view_root(store_log_path)
-    if upto not in _versions(spark, root, "upto", before=upto + 1):
-        items = _store_items(spark, store_log_path, upto=upto, view_before=upto)
-        if items is None:
+    """Fold the log up to batch ``upto`` into the view: latest item per (pk, sk, title), so both key modes can still be
+    derived. The view is kept by the day a window ends on, and only days the log touches are written again;
+    all other days keep their files, so the cost follows the new items and not the store.
+
+    Crash-safe: the touched days go to a folder of their own, then a list of (day, folder) is committed, and only then the
+    folded log and the folders no list names any more are removed. What this compaction replaces goes with the next
+    one, so a reader of the list before keeps its files."""
+    root, listing = _view_root(store_log_path), _view_list(store_log_path)
+    before = latest_version(spark, listing, upto)
+    if not version_is_committed(spark, listing, upto):
+        days = _view_days(spark, store_log_path, before)
+        batches = _log_batches(spark, store_log_path, -1 if before is None else before, upto)
+        if not batches:
             return
-        latest_items(items, "window_title", keep=["emitted"]).write.mode("overwrite").parquet(f"{root}/upto={upto:012d}")
-    folded = [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62, committed=False) if b <= upto]
-    _delete(spark, store_log_path, "batch_id", folded, width=0)
-    _retain(spark, root, "upto", keep_from=_versions(spark, root, "upto", before=upto)[-1:])
+        items = _read_log(spark, store_log_path, batches).withColumn("day", _day())
+        touched = [r["day"] for r in items.select("day").distinct().collect()]  # days, not items
+        old = _day_folders(store_log_path, {d: u for d, u in days.items() if d in touched})
+        if old:
+            items = items.unionByName(spark.read.parquet(*old).select(*_STORE_COLS).withColumn("day", _day()))
+        folded = latest_items(items, "window_title", keep=["emitted"]).withColumn("day", _day())
+        # a day goes to as many tasks as its items need, and not to one file from every task
+        folded.hint("rebalance", F.col("day")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/upto={upto:012d}")
+        days |= {d: upto for d in touched}
+        spark.createDataFrame(sorted(days.items()), "day string, upto bigint").coalesce(1).write.mode("overwrite").parquet(
+            version_folder(listing, upto))
+    _delete(spark, store_log_path, "batch_id",
+            [b for b in _versions(spark, store_log_path, "batch_id", 2 ** 62, committed=False) if b <= upto], width=0)
+    retain_versions(spark, listing, upto)
+    named = set(_day_folders(store_log_path, _view_days(spark, store_log_path, upto)))
+    named |= set(_day_folders(store_log_path, _view_days(spark, store_log_path, before)))
+    _drop_unnamed_days(spark, root, upto, named)
+
+
+def _drop_unnamed_days(spark: SparkSession, root: str, upto: int, named: set[str]) -> None:
+    """Remove day folders of earlier compactions that neither of the last two lists names."""
+    names = {"/".join(f.split("/")[-2:]) for f in named}
+    jvm, path, fs = hadoop_path(spark, root)
+    for version in (st.getPath() for st in fs.listStatus(path)):
+        if int(version.getName().split("=", 1)[1]) < upto:
+            left = 0
+            for st in fs.listStatus(version):
+                name = f"{version.getName()}/{st.getPath().getName()}"
+                if st.isDirectory() and name not in names:
+                    fs.delete(st.getPath(), True)
+                left += st.isDirectory() and name in names
+            if not left:
+                fs.delete(version, True)
 
 
 def start_serving(spark: SparkSession, signals_path: str, store_log_path: str, recent_path: str,
