@@ -168,6 +168,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
         return pd.Series([t if t is None or d is None else b"\n".join(
             _kept(t.encode(), list(d), min_chars)[0]).decode() for t, d in zip(text, drops, strict=True)], dtype=object)
 
-    rows = _with_drops(docs, min_chars, min_docs, batches)
-    return rows.withColumn("text", F.when(F.col("_drops").isNull(), F.col("text"))
-                           .otherwise(rewrite("text", "_drops"))).drop("_drops")
+    # the documents' own columns travel in a struct, where no name of theirs can clash
+    thin = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    rows = _with_drops(thin, min_chars, min_docs, batches)
+    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(rewrite("text", "_drops"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

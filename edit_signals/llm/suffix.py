@@ -19,8 +19,8 @@ Results of a refined bucket are reused for all its members. Identifiers are 128-
 the bytes. Nothing is compared pair by pair, so a bucket of any size costs a count per member.
 
 Edge cases: null and empty texts and texts shorter than ``span`` lose nothing; repeated rows lose
-all their text; strings within one document count, overlapping ones too; extra columns are
-kept by ``drop_repeats``; a null doc_id is a row like any other. Kept bytes need not be whole
+all their text; strings within one document count, overlapping ones too; extra columns, whatever their
+names, are kept by ``drop_repeats`` but for those named like its results; a null doc_id is a row like any other. Kept bytes need not be whole
 characters, so ``drop_repeats`` returns them as binary.
 """
 
@@ -245,10 +245,15 @@ def cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
+RESULTS = ("kept", "n_bytes", "n_spans")
+
+
 def drop_repeats(docs: DataFrame, span: int = 400, q: int = Q) -> DataFrame:
-    """``docs`` with ``kept`` (binary: the bytes that stay), ``n_bytes`` and ``n_spans``."""
+    """``docs`` with ``kept`` (binary: the bytes that stay), ``n_bytes`` and ``n_spans``; columns of ``docs`` with these
+    names give way to them."""
     spans = land(repeated_spans(docs, span, q), "spans").withColumnRenamed("doc", "_span_doc")
-    rows = _identified(docs)
+    # the documents' own columns travel in a struct, where no name of theirs can clash
+    rows = _identified(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     rows = rows.join(spans, rows["_doc"] == spans["_span_doc"], "left")
 
     @F.pandas_udf("kept binary, n_spans long")
@@ -258,12 +263,14 @@ def drop_repeats(docs: DataFrame, span: int = 400, q: int = Q) -> DataFrame:
                             columns=["kept", "n_spans"])
 
     out = rows.withColumn("_cut", apply("_bytes", "spans"))
-    return out.select(*docs.columns, "_cut.kept", F.octet_length("_bytes").cast("long").alias("n_bytes"), "_cut.n_spans")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in RESULTS]
+    return out.select(*own, "_cut.kept", F.octet_length("_bytes").cast("long").alias("n_bytes"), "_cut.n_spans")
 
 
 def repeat_report(docs: DataFrame, span: int = 400, q: int = Q) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and whether it ``repeats`` (loses any byte)."""
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    removed = F.col("n_bytes") - F.octet_length("kept")
     return drop_repeats(thin, span, q).select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), "n_spans",
-        F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", removed.alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (removed > 0).alias("repeats"))
