@@ -5,8 +5,8 @@ Parquet in the shared work folder and reads it back as the next stage's document
 the last return the columns of documents; the last returns the packed pieces.
 
 ``n_chars`` follows the text where a stage changes it. Edge cases are those of the operators: null
-and letter-less texts leave at the first stage, repeated rows meet at the third, empty tables pass
-through, extra columns are kept up to the last stage.
+and letter-less texts leave at the first stage, rows of one doc_id are one document and stay or leave together at the
+third, empty tables pass through, extra columns of any name are kept up to the last stage.
 """
 
 from __future__ import annotations
