@@ -251,43 +251,75 @@ def test_archive_empty(spark):
 # -- decontamination -----------------------------------------------------------------------
 
 def brute_words(text):
+    """Words of a text, slots behind their marker; and which of them open a sentence."""
     import regex
-    t = regex.sub(r"(?<=\p{Nd})\s?((?i:" + decontam.UNITS + r"))(?![\p{L}\p{N}])", " \x03\\1", text)
-    t = regex.sub(r"(?<![\p{L}\p{N}])(\p{Nd}+)(?!\p{L})", "\x01\\1", t)
+    t = regex.sub(r"(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))", "", text)
+    t = regex.sub(r"(?<=\p{Nd})\.(?=\p{Nd})", "\x04", t)
+    t = regex.sub(r"(?<=\p{Nd})\s?((?i:" + decontam.UNITS + r"))(?![\p{L}\p{N}])", " \x03\\1", t)
+    plain = [w for w in regex.split(decontam._SEPARATOR, t.replace("\x03", "").lower()) if w]
+    t = regex.sub(r"(?<![\p{L}\p{N}\x04])(\p{Nd}[\p{Nd}\x04]*)(?!\p{L})", "\x01\\1", t)
     t = regex.sub(r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", "\x02\\1", t)
-    return regex.split(decontam._SEPARATOR, t.lower())
+    t = regex.sub(r"(?<![\p{L}\p{M}\p{N}\x02\x03])(\p{Lu}\p{Ll}[\p{L}\p{M}]*)", "\x02\\1\x05", t)
+    words = regex.split(decontam._SEPARATOR, t.lower())
+    return [w.rstrip("\x05") for w in words], [w.endswith("\x05") for w in words], plain
+
+
+def brute_judged(slots, starts):
+    """(consistent windows, changed slots) of one alignment; slots: place -> (item's, document's, opener)."""
+    def clash(p, names):
+        return any((p[0] == q[0]) != (p[1] == q[1]) for q in names)
+    names = {(a, b) for a, b, _ in slots.values() if a[0] == "\x02"}
+    inner = {(a, b) for a, b, o in slots.values() if a[0] == "\x02" and not o}
+    suspect = any(clash(p, inner) for p in inner)
+    stands = {}
+    for a in {a for a, _, _ in slots.values() if a[0] != "\x02"}:
+        n = Counter(b for x, b, _ in slots.values() if x == a)
+        stands[a] = max((b == a, k, b) for b, k in n.items())[2]
+    bad = {at for at, (a, b, _) in slots.items()
+           if (suspect and a != b) or (clash((a, b), names) if a[0] == "\x02" else stands[a] != b)}
+    good = [s for s in starts if not bad & set(range(s, s + 8))]
+    return len(good), len({slots[k][:2] for s in good for k in range(s, s + 8) if k in slots and slots[k][0] != slots[k][1]})
 
 
 def brute_leaks(rows, items):
+    """The leaks; those that only a whole copy shows have None for their figures."""
     kind = lambda w: w[0] if w[:1] in ("\x01", "\x02", "\x03") else w
-    out = {}
-    prepared = []
+    out, prepared = {}, []
     for item, text in items:
-        w = brute_words(text or "")
-        starts = [k for k in range(len(w) - 7) if sum(len(kind(x)) > 0 and kind(x) == x and kind(x) > "\x03" for x in w[k:k + 8]) >= 5]
-        prepared.append((item, w, starts))
+        w, opens, plain = brute_words(text or "")
+        read = [list(map(kind, w)), [x[1:] if o else kind(x) for x, o in zip(w, opens)]]
+        windows = {(k, tuple(r[k:k + 8])) for r in read for k in range(len(w) - 7) if sum(x > "\x05" for x in r[k:k + 8]) >= 5}
+        prepared.append((item, w, opens, plain, windows, len({k for k, _ in windows})))
     for doc, text in rows:
-        d = brute_words(text or "")
+        d, _, doc_plain = brute_words(text or "")
         where = defaultdict(list)
         for k in range(len(d) - 7):
             where[tuple(map(kind, d[k:k + 8]))].append(k)
-        for item, w, starts in prepared:
-            found = defaultdict(set)
-            for s in starts:
-                for k in where.get(tuple(map(kind, w[s:s + 8])), ()):
+        for item, w, opens, plain, windows, n in prepared:
+            found, need = defaultdict(set), min(6, max(1, -(-n * 3 // 10)))
+            for s, t in windows:
+                for k in where.get(t, ()):
                     found[k - s].add(s)
-            for shift, ss in found.items():
-                if len(ss) < min(6, max(1, -(-len(starts) * 3 // 10))):
-                    continue
-                pairs = {(w[k], d[k + shift]) for s in ss for k in range(s, s + 8) if kind(w[k]) in ("\x01", "\x02", "\x03")}
-                if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
-                    new = (len(ss), len(starts), sum(a != b for a, b in pairs))
-                    old = out.get((doc, item))
-                    if old is None or (new[0], -new[2]) > (old[0], -old[2]):
-                        out[doc, item] = new
+            for shift, starts in found.items():
+                slots = {k: (w[k], d[k + shift], opens[k]) for s in starts for k in range(s, s + 8)
+                         if kind(w[k]) in ("\x01", "\x02", "\x03") and kind(d[k + shift]) in ("\x01", "\x02", "\x03")}
+                good, changed = brute_judged(slots, starts)
+                old = out.get((doc, item))
+                if good >= need and (old is None or (good, -changed) > (old[0], -old[2])):
+                    out[doc, item] = (good, n, changed)
+            if plain and any(doc_plain[k:k + len(plain)] == plain for k in range(len(doc_plain) - len(plain) + 1)):
+                out.setdefault((doc, item), (None, None, None))
     return {(*k, *v) for k, v in out.items()}
 
 
+def same_leaks(got, want):
+    """The same pairs, and the same figures but for whole copies (which count all windows of the item)."""
+    got, want = {tuple(r)[:2]: tuple(r)[2:] for r in got}, {w[:2]: w[2:] for w in want}
+    assert set(got) == set(want)
+    assert {k: v for k, v in got.items() if v != want[k] and want[k][0] is not None and not (v[0] == v[1] and v[2] == 0)} == {}
+    return True
+
+
 ITEMS = [(1, "A train leaves Boston at 60 km per hour and meets Alice after 5 hours. How far is Boston from the place where they met?"),
          (2, "Which of these ordinary words does not belong to the same family as all of the others here"),
          (3, None), (4, "too short"), (None, "if you mix red and blue paint in equal parts what colour will you have")]
@@ -307,7 +339,7 @@ def test_leaks(spark):
     assert {(1, 1), (2, 1), (7, 2), (8, None), (None, 2), (9, 1), (9, 2), (11, 2)} <= {w[:2] for w in want}
     assert not {w[0] for w in want} & {3, 4, 5, 6, 10}
     got = decontam.leaks(frame, items).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert same_leaks(got, want) and len(got) == len(want)
     kept = decontam.drop_leaks(frame, items)
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 10]
     assert decontam.leaks(frame.limit(0), items).collect() == decontam.leaks(frame, items.limit(0)).collect() == []
@@ -317,7 +349,7 @@ def test_leaks_beyond_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, "x")]
-    assert {tuple(r) for r in decontam.leaks(docs_frame(spark, rows), items).collect()} == brute_leaks(rows, ITEMS)
+    assert same_leaks(decontam.leaks(docs_frame(spark, rows), items).collect(), brute_leaks(rows, ITEMS))
 
 
 def leaked(spark, items, rows):
@@ -337,6 +369,48 @@ def test_leaks_with_an_edited_or_repeated_number(spark):
     assert got[0, 0][0] < got[0, 0][1] and got[1, 1][0] == got[1, 1][1]
 
 
+def test_leaks_with_other_opening_names_and_grouped_numbers(spark):
+    items = ["Tom buys 12 apples at the market. Tom gives 3 apples to a friend of the family. Tom eats some. How many are left?",
+             "A shop sold 900 cups of tea on the first day and 1,200 cups on the second day, 12.5 more than a year ago. How much is that?"]
+    rows = [(0, items[0].replace("Tom", "Anna").replace("12", "1,500")), (1, "It was so.\n\"" + items[1].replace("900", "1,900").replace("1,200", "800").replace("12.5", "7")),
+            (2, items[0].lower()), (3, "Anna buys the house at the corner. Bob gives talks to a friend. Cyd eats some. How many are there?"),
+            (4, items[0].replace("Tom gives", "Anna gives").replace("Tom eats", "Bob eats").replace("12", "4")), (5, "12.5 and 1,200 " * 200)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    got = decontam.leaks(docs_frame(spark, rows), frame).collect()
+    assert same_leaks(got, brute_leaks(rows, list(enumerate(items))))
+    found = {(r.doc_id, r.item_id): r for r in got}
+    assert {(0, 0), (1, 1), (2, 0)} <= set(found) and not {3, 5} & {d for d, _ in found}
+    assert found[0, 0].n_windows == found[0, 0].item_windows and found[0, 0].n_changed == 2 and found[1, 1].n_changed == 3
+
+
+def test_leaks_random_edits(spark):
+    """Questions with random names and numbers, some slots changed against the rest, around other text."""
+    rng = random.Random(9)
+    names, plain = ["Tom", "Anna", "Bob", "Zoe"], "buys gives apples pears market friend house road walks home and the to of".split()
+    def text(k):
+        words = [rng.choice(names) if rng.random() < 0.15 else str(rng.choice([3, 12, "1,500", "2.5"])) if rng.random() < 0.12 else rng.choice(plain) for _ in range(k)]
+        return " ".join(w + (". " if rng.random() < 0.1 else "") for w in words)
+    items = [(k, text(rng.choice([5, 14, 30]))) for k in range(25)]
+    rows = []
+    for k in range(120):
+        t = rng.choice(items)[1]
+        for a in names + ["12", "3", "1,500"]:
+            if rng.random() < 0.4:
+                t = t.replace(a, rng.choice(names) if a in names else "77", rng.choice([1, -1]))
+        rows.append((k, f"{text(6)} {t} {text(6)}" if k % 3 else t))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    assert 40 < len(want) and same_leaks(decontam.leaks(docs_frame(spark, rows), frame).collect(), want)
+
+
+def test_leaks_in_a_long_text(spark):
+    asked = "Which planet is closest to the sun?"
+    frame = spark.createDataFrame([(1, asked), (2, ITEMS[1][1])], "item_id long, text string")
+    fill = "lorem ipsum dolor sit 12 amet " * 150_000
+    got = decontam.leaks(docs_frame(spark, [(1, fill + asked + " " + fill + ITEMS[1][1])]), frame).collect()
+    assert {r.item_id for r in got} == {1, 2}
+
+
 def test_leaks_of_short_items(spark):
     items = ["Which planet is closest to the sun?", "What is the largest river in all Europe?", "Add 3 kg, 5 kg, 7 kg, 9 kg, 11 kg, 13 kg, 15 kg and 17kg",
              '"Paris" or Rome?', "", "?!", None]
@@ -349,7 +423,7 @@ def test_leaks_of_short_items(spark):
 def test_leaks_of_the_tables(spark):
     docs, items = (table(spark, SF, t).collect() for t in ("documents", "benchmark"))
     want = brute_leaks([(r.doc_id, r.text) for r in docs], [(r.item_id, r.text) for r in items])
-    assert {tuple(r) for r in queries.op9_decontam(spark, SF).collect()} == want
+    assert same_leaks(queries.op9_decontam(spark, SF).collect(), want)
     exact = {d.doc_id for d in docs for i in items if i.text in (d.text or "")}
     assert exact and exact <= {w[0] for w in want}
 
