@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ CHUNK_BYTES = 32 << 10
 BUNDLE_BYTES = 1 << 20  # records written as one row
 FILE_BUNDLES = 16  # rows written to one file
 NO_ID = -(1 << 63)
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 _END = b"\r\n"
 _BETWEEN = b"\r\n\r\n"
 _RECORDS = "id string, origin string, segment int, total long, type string, page_id long, refers_to long, digest string, block binary"
@@ -72,14 +74,19 @@ def _header(fields: list[tuple[str, object]], length: int) -> bytes:
     return "\r\n".join(lines).encode()
 
 
-def record_segments(record_id: str, page_id: int | None, url: str | None, kind: str, refers_to: int | None,
+def record_segments(page_id: int | None, url: str | None, kind: str, refers_to: int | None,
                     payload: bytes, digest: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The record, or its segments, without the separator that follows each."""
+    """The record, or its segments, without the separator that follows each.
+
+    Every record has an id of its own, so repeated pages are records like any others. A task that is
+    run again writes other ids, and only one attempt's file is committed.
+    """
+    record_id = f"uuid:{uuid.uuid4()}"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = head + (chunked(payload) if kind == "response" else b"")
     fields = [("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/http; msgtype=response"),
               ("WARC-Target-URI", None if url is None else " ".join(url.split())), ("X-Page-Id", page_id),
-              ("X-Refers-To-Page-Id", refers_to), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
+              ("X-Refers-To-Page-Id", refers_to), ("WARC-Profile", PROFILE if kind == "revisit" else None), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
     parts = [block[a:a + segment_bytes] for a in range(0, len(block), segment_bytes)]
     if len(parts) == 1:
         return [_header([("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{record_id}>"), *fields], len(block)) + block]
@@ -88,7 +95,7 @@ def record_segments(record_id: str, page_id: int | None, url: str | None, kind:
         if k == 1:
             own = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{record_id}>"), *fields]
         else:
-            own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:{record_id}:{k}>"),
+            own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
                    ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", f"<urn:{record_id}>")]
         own += [("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None)]
         out.append(_header(own, len(part)) + part)
@@ -122,8 +129,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
             found = payload_digest(payload)
             if want in (None, found):
                 pid = None if page_id == NO_ID else page_id
-                out += record_segments(f"page:{pid}:{found}:{zlib.crc32((url or '').encode()):08x}", pid, url, "response",
-                                       None, payload, found, segment_bytes)
+                out += record_segments(pid, url, "response", None, payload, found, segment_bytes)
         return _bundles(out)
 
     def revisit(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,8 +137,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
         for page_id, url, found, size, owner_id in zip(*(batch.column(c).to_pylist() for c in
                                                           ("page_id", "url", "digest", "size", "owner")), strict=True):
             pid = None if page_id == NO_ID else page_id
-            out += record_segments(f"page:{pid}:{found}:{zlib.crc32((url or '').encode()):08x}", pid, url, "revisit",
-                                   owner_id, _Sized(size), found, segment_bytes)
+            out += record_segments(pid, url, "revisit", owner_id, _Sized(size), found, segment_bytes)
         return _bundles(out)
 
     records = map_batches(stored.select("page_id", "url", "html", "_digest"), make, "records binary").union(
@@ -236,31 +241,27 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     Only segmented records are shuffled, by origin id. A stored record whose bytes do not give its
     digest, or a segmented one with a missing segment or another total length, fails the job.
-    Repeated rows have repeated segments, which are told apart by their order within a number.
+    An id is one record's alone, so a group is never larger than one record.
     """
-    whole = records.where("segment is null").select("type", "page_id", "refers_to", "digest", "length", "block", F.lit(1).alias("copies"))
+    whole = records.where("segment is null").select("type", "page_id", "refers_to", "digest", "length", "block")
     parts = records.where("segment is not null").groupBy("origin").agg(
         F.collect_list(F.struct("segment", "total", "block", "type", "page_id", "refers_to", "digest", "length")).alias("parts"))
 
     def join(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for origin, segments in zip(batch.column("origin").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            by_number: dict[int, list[dict]] = {}
-            for s in segments:
-                by_number.setdefault(s["segment"], []).append(s)
-            numbers = sorted(by_number)
-            first, last = by_number[numbers[0]][0], by_number[numbers[-1]][0]
-            block = b"".join(by_number[k][0]["block"] for k in numbers)
-            copies = {len(v) for v in by_number.values()}
-            if numbers != list(range(1, len(numbers) + 1)) or last["total"] != len(block) or len(copies) != 1:
+            segments.sort(key=lambda s: s["segment"])
+            first, last = segments[0], segments[-1]
+            block = b"".join(s["block"] for s in segments)
+            if [s["segment"] for s in segments] != list(range(1, len(segments) + 1)) or last["total"] != len(block):
                 raise ValueError(f"{origin}: segments do not make the record")
-            rows.append((first["type"], first["page_id"], first["refers_to"], first["digest"], first["length"], block, copies.pop()))
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32())
-        names = ["type", "page_id", "refers_to", "digest", "length", "block", "copies"]
+            rows.append((first["type"], first["page_id"], first["refers_to"], first["digest"], first["length"], block))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+        names = ["type", "page_id", "refers_to", "digest", "length", "block"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     fields = "type string, page_id long, refers_to long, digest string, length long"
-    both = whole.union(map_batches(parts, join, f"{fields}, block binary, copies int"))
+    both = whole.union(map_batches(parts, join, f"{fields}, block binary"))
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         payloads = []
@@ -272,11 +273,10 @@ def reassemble(records: DataFrame) -> DataFrame:
                 raise ValueError("payload does not give its digest")
             payloads.append(payload)
         names = ["type", "page_id", "refers_to", "digest", "length"]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(payloads, pa.binary()), batch.column("copies")],
-                                          [*names, "payload", "copies"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(payloads, pa.binary())],
+                                          [*names, "payload"])
 
-    out = map_batches(both, decode, f"{fields}, payload binary, copies int")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
+    return map_batches(both, decode, f"{fields}, payload binary")
 
 
 def archive_report(pages: DataFrame, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
