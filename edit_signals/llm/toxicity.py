@@ -140,8 +140,8 @@ def _scorer(model: Model) -> Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """doc_id, text, toxic of the bounded labelled sample outside the evaluation fold, and how many
-    labelled documents one of the sample stands for in each class."""
+    """doc_id, text, toxic of the bounded labelled sample outside the evaluation fold, one row a
+    document, and how many labelled documents one of the sample stands for in each class."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(
         F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = land(known, "labels")
@@ -150,7 +150,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, flo
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("_id"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     stands_for = {t: max(1.0, counts.get(t, 0) / SAMPLE_DOCS) for t in (0, 1)}
-    return land(rows.where(F.col("text").isNotNull()).select("doc_id", "text", "toxic"), "labelled"), stands_for
+    one = rows.where(F.col("text").isNotNull()).groupBy("doc_id", "toxic").agg(  # repeated rows do not grow the sample
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return land(one.select("doc_id", "text", "toxic"), "labelled"), stands_for
 
 
 def _calibration() -> F.Column:

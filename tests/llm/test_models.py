@@ -175,7 +175,9 @@ def test_toxicity_sample_counts_the_classes(spark, monkeypatch):
     labelled, stands_for = toxicity.sample(docs_frame(spark, [(k, "text") for k in range(1_000)]), labels)
     outside = [k for k in range(1_000) if zlib.crc32(str(k).encode()) % 3 != 1]
     n = sum(k % 10 == 0 for k in outside)
-    assert labelled.count() == 40 and stands_for == {0: (len(outside) - n) / 20, 1: n / 20}
+    assert labelled.count() == 40
+    again, _ = toxicity.sample(docs_frame(spark, [(k, f"text {c}") for k in range(1_000) for c in range(3)]), labels)
+    assert again.count() == 40 and stands_for == {0: (len(outside) - n) / 20, 1: n / 20}
 
 
 # -- top-k ---------------------------------------------------------------------------------
@@ -238,7 +240,11 @@ def test_archive_round_trip(spark, tmp_path, min_bytes):
     lost = records.where("segment is null or not (page_id is null and segment = 3)")
     with pytest.raises(Exception, match="segments do not make the record"):
         warc.reassemble(lost).count()
+    ids = records.select("id").collect()
+    assert len(ids) == len(set(ids)) and records.where("type = 'revisit'").count() > 0
     files = sorted((tmp_path / "w").glob("part-*"))
+    heads = [f for name in files for f, _ in warc.parse_records(gzip.decompress(name.read_bytes()))]
+    assert all((f.get("warc-profile") == warc.PROFILE) == (f["warc-type"] == "revisit") for f in heads)
     assert sum(len(list(warc.parse_records(gzip.decompress(f.read_bytes())))) for f in files) == records.count()
 
 
