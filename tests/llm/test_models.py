@@ -295,7 +295,8 @@ def brute_leaks(rows, items):
         w, opens, plain = brute_words(text or "")
         read = [list(map(kind, w)), [x[1:] if o else kind(x) for x, o in zip(w, opens)]]
         windows = {(k, tuple(r[k:k + 8])) for r in read for k in range(len(w) - 7) if sum(x > "\x05" for x in r[k:k + 8]) >= 5}
-        prepared.append((item, w, opens, plain, windows, len({k for k, _ in windows})))
+        prepared.append((item, w, opens, plain, windows,
+                         sum(sum(x > "\x05" for x in read[0][k:k + 8]) >= 5 for k in range(len(w) - 7))))
     for doc, text in rows:
         d, _, doc_plain = brute_words(text or "")
         where = defaultdict(list)
