@@ -229,7 +229,8 @@ def _judged(rows: DataFrame) -> DataFrame:
         count = lambda p: F.size(F.filter(same, lambda q: q["b"] == p["b"]))
         return F.array_max(F.transform(same, lambda p: F.struct((p["b"] == value).alias("own"), count(p).alias("n"), p["b"].alias("b"))))["b"]
 
-    slots = rows.select("doc_id", "item_id", "starts", "item_windows", _slots().alias("slots"))
+    # landed, or every use below would work the slots out anew
+    slots = land(rows.select("doc_id", "item_id", "starts", "item_windows", _slots().alias("slots")), "slots")
     slots = slots.withColumn("names", pairs(F.filter("slots", name))).withColumn(
         "inner", pairs(F.filter("slots", lambda p: name(p) & ~p["opener"])))
     slots = slots.withColumn("suspect", F.exists("inner", lambda p: clash(p, "inner"))).withColumn(
