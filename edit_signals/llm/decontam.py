@@ -46,10 +46,14 @@ _NAME_AT = r"\p{Lu}(?<![\p{L}\p{M}\p{N}\x03]\p{Lu})\p{Ll}[\p{L}\p{M}]*"
 _REST = r"[\p{L}\p{M}\p{N}\x04]*"
 
 
+def _bare(text: Column) -> Column:
+    """The text without our markers."""
+    return F.when(text.rlike(f"[{_NUMBER}-{_OPENER}]"), F.translate(text, _NUMBER + _NAME + _UNIT + _POINT + _OPENER, "")).otherwise(text)
+
+
 def _plain_numbers(text: Column) -> Column:
     """The text without our markers, every grouped or decimal number one word."""
-    bare = F.translate(text, _NUMBER + _NAME + _UNIT + _POINT + _OPENER, "")
-    grouped = F.regexp_replace(bare, r",(?<=\p{Nd},)(?=\p{Nd}{3}(?!\p{Nd}))", "")
+    grouped = F.regexp_replace(_bare(text), r",(?<=\p{Nd},)(?=\p{Nd}{3}(?!\p{Nd}))", "")
     return F.regexp_replace(grouped, r"\.(?<=\p{Nd}\.)(?=\p{Nd})", _POINT)
 
 
@@ -60,9 +64,13 @@ def marked(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """The text with a marker in place of every slot value: ``template_words(marked(text))`` in fewer passes."""
+    """The text with a marker in place of every slot value: ``template_words(marked(text))`` in fewer passes.
+
+    A text without a digit has no numbers and no units.
+    """
     units = F.regexp_replace(_plain_numbers(text), _UNIT_AT + _REST, f" {_UNIT}")
-    slots = F.regexp_replace(F.regexp_replace(units, _NUMBER_AT + _REST, _NUMBER), _NAME_AT + _REST, _NAME)
+    numbers = F.when(text.rlike(r"\p{Nd}"), F.regexp_replace(units, _NUMBER_AT + _REST, _NUMBER)).otherwise(_bare(text))
+    slots = F.regexp_replace(numbers, _NAME_AT + _REST, _NAME)
     return F.split(F.lower(slots), _SEPARATOR)
 
 
@@ -94,10 +102,15 @@ def _windows(words: Column) -> Column:
 
 
 def _window_rows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, at, hash) of every window of ``texts(key, text)``."""
+    """(key, at, hash) of every window of ``texts(key, text)``.
+
+    The windows are hashed after the words are exploded, in generated code. The outer form keeps
+    Spark from testing the array for emptiness first, which would work the words out twice.
+    """
     words = texts.where(F.col("text").isNotNull()).select(
         key, F.transform(template(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    return words.select(key, F.posexplode(_windows(F.col("words"))).alias("at", "hash"))
+    first = words.select(key, "words", F.posexplode_outer("words").alias("at", "first")).where(F.col("at") + WINDOW <= F.size("words"))
+    return first.select(key, "at", F.xxhash64("first", *[F.get("words", F.col("at") + j) for j in range(1, WINDOW)]).alias("hash"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
