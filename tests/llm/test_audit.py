@@ -163,6 +163,27 @@ def test_divergence_folds_in_parts(spark, monkeypatch):
     assert {t: n for (g, s, t), (n, _) in got.items() if (g, s) == ("en", "s0") and t and t.startswith("w")} == dict(want)
 
 
+def test_divergence_held_terms_are_dealt_once(spark):
+    """Counts, totals of the language and the kept terms by brute force, with one shuffle by (lang, term) and no join."""
+    rows = divergence_rows(4) + [(600, " A\tb\u00a0 _É ", "en", "odd"), (601, None, None, "none")]
+    docs = spark.createDataFrame([(*r, "t", 1) for r in rows], TEXTS).repartition(3)
+    held = divergence._held_terms(divergence.term_counts(docs), 3)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    n, found = Counter(), {}
+    for place, (_, text, lang, source) in enumerate(rows):
+        for word in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text or ""):
+            term = re.sub("[A-Z]", lambda m: m.group().lower(), word)
+            n[lang or "", source or "", term] += 1
+            found.setdefault((lang or "", term), set()).add(place)
+    want = {(lang, s, t): (k, sum(v for (a, _, b), v in n.items() if (a, b) == (lang, t)))
+            for (lang, s, t), k in n.items() if len(found[lang, t]) >= 3}
+    got = held.collect()
+    assert {(r.lang, r.source, r.term): (r.n, r.total) for r in got if r.term is not None} == want
+    assert Counter((r.lang, r.term) for r in got if r["first"]) == Counter({(lang, t) for lang, _, t in want})
+    assert sorted((r.lang, r.source) for r in got if r.term is None) == sorted({(r[2] or "", r[3] or "") for r in rows})
+
+
 def test_divergence_edges(spark):
     empty = spark.createDataFrame([], TEXTS)
     assert divergence.source_divergence(empty).count() == 0
