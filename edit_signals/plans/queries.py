@@ -207,12 +207,18 @@ def q_signals_json(spark, sf_dir):
 
 # ---- streaming: replay the table as ordered files, run availableNow, read the sink ----
 
-def _event_records(spark, sf_dir) -> DataFrame:
-    """Main-namespace edits as event records, record time = event time, in event order."""
-    main = _main(spark, sf_dir)
-    return codec.encode_events(O.key_by_title(main)).select(
-        "key", "value", F.col("event_time").alias("timestamp"), F.lit(0).alias("partition"),
-        F.col("event_id").alias("offset"), F.unix_micros("arrival_ts").alias("arrival_us"))
+RECORD_COLUMNS = ("key", "value", "timestamp", "partition", "offset")
+
+
+def _ordered_edits(spark, sf_dir) -> DataFrame:
+    """Main-namespace edits in event order (``offset``), with their arrival."""
+    return _main(spark, sf_dir).withColumns({"offset": F.col("event_id"), "arrival_us": F.unix_micros("arrival_ts")})
+
+
+def _event_records(edits: DataFrame) -> DataFrame:
+    """Edits as event records, record time = event time."""
+    return codec.encode_events(O.key_by_title(edits)).select(
+        "key", "value", F.col("event_time").alias("timestamp"), F.lit(0).alias("partition"), "offset")
 
 
 def _stream_signals(spark, sf_dir, trending, bot, output_mode="append", order="offset", **kwargs) -> DataFrame:
@@ -220,9 +226,9 @@ def _stream_signals(spark, sf_dir, trending, bot, output_mode="append", order="o
     from ..streaming.detect import run_detection
     from .replay import land_in_order
     src, out, chk = (scratch_path(spark, n) for n in ("records", "signals", "chk-detect"))
-    land_in_order(_event_records(spark, sf_dir), order, src, lambda: run_detection(
+    land_in_order(_ordered_edits(spark, sf_dir), order, src, lambda: run_detection(
         spark, src, out, chk, trending=trending, bot=bot, output_mode=output_mode),
-        columns=("key", "value", "timestamp", "partition", "offset"), **kwargs)
+        columns=RECORD_COLUMNS, encode=_event_records, **kwargs)
     return _read_signals(spark, out)
 
 
@@ -263,11 +269,11 @@ def _exact_stream(spark, sf_dir, emit):
     from ..streaming.exact import run_exact_detection
     from .replay import land_in_order
     src, out, state, chk = (scratch_path(spark, n) for n in ("records", "signals", "state", "chk-exact"))
-    log = _event_records(spark, sf_dir).withColumn(
+    log = _ordered_edits(spark, sf_dir).withColumn(
         "offset", F.floor(F.col("arrival_us") / 1_000_000) * 1_000_000_000 + F.col("offset"))
     land_in_order(log, "offset", src, lambda: run_exact_detection(
         spark, src, out, state, chk, TRENDING_DAY, BOT_HOUR, emit=emit, offsets_per_bucket=60_000_000_000),
-        columns=("key", "value", "timestamp", "partition", "offset"), ranges=5)
+        columns=RECORD_COLUMNS, encode=_event_records, ranges=5)
     return out, state
 
 
@@ -288,8 +294,8 @@ def q_stream_exact_signals(spark, sf_dir):
 
 def _land_feed(spark, sf_dir, path, run):
     from .replay import land_in_order
-    land_in_order(ET.sse_lines(_events(spark, sf_dir)), "event_id", path, run, fmt="text",
-                  sort_cols=("event_id", "line_no"), columns=("value",))
+    land_in_order(_events(spark, sf_dir), "event_id", path, run, fmt="text",
+                  sort_cols=("event_id", "line_no"), columns=("value",), encode=ET.sse_frames)
 
 
 def _stream_ingest(spark, sf_dir):
@@ -360,7 +366,7 @@ def _serve_stream(spark, sf_dir, trending, bot, output_mode):
         run_detection(spark, src, sig, chk, trending=trending, bot=bot, output_mode=output_mode)
         run_serving(spark, sig, log, recent, chk2)
 
-    land_in_order(_event_records(spark, sf_dir), "offset", src, run, columns=("key", "value", "timestamp", "partition", "offset"))
+    land_in_order(_ordered_edits(spark, sf_dir), "offset", src, run, columns=RECORD_COLUMNS, encode=_event_records)
     return log, recent
 
 
@@ -392,9 +398,8 @@ def q_stream_open_windows(spark, sf_dir):
     from ..streaming.detect import open_windows, run_detection
     from .replay import land_in_order
     src, out, chk = (scratch_path(spark, n) for n in ("records", "signals", "chk-detect"))
-    land_in_order(_event_records(spark, sf_dir), "offset", src, lambda: run_detection(
-        spark, src, out, chk, trending=TRENDING_DAY, bot=BOT_HOUR),
-        columns=("key", "value", "timestamp", "partition", "offset"))
+    land_in_order(_ordered_edits(spark, sf_dir), "offset", src, lambda: run_detection(
+        spark, src, out, chk, trending=TRENDING_DAY, bot=BOT_HOUR), columns=RECORD_COLUMNS, encode=_event_records)
     return _flat_signals(open_windows(spark, chk, TRENDING_DAY, BOT_HOUR))
 
 

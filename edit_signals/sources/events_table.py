@@ -102,9 +102,14 @@ def sse_lines(events: DataFrame) -> DataFrame:
     separator; every tenth event adds a comment line; rows with k in 95..99 carry
     a truncated JSON payload. Columns: ``value`` (the line), ``event_id``, ``line_no``.
     """
+    return sse_frames(spread(events))  # JSON encoding of every event: use all cores
+
+
+def sse_frames(events: DataFrame) -> DataFrame:
+    """:func:`sse_lines` of events that are spread over the cores already."""
     from ..functions.codec import encode_feed_json
 
-    raw = raw_edits(spread(events))  # JSON encoding of every event: use all cores
+    raw = raw_edits(events)
     k = F.col("k")
     payload = (
         F.when(k.between(*BROKEN_K),
