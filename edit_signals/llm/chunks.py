@@ -40,8 +40,10 @@ def plain_chunks(text: str) -> list[str]:
 
 
 def chunk_words(chunk: str) -> list[str]:
-    """Pre-tokens of a chunk; most chunks are one run of letters."""
-    return [chunk] if chunk.isalpha() else PRE_TOKEN.findall(chunk)
+    """Pre-tokens of a chunk; most chunks are one run of letters, or one and a last character that is none."""
+    if chunk.isalpha():
+        return [chunk]
+    return [chunk[:-1], chunk[-1]] if chunk[:-1].isalpha() else PRE_TOKEN.findall(chunk)
 
 
 @lru_cache(maxsize=4)

@@ -24,37 +24,61 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import CACHE_ENTRIES, chunk_words, is_plain, library, plain_chunks, word_encoder
+from .chunks import CACHE_ENTRIES, chunk_words, is_plain, library, word_encoder
 from .common import land, map_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_seen: dict[str, dict[str, bytes]] = {}
+# By vocabulary: chunks met since the last turn, and those of the turn before. What is met again moves on to
+# the newer ones, so frequent chunks stay when the others are let go.
+_seen: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit, by the library."""
     lib = library(path)
-    seen = _seen.setdefault(path, {})
+    plain = [is_plain(t) for t in texts]
+    split = pc.ascii_split_whitespace(pa.array([t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.large_string()))
+    chunks = split.flatten().dictionary_encode()
+    ids = pa.array(_chunk_ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), path), pa.large_binary()).take(chunks.indices)
+    # the ids of all chunks lie end to end, a text's from its first chunk's to its last one's
+    _, starts, data = ids.buffers()
+    edges = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(split) + 1)
+    whole = memoryview(data or b"")
+    found = (whole[a:b].tobytes() for a, b in zip(edges, edges[1:]))
+    return [next(found) if p else np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            for t, p in zip(texts, plain, strict=True)]
+
+
+def _chunk_ids(chunks: list[str], path: str) -> list[bytes]:
+    """Ids of each of these different chunks."""
+    seen, before = _seen.setdefault(path, ({}, {}))
     if len(seen) > CACHE_ENTRIES:
-        seen.clear()
-    chunked = [plain_chunks(t) if is_plain(t) else None for t in texts]
-    fresh = set(chain.from_iterable(c for c in chunked if c)).difference(seen)
-    mixed = {c: chunk_words(c) for c in fresh if not c.isalpha()}  # the others are words themselves
-    words = list(set(chain((c for c in fresh if c not in mixed), *mixed.values())).difference(seen))
+        seen, before = _seen[path] = {}, seen
+    fresh = _fresh(chunks, seen, before)
+    mixed = {c: chunk_words(c) for c in fresh if not c.isalpha()}
+    words = [c for c in fresh if c not in mixed]  # these chunks are words themselves
+    words += _fresh(set(chain.from_iterable(mixed.values())).difference(words), seen, before)
     seen.update(zip(words, word_encoder(path).encode(words), strict=True))
     for c, ws in mixed.items():
         seen[c] = b"".join(map(seen.__getitem__, ws))
-    return [b"".join(map(seen.__getitem__, chunks)) if chunks is not None
-            else np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            for t, chunks in zip(texts, chunked, strict=True)]
+    return list(map(seen.__getitem__, chunks))
+
+
+def _fresh(chunks: Iterable[str], seen: dict[str, bytes], before: dict[str, bytes]) -> list[str]:
+    """``chunks`` met neither now nor before; those met before only move to ``seen``."""
+    new = [c for c in chunks if c not in seen]
+    seen.update((c, before[c]) for c in new if c in before)
+    return [c for c in new if c not in seen] if before else new
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from edit_signals.llm import langid, linededup, suffix
+from edit_signals.llm import chunks, langid, linededup, packing, suffix
 from edit_signals.llm.common import held_out, table
+from edit_signals.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.01"
 
@@ -133,3 +134,27 @@ def test_pipeline_with_repeated_rows_and_clashing_columns(spark, tmp_path):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.run(spark, sf_dir(spark, tmp_path, docs)).count() == 0
+
+
+# -- packing: frequent chunks are encoded once -------------------------------------------------
+
+def test_frequent_words_stay_when_the_cache_turns(monkeypatch):
+    path, words = vocabulary(), []
+    encode = chunks.WordEncoder.encode
+    monkeypatch.setattr(chunks.WordEncoder, "encode", lambda self, ws: [words.extend(ws), encode(self, ws)][1])
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 20)
+    monkeypatch.setattr(packing, "_seen", {})
+    texts = [f" Often  seen, l'été ***\t often*** {chr(97 + k // 26)}{chr(97 + k % 26)}x {k}.\n" for k in range(200)]
+    texts[7:7] = ["", "  ", "odd\x0btext often", "often"]
+    got = [packing.encode_texts(texts[k:k + 3], path) for k in range(0, len(texts), 3)]
+    lib = chunks.library(path)
+    assert [x for part in got for x in part] == [
+        np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    count = Counter(words)
+    assert [count[w] for w in ("often", "seen", "été", "***")] == [1, 1, 1, 1]
+    assert max(count[f"{chr(97 + k // 26)}{chr(97 + k % 26)}x"] for k in range(200)) == 1
+
+
+def test_chunks_split_as_the_pattern_splits():
+    for c in ("and,", "a1", "a'", "it's", "x½", "***", "a***", "'s", "a", "1", "é”", "ab-cd", "ʰ!", ",a"):
+        assert chunks.chunk_words(c) == chunks.PRE_TOKEN.findall(c), c
