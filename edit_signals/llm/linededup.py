@@ -1,11 +1,12 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A run is a landed table of (key hash, documents holding it, its holder), hash-partitioned and
-sorted by the hash. Each batch of documents is reduced to one row per line hash, merge-anti-joined
-with the runs (a hash no run knows is a line never seen before, and gets its holder there) and
-added as a run of its own on level 0. When a level holds ``FANOUT`` runs they are merged into one
-run of the next level, so a hash is rewritten once a level. Batches go from the largest doc_ids
-to the smallest, so the batch that brings a hash in names its largest document.
+sorted by the hash. Each batch of documents is reduced to one row per line hash, merge-joined
+with the runs (a hash no run knows is a line never seen before, and keeps its holder) and
+added as a run of its own on level 0, the only table it lands. When a level holds ``FANOUT`` runs
+they are merged into one run of the next level, so a hash is rewritten once a level. Batches go
+from the largest doc_ids to the smallest, so the batch that brings a hash in names its largest
+document.
 
 A line's key is the line without ``[ \\t-\\r]`` at both ends and with A-Z in lower case; keys are
 compared by 128 bits of hash. Keys shorter than ``min_chars`` code points are never dropped.
@@ -70,15 +71,11 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> DataFrame:
         """``lines(doc_id, h1, h2)``, one row per document and line hash."""
-        batch = land(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")), "batch")
-        fresh, seen = batch, None
-        for run in self.runs():
-            known = run.where("holder is not null").select("h1", "h2")
-            fresh = fresh.join(known, ["h1", "h2"], "left_anti")
-            old = batch.join(known, ["h1", "h2"], "left_semi")
-            seen = old if seen is None else seen.union(old)
-        rows = fresh if seen is None else fresh.union(
-            seen.select("h1", "h2", "n", F.lit(None).cast("long").alias("holder")))
+        rows = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+        for run in self.runs():  # a run that names the holder has been there: at most one of them does
+            known = run.where("holder is not null").select("h1", "h2", F.lit(True).alias("known"))
+            rows = rows.join(known.hint("merge"), ["h1", "h2"], "left").select(
+                "h1", "h2", "n", F.when(F.col("known").isNull(), F.col("holder")).alias("holder"))
         run = self._push(0, self._sorted(rows))
         return run.where("holder is not null")
 

@@ -158,3 +158,24 @@ def test_frequent_words_stay_when_the_cache_turns(monkeypatch):
 def test_chunks_split_as_the_pattern_splits():
     for c in ("and,", "a1", "a'", "it's", "x½", "***", "a***", "'s", "a", "1", "é”", "ab-cd", "ʰ!", ",a"):
         assert chunks.chunk_words(c) == chunks.PRE_TOKEN.findall(c), c
+
+
+# -- line dedup: one landed table a batch -------------------------------------------------------
+
+def test_a_batch_of_lines_lands_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    landed, land = [], linededup.land
+    monkeypatch.setattr(linededup, "land", lambda df, name: [landed.append(name), land(df, name)][1])
+    runs, counts, holders = linededup.LineRuns(fanout=3), Counter(), {}
+    for high in (300, 200, 100, 0):
+        rows = {(high + int(i), int(h), int(h) % 7) for i, h in zip(rng.integers(1, 100, 60), rng.integers(0, 40, 60), strict=True)}
+        new = {}
+        for i, h, _ in rows:
+            counts[h] += 1
+            if h not in holders:
+                new[h] = max(i, new.get(h, 0))
+        fresh = runs.add(spark.createDataFrame(sorted(rows), "doc_id long, h1 long, h2 long"))
+        assert {(r.h1, r.holder) for r in fresh.collect()} == set(new.items())
+        holders |= new
+    assert {(r.h1, r.n, r.holder) for r in runs.merged().collect()} == {(h, n, holders[h]) for h, n in counts.items()}
+    assert landed == ["run"] * 5  # four batches and one merge
